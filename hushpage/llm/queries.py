@@ -8,7 +8,10 @@ from pyspark.sql import functions as F
 
 from hushpage.llm.fingerprints import fingerprint_with_next
 from hushpage.llm.mixing import mix_sources, quality_weight, word_count
+from hushpage.llm.packing import pack_documents
 from hushpage.llm.token_counts import token_counts
+from hushpage.llm.toxicity import toxicity_scores
+from hushpage.llm.vector_search import exact_top_k, scaled_integers
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -20,10 +23,23 @@ def op3_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix_sources(table(spark, sf_dir, "documents"), size, quality_weight(F.col("text"), size))
 
 
+def op4_pack_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pack_documents(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
+
+
+def op5_exact_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = table(spark, sf_dir, "embeddings").select("vec_id", scaled_integers(F.col("embedding"), 64.0).alias("vector"))
+    return exact_top_k(rows, F.col("vec_id") % 20 == 0, k=20)
+
+
 def op7_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
 
 
+def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity_scores(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op10_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fingerprint_with_next(table(spark, sf_dir, "documents"))
 
@@ -66,10 +82,24 @@ SELECT doc_id, size, source_size, target, copies * size AS taken, copies FROM (
   SELECT *, epochs + (first OR (fits AND later + size / 2::DOUBLE <= gap))::BIGINT AS copies FROM i)
 """
 
+OP5_SQL = """
+WITH v AS (
+  SELECT vec_id, list_transform(embedding, lambda x: floor(64 * x::DOUBLE)) AS e FROM embeddings
+  WHERE vec_id IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+s AS (
+  SELECT q.vec_id AS query_id, c.vec_id, list_dot_product(q.e, c.e)::BIGINT AS score
+  FROM v q JOIN v c ON q.vec_id % 20 = 0 AND c.vec_id <> q.vec_id),
+r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id)::INT AS rank FROM s)
+SELECT query_id, rank, vec_id, score FROM r WHERE rank <= 20
+"""
+
 QUERIES = {
     "op3_mix_sources": op3_mix_sources,
+    "op4_pack_documents": op4_pack_documents,
+    "op5_exact_top_k": op5_exact_top_k,
     "op7_token_counts": op7_token_counts,
+    "op9_toxicity": op9_toxicity,
     "op10_fingerprints": op10_fingerprints,
 }
 
-ORACLES = {"op3_mix_sources": OP3_SQL}
+ORACLES = {"op5_exact_top_k": OP5_SQL, "op3_mix_sources": OP3_SQL}

@@ -21,6 +21,8 @@ _WS = "\\t-\\r \\x85\\xa0\\u1680\\u2000-\\u200a\\u2028\\u2029\\u202f\\u205f\\u30
 #: A run of other characters with the one space before it, or a run of white space without that space.
 _CHUNK = re.compile(f" ?[^{_WS}]+|[{_WS}]+(?![^{_WS}])|[{_WS}]+")
 
+_WORD = re.compile(f"[^{_WS}]+")
+
 #: Longer chunks are encoded each time rather than cached.
 _CACHED_CHARS = 64
 
@@ -30,6 +32,11 @@ def chunks(text: str) -> list[str]:
     return _CHUNK.findall(text)
 
 
+def words(text: str) -> list[str]:
+    """Runs of characters that are not Unicode white space."""
+    return _WORD.findall(text)
+
+
 class ChunkLengths:
     """Token counts of chunks: broadcast table first, then a cache of at most ``limit`` encoded misses."""
 
