@@ -33,7 +33,7 @@ def block_count(docs: DataFrame, rows_per_block: int = 16_384) -> int:
 
 
 def range_cuts(docs: DataFrame, id_col: str, n: int) -> np.ndarray:
-    """n - 1 approximate quantiles of an integer id: the lower ends of blocks 1 to n - 1. Nulls belong to block 0."""
+    """n - 1 approximate quantiles of an integer id: the lower ends of blocks 1 to n - 1."""
     if n < 2:
         return np.zeros(0)
     probs = [i / n for i in range(1, n)]
@@ -41,12 +41,12 @@ def range_cuts(docs: DataFrame, id_col: str, n: int) -> np.ndarray:
     return np.unique(np.asarray(found, dtype=np.float64))
 
 
-def range_block(id_col: str, cuts: np.ndarray):
-    """Column: the block of an integer id; monotone in the id, so equal ids share a block."""
+def range_block(id_col: str, cuts: np.ndarray, null: float = -np.inf):
+    """Column: the block of an integer id; monotone in the id, so equal ids share a block. Null ids count as ``null``."""
 
     @F.pandas_udf("int")
     def block(ids: pd.Series) -> pd.Series:
-        x = ids.to_numpy(dtype=np.float64, na_value=-np.inf)
+        x = ids.to_numpy(dtype=np.float64, na_value=null)
         return pd.Series(np.searchsorted(cuts, x, side="right").astype(np.int32))
 
     return block(F.col(id_col).cast("double"))

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from hushpage.llm.fingerprints import fingerprint_with_next
 from hushpage.llm.mixing import mix_sources, quality_weight, word_count
 from hushpage.llm.packing import pack_documents
+from hushpage.llm.substrings import remove_repeats
 from hushpage.llm.token_counts import token_counts
 from hushpage.llm.toxicity import toxicity_scores
 from hushpage.llm.vector_search import exact_top_k, scaled_integers
@@ -36,6 +37,12 @@ def op7_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
 
 
+def op8_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    kept = remove_repeats(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    words = F.btrim(F.regexp_replace(F.coalesce("text", F.lit("")), "[\\x20\\x09-\\x0D]+", " "), F.lit(" "))
+    return kept.select("doc_id", "n_words", "n_removed", F.sha2(words, 256).alias("kept_sha256"))
+
+
 def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity_scores(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
@@ -98,6 +105,7 @@ QUERIES = {
     "op4_pack_documents": op4_pack_documents,
     "op5_exact_top_k": op5_exact_top_k,
     "op7_token_counts": op7_token_counts,
+    "op8_substring_dedup": op8_substring_dedup,
     "op9_toxicity": op9_toxicity,
     "op10_fingerprints": op10_fingerprints,
 }
