@@ -7,6 +7,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from hushpage.llm.fingerprints import fingerprint_with_next
+from hushpage.llm.jaccard_join import near_duplicates
 from hushpage.llm.mixing import mix_sources, quality_weight, word_count
 from hushpage.llm.packing import pack_documents
 from hushpage.llm.substrings import remove_repeats
@@ -33,6 +34,10 @@ def op5_exact_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_top_k(rows, F.col("vec_id") % 20 == 0, k=20)
 
 
+def op6_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_duplicates(table(spark, sf_dir, "documents"))
+
+
 def op7_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
 
@@ -104,6 +109,7 @@ QUERIES = {
     "op3_mix_sources": op3_mix_sources,
     "op4_pack_documents": op4_pack_documents,
     "op5_exact_top_k": op5_exact_top_k,
+    "op6_near_duplicates": op6_near_duplicates,
     "op7_token_counts": op7_token_counts,
     "op8_substring_dedup": op8_substring_dedup,
     "op9_toxicity": op9_toxicity,
