@@ -1,11 +1,67 @@
-"""Corpus pipeline: stages that each read what their predecessor kept."""
+"""Corpus pipeline: five stages, each working on what its predecessor kept.
 
-STAGES: list = []
+Toxic documents go, one document of each group of near duplicates stays, passages that repeat across documents go,
+sources are mixed to target weights, and what the mix takes is packed into sequences of tokens.
+"""
+
+from __future__ import annotations
+
+import public_tokenizers
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from hushpage.llm.blocks import cut
+from hushpage.llm.jaccard_join import keep_one_of_each
+from hushpage.llm.mixing import mixed_documents
+from hushpage.llm.packing import pack_documents
+from hushpage.llm.substrings import remove_repeats
+from hushpage.llm.toxicity import without_toxic
+
+COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
+
+
+def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Drops documents with a toxicity score of 0.7 or more."""
+    return without_toxic(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
+
+
+def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Keeps the document with the least id of each group linked by five-word shingles at a similarity of 0.8."""
+    return keep_one_of_each(docs, k=5, percent=80)
+
+
+def drop_repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Removes words covered by 13-word windows that also start in a document of smaller id; every document stays."""
+    return remove_repeats(docs, k=13).withColumn("n_chars", F.length("text").cast("long")).select(*COLUMNS)
+
+
+def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Takes whole documents to the sources' target weights, a row for each copy."""
+    return mixed_documents(docs)
+
+
+def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Packs the mix into sequences of at most 4096 tokens."""
+    return pack_documents(docs, public_tokenizers.path("word_bpe_49k.json"))
+
+
+STAGES = [
+    ("toxicity", drop_toxic),
+    ("ngram_jaccard_join", drop_near_duplicates),
+    ("substring_dedup", drop_repeated_passages),
+    ("mixing", mix),
+    ("best_fit_packing", pack),
+]
+
+#: Tokenizer ids and learnt scores are beyond SQL; tests compare the stages with brute force.
 ORACLE_SQL = None
 
 
-def run(spark, sf_dir):
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All stages over ``documents``; lineage is cut after each."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for _, stage in STAGES:
+    for name, stage in STAGES:
         docs = stage(spark, docs, sf_dir)
+        if name != STAGES[-1][0]:
+            docs = cut(docs)
     return docs

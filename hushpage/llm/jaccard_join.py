@@ -26,6 +26,10 @@ from hushpage.llm.keysets import ANSWERS, BLOBS, answers, bucket_edges, decode_s
 from hushpage.llm.textblocks import as_bytes, gram_hashes, mix, word_hashes
 
 
+#: Ids of removed rows up to this number are sent to the scan of the documents; beyond it both sides are shuffled.
+BROADCAST_IDS = 2_000_000
+
+
 def shingle_sets(texts: list[bytes], k: int) -> list[np.ndarray]:
     """Ascending distinct hashes of the k-word shingles of each lower-cased text; fewer words form one shingle."""
     words, off = word_hashes([t.lower() for t in texts])
@@ -264,4 +268,6 @@ def keep_one_of_each(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFram
     Ids must be distinct; of rows that share an id all or none stay.
     """
     gone = near_duplicates(docs.select("doc_id", "text"), k, percent).where("component_id <> doc_id").select("doc_id").distinct()
-    return docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
+    gone = cut(gone)
+    few = gone.count() <= BROADCAST_IDS
+    return docs.join(F.broadcast(gone) if few else gone, "doc_id", "left_anti").select(*docs.columns)

@@ -8,11 +8,12 @@ from pyspark.sql import functions as F
 
 from hushpage.llm.fingerprints import fingerprint_with_next
 from hushpage.llm.jaccard_join import near_duplicates
+from hushpage.llm.language_model import language_model_scores
 from hushpage.llm.mixing import mix_sources, quality_weight, word_count
 from hushpage.llm.packing import pack_documents
 from hushpage.llm.substrings import remove_repeats
 from hushpage.llm.token_counts import token_counts
-from hushpage.llm.toxicity import toxicity_scores
+from hushpage.llm.toxicity import id_remainder, toxicity_scores
 from hushpage.llm.vector_search import exact_top_k, scaled_integers
 
 
@@ -20,6 +21,11 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_language_model(spark: SparkSession, sf_dir: str) -> DataFrame:
+    shard = F.pmod(F.xxhash64(F.col("doc_id"), F.lit(5)), F.lit(4))
+    return language_model_scores(table(spark, sf_dir, "documents"), id_remainder("doc_id", 5) == 1, shard, rounds=4)
+
+
 def op3_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     size = word_count(F.col("text"))
     return mix_sources(table(spark, sf_dir, "documents"), size, quality_weight(F.col("text"), size))
@@ -106,6 +112,7 @@ SELECT query_id, rank, vec_id, score FROM r WHERE rank <= 20
 """
 
 QUERIES = {
+    "op1_language_model": op1_language_model,
     "op3_mix_sources": op3_mix_sources,
     "op4_pack_documents": op4_pack_documents,
     "op5_exact_top_k": op5_exact_top_k,

@@ -44,7 +44,7 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
-def _hash_batch(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+def _hash_batch(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     data = np.frombuffer(b"\n".join(texts) + b"\n", dtype=np.uint8)
     space = _SPACE[data]
     edge = np.flatnonzero(space[1:] != space[:-1]) + 1
@@ -58,24 +58,34 @@ def _hash_batch(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     hashes += (end - start).astype(np.uint64) * _ROLL
     lengths = np.fromiter(map(len, texts), dtype=np.int64, count=len(texts))
     bounds = np.cumsum(lengths + 1)
-    return mix(hashes), np.searchsorted(start, bounds)
+    ending = data[end - 1].astype(np.uint32)
+    for i in (2, 3):
+        ending |= np.where(end - i >= start, data[np.maximum(end - i, 0)], 0).astype(np.uint32) << np.uint32(8 * i - 8)
+    return mix(hashes), np.searchsorted(start, bounds), ending
 
 
-def word_hashes(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-    """64-bit hashes of all words, and offsets: text i owns ``hashes[off[i]:off[i + 1]]``."""
-    hashes, offsets, done = [np.zeros(0, dtype=np.uint64)], [np.zeros(1, dtype=np.int64)], 0
-    i = 0
+def word_hashes_and_endings(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """As word_hashes, with the last three bytes of each word packed in an integer."""
+    hashes, offsets = [np.zeros(0, dtype=np.uint64)], [np.zeros(1, dtype=np.int64)]
+    endings = [np.zeros(0, dtype=np.uint32)]
+    i = done = 0
     while i < len(texts):
         j, size = i, 0
         while j < len(texts) and (j == i or size + len(texts[j]) < _BATCH_BYTES):
             size += len(texts[j]) + 1
             j += 1
-        h, ends = _hash_batch(texts[i:j])
+        h, ends, last = _hash_batch(texts[i:j])
         hashes.append(h)
         offsets.append(ends + done)
+        endings.append(last)
         done += len(h)
         i = j
-    return np.concatenate(hashes), np.concatenate(offsets)
+    return np.concatenate(hashes), np.concatenate(offsets), np.concatenate(endings)
+
+
+def word_hashes(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    """64-bit hashes of all words, and offsets: text i owns ``hashes[off[i]:off[i + 1]]``."""
+    return word_hashes_and_endings(texts)[:2]
 
 
 def gram_hashes(words: np.ndarray, k: int) -> np.ndarray:
