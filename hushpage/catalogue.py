@@ -1,4 +1,10 @@
 """The query catalogue: name -> DataFrame builder, and name -> DuckDB SQL for the same rows."""
 
-QUERIES: dict = {}
-ORACLES: dict = {}
+from __future__ import annotations
+
+from hushpage.plans import element_queries, text_queries
+
+_MODULES = (text_queries, element_queries)
+
+QUERIES = {name: query for module in _MODULES for name, query in module.QUERIES.items()}
+ORACLES = {name: sql for module in _MODULES for name, sql in module.ORACLES.items()}
