@@ -132,6 +132,7 @@ def view(spark: SparkSession, sf_dir: str, sql: str, source: str) -> DataFrame:
     """Runs a view's SQL with its source table bound, without touching the session's catalog."""
     for case, array in _AS_ARRAY.items():
         sql = sql.replace(case, array)
+    sql = sql.replace("{", "{{").replace("}", "}}")
     return spark.sql(sql.replace(f"FROM {source}", "FROM {source}"), source=table(spark, sf_dir, source))
 
 
