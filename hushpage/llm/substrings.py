@@ -54,10 +54,10 @@ def intervals(mask: np.ndarray) -> np.ndarray:
     return edges.reshape(-1, 2)
 
 
-def _sorted_block(rows: pa.Table, id_col: str) -> tuple[pa.Table, np.ndarray]:
+def _sorted_block(rows: pa.Table) -> tuple[pa.Table, np.ndarray]:
     """The block by id, nulls last, and the rank of each row's id among the distinct ones."""
-    rows = rows.take(pc.sort_indices(rows, sort_keys=[(id_col, "ascending")], null_placement="at_end"))
-    ids = rows[id_col].to_pylist()
+    rows = rows.take(pc.sort_indices(rows, sort_keys=[("id", "ascending")], null_placement="at_end"))
+    ids = rows["id"].to_pylist()
     rank = np.cumsum([0] + [a != b for a, b in zip(ids, ids[1:], strict=False)]) if ids else np.zeros(0, np.int64)
     return rows, rank
 
@@ -73,12 +73,13 @@ def remove_repeats(docs: DataFrame, k: int = 13, id_col: str = "doc_id", text_co
     """
     n = text_block_count(docs, text_col)
     cuts = range_cuts(docs, id_col, n)
-    others = [F.col(f"`{c}`") for c in docs.columns if c != text_col]
-    columns = [*others, F.col(text_col).cast("binary").alias(text_col)]
+    names = [c for c in docs.columns if c != text_col]
+    row = F.struct(*[F.col(f"`{c}`") for c in names]).alias("row")  # kept apart, so that no name can clash
+    columns = [row, F.col(id_col).alias("id"), F.col(text_col).cast("binary").alias("text")]
     base = text_blocks(docs, range_block(id_col, cuts, null=np.inf), n, columns)
 
     def send(rows: pa.Table) -> pa.Table:
-        hashes, _, _ = windows(as_bytes(rows[text_col].to_pylist()), k)
+        hashes, _, _ = windows(as_bytes(rows["text"].to_pylist()), k)
         return key_blobs(rows["block"][0].as_py(), np.unique(hashes), None, n, 64)
 
     def judge(rows: pa.Table) -> pa.Table:
@@ -92,14 +93,13 @@ def remove_repeats(docs: DataFrame, k: int = 13, id_col: str = "doc_id", text_co
         again[order[1:]] = ranked[1:] == ranked[:-1]
         return answers(rows, [np.packbits(x).tobytes() for x in np.split(again, ends[:-1])])
 
-    names = [c for c in docs.columns if c != text_col]
-    fields = [*[docs.schema[c] for c in names], T.StructField(text_col, T.StringType())]
+    fields = [T.StructField("row", T.StructType([docs.schema[c] for c in names])), T.StructField("text", T.StringType())]
     span = T.ArrayType(T.StructType([T.StructField("start", T.LongType()), T.StructField("end", T.LongType())]))
     fields += [T.StructField("n_words", T.LongType()), T.StructField("n_removed", T.LongType()), T.StructField("removed_spans", span)]
 
     def finish(rows: pa.Table, answer: pa.Table) -> pa.Table:
-        rows, rank = _sorted_block(rows, id_col)
-        raw = rows[text_col].to_pylist()
+        rows, rank = _sorted_block(rows)
+        raw = rows["text"].to_pylist()
         texts = as_bytes(raw)
         bits = in_order(answer)
 
@@ -118,8 +118,8 @@ def remove_repeats(docs: DataFrame, k: int = 13, id_col: str = "doc_id", text_co
         span_type = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))
         return pa.table(
             {
-                **{c: rows[c] for c in names},
-                text_col: pa.array(kept, pa.binary()).cast(pa.string()),
+                "row": rows["row"],
+                "text": pa.array(kept, pa.binary()).cast(pa.string()),
                 "n_words": pa.array(np.diff(off)),
                 "n_removed": pa.array(removed, pa.int64()),
                 "removed_spans": pa.array(spans, span_type),
@@ -128,4 +128,6 @@ def remove_repeats(docs: DataFrame, k: int = 13, id_col: str = "doc_id", text_co
 
     sent = base.groupBy("block").applyInArrow(send, BLOBS)
     judged = sent.groupBy("bucket").applyInArrow(judge, ANSWERS)
-    return base.groupBy("block").cogroup(judged.groupBy("block")).applyInArrow(finish, T.StructType(fields))
+    done = base.groupBy("block").cogroup(judged.groupBy("block")).applyInArrow(finish, T.StructType(fields))
+    shown = [F.col("text").alias(c) if c == text_col else F.col(f"row.`{c}`") for c in docs.columns]
+    return done.select(*shown, "n_words", "n_removed", "removed_spans")
