@@ -7,17 +7,19 @@ dealt back to the pieces by their rank among pieces of equal length.
 
 from __future__ import annotations
 
+import re
 import zlib
+from array import array
 from bisect import bisect_left, insort
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-import regex
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from hushpage.llm.blocks import cut, partitions
+from hushpage.llm.textblocks import span_hashes
 from hushpage.llm.token_counts import words
 
 Filling = tuple[tuple[int, int], ...]  # (length, how many), longest first
@@ -178,16 +180,51 @@ def bin_completion(counts: dict[int, int], capacity: int, nodes: int = 20_000) -
 
 # ---- the pieces -------------------------------------------------------------------------------------
 
-_SPLIT = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+")
+#: What the tokenizer's split pattern finds in lower-cased texts of characters below U+0180, without white space.
+_LETTER, _NUMBER = "A-Za-z\xaa\xb5\xba\xc0-\xd6\xd8-\xf6\xf8-\u017f", "0-9\xb2\xb3\xb9\xbc-\xbe"
+_PARTS = re.compile(f"'s|'t|'re|'ve|'m|'ll|'d|[{_LETTER}]+|[{_NUMBER}]|[^\\x00-\\x20\\x85\\xa0{_LETTER}{_NUMBER}]+")
+#: Other characters, and the one among these whose lower case is two characters.
+_OTHER = re.compile("[\x00-\x08\x0e-\x1f\u0130\u0180-\U0010ffff]")
+#: Endings that the pattern cuts off after an apostrophe.
+_ENDING = re.compile("'(?:[stmd]|re|ve|ll)")
+_LOW = np.array([ord(chr(i).lower()[0]) for i in range(0x180)], dtype=np.uint16)
+#: 0 white space, 1 letters, 2 numbers (each by itself), 3 the rest.
+_CLASS = np.array(
+    [0 if re.match(r"[\x09-\x0d \x85\xa0]", c) else 1 if re.match(f"[{_LETTER}]", c) else 2 if re.match(f"[{_NUMBER}]", c) else 3 for c in map(chr, range(0x180))],
+    dtype=np.uint8,
+)
 _CACHED_CHARS, _CACHE_LIMIT = 64, 1 << 20
-_encoders: dict[str, "WordIds"] = {}
+_encoders: dict[str, WordIds] = {}
+
+
+def _byte_alphabet() -> dict[int, str]:
+    """The printable characters that stand for bytes in a byte-level vocabulary."""
+    plain = [*range(33, 127), *range(161, 173), *range(174, 256)]
+    rest = [b for b in range(256) if b not in plain]
+    return {b: chr(b) for b in plain} | {b: chr(256 + i) for i, b in enumerate(rest)}
+
+
+class _Cache(dict):
+    """Ids of strings as little-endian 32-bit bytes; what is missing is encoded, and kept while there is room."""
+
+    def __init__(self, encode):
+        super().__init__()
+        self.encode = encode
+
+    def __missing__(self, key: str) -> bytes:
+        value = self.encode(key)
+        if len(key) <= _CACHED_CHARS:
+            if len(self) >= _CACHE_LIMIT:
+                self.clear()
+            self[key] = value
+        return value
 
 
 class WordIds:
-    """Ids of texts under a word BPE that drops white space, as little-endian 32-bit bytes.
+    """Ids of texts under a word BPE that lower-cases and drops white space, as little-endian 32-bit bytes.
 
-    Words are encoded once a worker and kept in a bounded cache. Words of Latin letters are cut like the
-    tokenizer cuts them, so that their parts share a cache too; other words go to the tokenizer whole.
+    Texts of characters below U+0180 are cut into pre-tokens here, and a worker's cache, keyed by 64-bit hashes, asks the
+    tokenizer's BPE model for each once. Words with other characters go to the tokenizer whole, texts with special strings as well.
     """
 
     def __init__(self, path: str):
@@ -197,52 +234,66 @@ class WordIds:
         self.tokenizer.no_truncation()
         self.tokenizer.no_padding()
         self.special = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
-        self.words: dict[str, bytes] = {}
-        self.parts: dict[str, bytes] = {}
-
-    def _encode(self, texts: list[str]) -> list[bytes]:
-        return [np.asarray(e.ids, dtype="<u4").tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
-
-    def _learn(self, missing: set[str]) -> None:
-        if len(self.words) + len(missing) > _CACHE_LIMIT:
-            self.words.clear()
-        if len(self.parts) > _CACHE_LIMIT:
-            self.parts.clear()
-        latin = [w for w in missing if max(w) < "ɐ" and min(w) > " " and "İ" not in w]
-        other = list(missing.difference(latin))
-        self.words.update(zip(other, self._encode(other), strict=True))
-        cuts = [_SPLIT.findall(w.lower()) for w in latin]
-        new = list({p for ps in cuts for p in ps}.difference(self.parts))
-        self.parts.update(zip(new, self._encode(new), strict=True))
-        get = self.parts.__getitem__
-        self.words.update((w, b"".join(map(get, ps))) for w, ps in zip(latin, cuts, strict=True))
+        self.model, self.alphabet = self.tokenizer.model, _byte_alphabet()
+        self.parts, self.words = _Cache(self._part), _Cache(self._whole)
+        self.hashed: dict[int, bytes] = {}
+
+    def _part(self, part: str) -> bytes:
+        mapped = part if part.isascii() and part.isprintable() else part.encode().decode("latin-1").translate(self.alphabet)
+        return array("I", [t.id for t in self.model.tokenize(mapped)]).tobytes()
+
+    def _whole(self, text: str) -> bytes:
+        return array("I", self.tokenizer.encode(text, add_special_tokens=False).ids).tobytes()
+
+    def _word(self, word: str) -> bytes:
+        if _OTHER.search(word):
+            return self.words[word]
+        return b"".join(map(self.parts.__getitem__, _PARTS.findall(word.lower())))
+
+    def _batch(self, texts: list[str]) -> list[bytes]:
+        """Texts of plain characters: pre-tokens are cut and hashed for the whole batch, and looked up once each."""
+        joined = "\n".join(texts) + "\n"
+        low = _LOW[np.frombuffer(joined.encode("utf-16-le"), dtype="<u2")]
+        kind = _CLASS[low]
+        cut_here = (kind[1:] != kind[:-1]) | (kind[1:] == 2)
+        start = np.flatnonzero(np.concatenate(([True], cut_here)) & (kind != 0))
+        end = np.flatnonzero(np.concatenate((cut_here, [True])) & (kind != 0)) + 1
+        found, first, back = np.unique(span_hashes(low, start, end), return_index=True, return_inverse=True)
+        known, values = self.hashed, []
+        for h, i in zip(found.tolist(), first.tolist(), strict=True):
+            value = known.get(h)
+            if value is None:
+                value = self._part(joined[start[i] : end[i]].lower())
+                if len(known) >= _CACHE_LIMIT:
+                    known.clear()
+                known[h] = value
+            values.append(value)
+        flat = np.frombuffer(b"".join(values), dtype="<u4")
+        sizes = np.fromiter(map(len, values), dtype=np.int64, count=len(values)) // 4
+        each = sizes[back]
+        ends = np.cumsum(each)
+        ids = flat[np.repeat((np.cumsum(sizes) - sizes)[back] - (ends - each), each) + np.arange(int(each.sum()))]
+        bounds = np.cumsum(np.fromiter(map(len, texts), dtype=np.int64, count=len(texts)) + 1)
+        at = np.concatenate(([0], ends))[np.searchsorted(start, bounds)]
+        return [ids[a:b].tobytes() for a, b in zip(np.concatenate(([0], at[:-1])), at, strict=True)]
 
     def __call__(self, texts: list[str | None]) -> list[bytes]:
-        split: list[list[str]] = []
-        whole: dict[int, bytes] = {}
+        out, plain, get = [b""] * len(texts), [], self.parts.__getitem__
         for i, text in enumerate(texts):
             if not text:
-                split.append([])
-            elif any(s in text for s in self.special):
-                whole[i] = self._encode([text])[0]
-                split.append([])
+                continue
+            if any(s in text for s in self.special):
+                out[i] = self._whole(text)
+            elif _OTHER.search(text):
+                out[i] = b"".join(map(self._word, words(text)))
+            elif _ENDING.search(lowered := text.lower()):
+                out[i] = b"".join(map(get, _PARTS.findall(lowered)))
             else:
-                split.append(words(text))
-        wanted = set().union(*split)
-        long = {w for w in wanted if len(w) > _CACHED_CHARS}
-        missing = wanted.difference(self.words, long)
-        if len(self.words) + len(missing) > _CACHE_LIMIT:  # the cache starts anew with all that this batch needs
-            self.words.clear()
-            missing = wanted.difference(long)
-        self._learn(missing)
-        get = self.words.__getitem__
-        if not long:
-            return [whole[i] if i in whole else b"".join(map(get, ws)) for i, ws in enumerate(split)]
-        extra = dict(zip(long, self._encode(list(long)), strict=True))
-        return [
-            whole[i] if i in whole else b"".join(extra[w] if w in extra else self.words[w] for w in ws)
-            for i, ws in enumerate(split)
-        ]
+                plain.append(i)
+        if plain:
+            for i, ids in zip(plain, self._batch([texts[i] for i in plain]), strict=True):
+                out[i] = ids
+        return out
 
 
 def token_pieces(docs: DataFrame, tokenizer_path: str, end_id: int = 1, capacity: int = 4096) -> DataFrame:
