@@ -44,48 +44,66 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
-def _hash_batch(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    data = np.frombuffer(b"\n".join(texts) + b"\n", dtype=np.uint8)
-    space = _SPACE[data]
-    edge = np.flatnonzero(space[1:] != space[:-1]) + 1
-    if not space[0]:
-        edge = np.concatenate((np.zeros(1, dtype=edge.dtype), edge))
-    start, end = edge[0::2], edge[1::2]
+def span_hashes(data: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+    """64-bit hashes of ``data[start:end]`` for arrays of starts and ends."""
     up, down = _power_tables(len(data) + 1)
     total = np.zeros(len(data) + 1, dtype=np.uint64)
     np.cumsum(data * up[: len(data)], out=total[1:])
     hashes = (total[end] - total[start]) * down[start]
     hashes += (end - start).astype(np.uint64) * _ROLL
-    lengths = np.fromiter(map(len, texts), dtype=np.int64, count=len(texts))
-    bounds = np.cumsum(lengths + 1)
-    ending = data[end - 1].astype(np.uint32)
+    return mix(hashes)
+
+
+def _endings(data: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+    """The last three bytes of each word packed in an integer."""
+    out = data[end - 1].astype(np.uint32)
     for i in (2, 3):
-        ending |= np.where(end - i >= start, data[np.maximum(end - i, 0)], 0).astype(np.uint32) << np.uint32(8 * i - 8)
-    return mix(hashes), np.searchsorted(start, bounds), ending
+        out |= np.where(end - i >= start, data[np.maximum(end - i, 0)], 0).astype(np.uint32) << np.uint32(8 * i - 8)
+    return out
 
 
-def word_hashes_and_endings(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """As word_hashes, with the last three bytes of each word packed in an integer."""
-    hashes, offsets = [np.zeros(0, dtype=np.uint64)], [np.zeros(1, dtype=np.int64)]
-    endings = [np.zeros(0, dtype=np.uint32)]
+def _stems(data: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+    """Hashes of the first five bytes of each longer word; 0 for others."""
+    return np.where(end - start > 5, span_hashes(data, start, np.minimum(start + 5, end)) ^ np.uint64(0x51), np.uint64(0))
+
+
+def _each_batch(texts: list[bytes], more) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Hashes of all words, offsets of the texts, and what ``more(data, start, end)`` gives for each word."""
+    hashes, offsets, found = [np.zeros(0, dtype=np.uint64)], [np.zeros(1, dtype=np.int64)], []
     i = done = 0
-    while i < len(texts):
+    while i < len(texts) or not found:
         j, size = i, 0
         while j < len(texts) and (j == i or size + len(texts[j]) < _BATCH_BYTES):
             size += len(texts[j]) + 1
             j += 1
-        h, ends, last = _hash_batch(texts[i:j])
-        hashes.append(h)
-        offsets.append(ends + done)
-        endings.append(last)
-        done += len(h)
+        lengths = np.fromiter(map(len, texts[i:j]), dtype=np.int64, count=j - i)
+        data = np.frombuffer(b"\n".join(texts[i:j]) + b"\n", dtype=np.uint8)
+        space = _SPACE[data]
+        edge = np.flatnonzero(space[1:] != space[:-1]) + 1
+        if not space[0]:
+            edge = np.concatenate((np.zeros(1, dtype=edge.dtype), edge))
+        start, end = edge[0::2], edge[1::2]
+        hashes.append(span_hashes(data, start, end))
+        found.append(more(data, start, end))
+        offsets.append(np.searchsorted(start, np.cumsum(lengths + 1)) + done)
+        done += len(start)
         i = j
-    return np.concatenate(hashes), np.concatenate(offsets), np.concatenate(endings)
+    return np.concatenate(hashes), np.concatenate(offsets), np.concatenate(found)
+
+
+def word_hashes_and_endings(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """As word_hashes, with the last three bytes of each word packed in an integer."""
+    return _each_batch(texts, _endings)
+
+
+def word_hashes_and_stems(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """As word_hashes, with a hash of the first five bytes of each longer word, 0 for others."""
+    return _each_batch(texts, _stems)
 
 
 def word_hashes(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     """64-bit hashes of all words, and offsets: text i owns ``hashes[off[i]:off[i + 1]]``."""
-    return word_hashes_and_endings(texts)[:2]
+    return _each_batch(texts, lambda data, start, end: start)[:2]
 
 
 def gram_hashes(words: np.ndarray, k: int) -> np.ndarray:

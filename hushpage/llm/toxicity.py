@@ -1,10 +1,10 @@
 """Toxicity by class-conditional Kneser-Ney models.
 
-Two models, of toxic and of ordinary documents, are estimated from labelled documents over words and word
-pairs. Counts are of documents in which an expression occurs (distinct contexts, not occurrences), discounted
+Two models, of toxic and of ordinary documents, are estimated from labelled documents over words, word
+pairs and stems (the first five bytes of longer words). Counts are of documents in which an expression occurs (distinct contexts, not occurrences), discounted
 absolutely, and the mass taken off is spread by counts that both classes share. An expression whose
 counts do not tell the classes apart rests on the shared counts alone, so it has the same
-likelihood in both: a pair backs off to its word, a word to the shared counts. A text's score compares
+likelihood in both: a pair backs off to its word, a word to its stem, a stem to the shared counts. A text's score compares
 both log-likelihoods, normalised by its length and calibrated by logistic regression.
 """
 
@@ -18,7 +18,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from hushpage.llm.textblocks import gram_hashes, word_hashes
+from hushpage.llm.textblocks import gram_hashes, word_hashes_and_stems
 
 #: Thresholds among which the calibration documents choose, in standard deviations.
 THRESHOLDS = (3.0, 4.0, 5.0, 6.0, 8.0)
@@ -30,13 +30,14 @@ def id_remainder(id_col: str, n: int) -> Column:
     return F.coalesce(F.crc32(F.col(id_col).cast("string").cast("binary")) % n, F.lit(0))
 
 
-def expressions(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(word hashes, hash of the pair that ends at each word or 0, offsets) of lower-cased texts."""
-    words, off = word_hashes([t.lower() for t in texts])
+def expressions(texts: list[bytes]) -> tuple[list[np.ndarray], np.ndarray]:
+    """For each word of lower-cased texts the hashes of the pair that it ends, of itself and of its stem, longest
+    expression first and 0 where there is none; and the offsets of the texts."""
+    words, off, stems = word_hashes_and_stems([t.lower() for t in texts])
     pairs = np.zeros(len(words), dtype=np.uint64)
     pairs[1:] = gram_hashes(words, 2)
     pairs[off[:-1][off[:-1] < off[1:]]] = 0
-    return words, pairs, off
+    return [pairs, words, stems], off
 
 
 def _texts(column: pa.Array) -> list[bytes]:
@@ -61,10 +62,10 @@ def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         )
 
     for batch in batches:
-        words, pairs, off = expressions(_texts(batch.column(0)))
+        orders, off = expressions(_texts(batch.column(0)))
         labels = batch.column(1).to_numpy(zero_copy_only=False)
         for i, (a, b) in enumerate(zip(off[:-1], off[1:], strict=True)):
-            both = np.unique(np.concatenate((words[a:b], pairs[a:b])))
+            both = np.unique(np.concatenate([x[a:b] for x in orders]))
             both = both[both != _TOTAL]
             held.append((both, np.full(len(both), float(labels[i]))))
             size += len(both)
@@ -93,9 +94,10 @@ class ToxicityModel:
     def features(self, texts: list[bytes], threshold: float | None = None) -> np.ndarray:
         """Difference of the log-likelihoods over the length and over its square root."""
         threshold = self.threshold if threshold is None else threshold
-        words, pairs, off = expressions(texts)
-        token = self._ratios(pairs, threshold)
-        token = np.where(token != 0, token, self._ratios(words, threshold))
+        orders, off = expressions(texts)
+        token = np.zeros(off[-1])
+        for hashes in orders:
+            token = np.where(token != 0, token, self._ratios(hashes, threshold))
         total = np.concatenate(([0.0], np.cumsum(token)))
         n = np.maximum(np.diff(off), 1)
         gap = np.round(total[off[1:]] - total[off[:-1]], 9)
