@@ -59,7 +59,7 @@ def source_targets(stats: DataFrame, weights=WEIGHTS, share: float = 1.5, most:
     left = F.lit(float(share)) * F.sum("source_size").over(everything) - F.coalesce(F.sum("cap").over(before), F.lit(0.0))
     levels = ranked.withColumn("level", left / F.sum("w").over(after))
     levels = levels.withColumn("capped", F.col("cap") <= F.col("level") * F.col("w"))
-    free = F.min(F.when(~F.col("capped"), F.col("level"))).over(everything)
+    free = F.max(F.when(~F.col("capped"), F.col("level"))).over(everything)  # the first free source's: levels fall after it
     found = levels.withColumn("target", F.when(F.col("capped"), F.col("cap")).otherwise(free * F.col("w")))
     epochs = F.when(F.col("source_size") > 0, F.floor(F.col("target") / F.col("source_size"))).otherwise(0).cast("long")
     found = found.withColumn("epochs", epochs)

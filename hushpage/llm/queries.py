@@ -84,7 +84,7 @@ l AS (
             / sum(w) OVER (ORDER BY cap / w, sid ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS level FROM s),
 t AS (
   SELECT source, source_size,
-         CASE WHEN cap <= level * w THEN cap ELSE min(level) FILTER (WHERE cap > level * w) OVER () * w END AS target FROM l),
+         CASE WHEN cap <= level * w THEN cap ELSE max(level) FILTER (WHERE cap > level * w) OVER () * w END AS target FROM l),
 p AS (
   SELECT *, CASE WHEN source_size > 0 THEN floor(target / source_size)::BIGINT ELSE 0 END AS epochs FROM t),
 u AS (

@@ -17,7 +17,7 @@ from hushpage.llm.fingerprints import combine, edited, fingerprint_with_next, li
 from hushpage.llm.jaccard_join import PrefixTree, keep_one_of_each, near_duplicates
 from hushpage.llm.keysets import bucket_edges, decode_sorted, encode_sorted
 from hushpage.llm.language_model import language_model_scores
-from hushpage.llm.mixing import mix_sources, mixed_documents, quality_weight, word_count
+from hushpage.llm.mixing import mix_sources, mixed_documents, quality_weight, source_targets, word_count
 from hushpage.llm.substrings import remove_repeats
 from hushpage.llm.textblocks import gram_hashes, word_hashes
 from hushpage.llm.toxicity import id_remainder, toxicity_scores, without_toxic
@@ -134,6 +134,25 @@ def test_mixing(docs, rows):
     assert mix_sources(docs.limit(0), size, quality_weight(F.col("text"), size)).count() == 0
 
 
+def test_targets_of_many_sources(spark):
+    r = random.Random(11)
+    for _ in range(4):
+        sizes = {f"s{i}": r.choice([0, 1, 5, 100, 1000, 3000]) for i in range(12)}
+        got = source_targets(spark.createDataFrame([(s, n, 1) for s, n in sizes.items()], "source string, source_size long, docs long"))
+        weight = {s: (3, 1, 2)[i % 3] for i, s in enumerate(sorted(sizes))}
+        free, left = set(sizes), 1.5 * sum(sizes.values())
+        while free:
+            share = {s: left * weight[s] / sum(weight[x] for x in free) for s in free}
+            over = {s for s in free if share[s] > 2 * sizes[s]}
+            if not over:
+                break
+            free -= over
+            left -= sum(2 * sizes[s] for s in over)
+        for row in got.collect():
+            want = share[row.source] if row.source in free else 2.0 * sizes[row.source]
+            assert math.isclose(row.target, want, abs_tol=1e-6), row
+
+
 def test_substrings(docs, rows):
     got = remove_repeats(docs).collect()
     assert len(got) == len(rows) and remove_repeats(docs).columns == [*docs.columns, "n_words", "n_removed", "removed_spans"]
