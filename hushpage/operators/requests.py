@@ -60,3 +60,25 @@ def split_requests(requests: DataFrame, body: str = "body") -> tuple[DataFrame,
 def dispatch(messages: DataFrame, kinds: list[str]) -> dict[str, DataFrame]:
     """Messages by their type, one DataFrame a kind."""
     return {k: messages.where(F.col("type") == k) for k in kinds}
+
+
+def model_output_code(body: Column) -> Column:
+    """Null for a model's plan that the closed schema accepts: an action, and maybe an explanation and a confidence within 0 and 1."""
+    keys = F.json_object_keys(body)
+    sure = F.get_json_object(body, "$.confidence").try_cast("double")
+    return (
+        F.when(keys.isNull(), "NOT_AN_OBJECT")
+        .when(~_closed(body, "$", ("action", "explanation", "confidence")), "UNKNOWN_KEY")
+        .when(F.json_object_keys(F.get_json_object(body, "$.action")).isNull(), "NO_ACTION")
+        .when(F.get_json_object(body, "$.confidence").isNotNull() & ~F.coalesce(sure.between(0, 1), F.lit(False)), "BAD_CONFIDENCE")
+    )
+
+
+def browser_state(pages: DataFrame) -> DataFrame:
+    """url, title, viewport and scroll position of pages, with the values that a page without them has."""
+    zero = F.lit(0.0)
+    view = F.struct(*[F.coalesce(c, zero).alias(c) for c in ("width", "height")], F.coalesce("ratio", F.lit(1.0)).alias("devicePixelRatio"))
+    return pages.select(
+        "snapshot_id", F.coalesce("url", F.lit("about:blank")).alias("url"), F.coalesce("title", F.lit("")).alias("title"), view.alias("viewport"),
+        *[F.coalesce(c, zero).alias(c) for c in ("scroll_x", "scroll_y")],
+    )

@@ -122,9 +122,10 @@ def text_regions(components: DataFrame, least_mean=0.5, least_pixels=16, unclip=
     return kept.where((F.col("width") >= least_side) & (F.col("height") >= least_side))
 
 
-def ctc_decode(logits: Column, steps: int, classes: int, dictionary: list[str]) -> Column:
+def ctc_decode(logits: Column, steps: Column | int, classes: Column | int, dictionary: list[str]) -> Column:
     """Struct (text, confidence) of greedy decoding: first maximum of a step, class 0 blank, repeats collapsed."""
-    rows = F.transform(F.sequence(F.lit(0), F.lit(steps - 1)), lambda t: F.slice(logits, t * classes + 1, classes))
+    steps, classes = (F.lit(v) if isinstance(v, int) else v for v in (steps, classes))
+    rows = F.transform(F.sequence(F.lit(0), steps - 1), lambda t: F.slice(logits, t * classes + 1, classes))
     best = F.transform(rows, lambda r: F.struct((F.array_position(r, F.array_max(r)) - 1).cast("int").alias("c"), F.array_max(r).cast("double").alias("v")))
     marked = F.transform(best, lambda b, i: F.struct(b["c"].alias("c"), b["v"].alias("v"), F.when(i > 0, F.get(best, i - 1)["c"]).otherwise(F.lit(-1)).alias("before")))
     kept = F.filter(marked, lambda m: (m["c"] != 0) & (m["c"] != m["before"]) & (m["c"] < len(dictionary)))

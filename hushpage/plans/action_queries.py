@@ -99,6 +99,28 @@ def closed_schema(spark, sf_dir):
     return made.select("page_id", requests.request_code(F.col("body")).alias("code"))
 
 
+def browser_states(spark, sf_dir):
+    at = F.col("page_id")
+    half = lambda n, v: F.when(at % n != 0, v)
+    pages = views.table(spark, sf_dir, "pages").select(
+        at.alias("snapshot_id"), half(3, F.col("url")).alias("url"), half(4, F.lit("Home")).alias("title"), half(5, F.lit(1280.0)).alias("width"), half(6, F.lit(720.0)).alias("height"),
+        half(7, F.lit(2.0)).alias("ratio"), half(2, F.lit(10.0)).alias("scroll_x"), half(9, F.lit(20.0)).alias("scroll_y"),
+    )
+    return requests.browser_state(pages).select("snapshot_id", "url", "title", "viewport.*", "scroll_x", "scroll_y")
+
+
+OUTPUTS = [
+    ('{"action":{"type":"click"},"confidence":0.5}', None), ('{"action":{"type":"click"},"explanation":"x"}', None), ('{"action":{"type":"click"},"confidence":1.5}', "BAD_CONFIDENCE"),
+    ('{"action":{},"more":1}', "UNKNOWN_KEY"), ('{"confidence":1}', "NO_ACTION"), ("7", "NOT_AN_OBJECT"),
+]
+
+
+def model_outputs(spark, sf_dir):
+    bodies = F.array(*[F.lit(b) for b, _ in OUTPUTS])
+    made = views.table(spark, sf_dir, "pages").select("page_id", F.get(bodies, (F.col("page_id") % len(OUTPUTS)).cast("int")).alias("body"))
+    return made.select("page_id", requests.model_output_code(F.col("body")).alias("code"))
+
+
 def pii_prf(spark, sf_dir):
     """Form rules judged against the first detection rule's password fields and the page's own types."""
     page = views.elements(spark, sf_dir)
@@ -118,7 +140,7 @@ def stage_counts(spark, sf_dir):
 
 _QUERIES = (
     client_valid, server_valid, contract_disagreements, planned_codes, dry_run, intents, model_intents, click_plans, select_plans, type_plans, vlm_plans,
-    plan_responses, closed_schema, pii_prf, task_success, stage_counts,
+    plan_responses, closed_schema, browser_states, model_outputs, pii_prf, task_success, stage_counts,
 )
 QUERIES = {f.__name__: f for f in _QUERIES}
 
@@ -246,7 +268,14 @@ _RULES, _MODEL = _plans_sql(False), _plans_sql(True)
 _CONF = " ".join(f"WHEN '{k}' THEN {v}::DOUBLE" for k, v in planning.CONFIDENCE.items())
 _CODES = " ".join(f"WHEN {i} THEN {'NULL' if c is None else chr(39) + c + chr(39)}" for i, (_, c) in enumerate(BODIES))
 
+_OUT = " ".join(f"WHEN {i} THEN {'NULL' if c is None else chr(39) + c + chr(39)}" for i, (_, c) in enumerate(OUTPUTS))
+
 ORACLES = {
+    "browser_states": """
+        SELECT page_id AS snapshot_id, CASE WHEN page_id % 3 <> 0 THEN url ELSE 'about:blank' END AS url, CASE WHEN page_id % 4 <> 0 THEN 'Home' ELSE '' END AS title,
+          CASE WHEN page_id % 5 <> 0 THEN 1280 ELSE 0 END::DOUBLE AS width, CASE WHEN page_id % 6 <> 0 THEN 720 ELSE 0 END::DOUBLE AS height, CASE WHEN page_id % 7 <> 0 THEN 2 ELSE 1 END::DOUBLE AS devicePixelRatio,
+          CASE WHEN page_id % 2 <> 0 THEN 10 ELSE 0 END::DOUBLE AS scroll_x, CASE WHEN page_id % 9 <> 0 THEN 20 ELSE 0 END::DOUBLE AS scroll_y FROM pages""",
+    "model_outputs": f"SELECT page_id, CASE page_id % {len(OUTPUTS)} {_OUT} END AS code FROM pages",
     "client_valid": f"SELECT action_id, client AS valid FROM ({PARSED})",
     "server_valid": f"SELECT action_id, server AS valid FROM ({SERVER})",
     "contract_disagreements": f"SELECT action_id, client, server FROM ({SERVER}) WHERE client <> server",
