@@ -6,6 +6,7 @@ blocks and answers each with one value a key, in the same order. Texts stay wher
 
 from __future__ import annotations
 
+import math
 import struct
 
 import numpy as np
@@ -83,7 +84,12 @@ def text_blocks(docs: DataFrame, block: Column, n: int, columns: list) -> DataFr
     return docs.select(*columns, block.alias("block")).repartition(max(n, partitions(docs.sparkSession)), "block")
 
 
-def text_block_count(docs: DataFrame, text_col: str, block_bytes: int = 32 << 20) -> int:
-    """As many blocks as shuffle partitions, more if a block would hold over ``block_bytes`` of text."""
+def text_block_count(docs: DataFrame, text_col: str, least: int = 8 << 20, most: int = 256 << 20) -> int:
+    """As many blocks as shuffle partitions, more if a block would hold too much text for a task's memory.
+
+    A block sends one blob to each bucket, so blocks grow with the square root of all text, from ``least`` bytes for up to 8 GiB
+    to ``most``: fewer and larger blobs, and a bounded block.
+    """
     total = docs.agg(F.sum(F.octet_length(F.col(text_col)))).first()[0] or 0
-    return max(partitions(docs.sparkSession), -(-total // block_bytes), 1)
+    size = min(max(least * (total / (8 << 30)) ** 0.5, least), most)
+    return max(partitions(docs.sparkSession), math.ceil(total / size), 1)
