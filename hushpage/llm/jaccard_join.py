@@ -126,20 +126,20 @@ def _documents(docs: DataFrame, k: int, percent: int, id_col: str, text_col: str
     def send(rows: pa.Table) -> pa.Table:
         keys = np.concatenate(sets_of(rows)) >> shift
         found, counts = np.unique(keys, return_counts=True)
-        return key_blobs(rows["block"][0].as_py(), found, np.minimum(counts, 65_535).astype("<u2"), n, bits)
+        return key_blobs(rows["block"][0].as_py(), found, np.minimum(counts, 255).astype(np.uint8), n, bits)
 
     def judge(rows: pa.Table) -> pa.Table:
         keys = [decode_sorted(b) for b in rows["keys"].to_pylist()]
-        counts = np.concatenate([np.frombuffer(b, "<u2") for b in rows["counts"].to_pylist()]).astype(np.float64)
+        counts = np.concatenate([np.frombuffer(b, np.uint8) for b in rows["counts"].to_pylist()]).astype(np.float64)
         _, back = np.unique(np.concatenate(keys), return_inverse=True)
-        total = np.minimum(np.bincount(back, weights=counts), 65_535).astype("<u2")[back] if len(back) else counts.astype("<u2")
+        total = np.minimum(np.bincount(back, weights=counts), 255).astype(np.uint8)[back] if len(back) else counts.astype(np.uint8)
         return answers(rows, [x.tobytes() for x in np.split(total, np.cumsum([len(x) for x in keys])[:-1])])
 
     def finish(rows: pa.Table, answer: pa.Table) -> pa.Table:
         sets = sets_of(rows)
         every = np.concatenate(sets)
         found, back = np.unique(every >> shift, return_inverse=True)
-        held = np.concatenate([np.frombuffer(b, "<u2") for b in in_order(answer)])
+        held = np.concatenate([np.frombuffer(b, np.uint8) for b in in_order(answer)])  # 255 stands for more
         assert len(held) == len(found) == bucket_edges(found, n, bits)[-1]
         often = held[back]
         ends = np.cumsum([len(s) for s in sets])
@@ -199,7 +199,7 @@ def _may_reach(a: str, b: str, percent: int) -> Column:
     return reach * (100 + percent) >= percent * (n + m)
 
 
-def _verify(pairs: DataFrame, classes: DataFrame, percent: int, kind: str, group: int = 2_048) -> DataFrame:
+def _verify(pairs: DataFrame, classes: DataFrame, percent: int, kind: str, group: int = 256) -> DataFrame:
     """Links (a, b) among candidate pairs (lead, cid), by prefix trees of at most about ``group`` sets a lead."""
     parts = pairs.groupBy("lead").count().select("lead", F.ceil(F.col("count") / group).cast("int").alias("parts"))
     dealt = pairs.join(parts, "lead").withColumn("part", F.pmod(F.xxhash64("cid"), F.col("parts")).cast("int"))
@@ -235,7 +235,7 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, id_col: str
     sets = cut(_documents(docs, k, percent, id_col, text_col))
     usable = sets.where("tokens IS NOT NULL AND id IS NOT NULL")
     classes = cut(usable.groupBy("h1", "h2", "n").agg(F.min("id").alias("cid"), F.first("tokens").alias("tokens")))
-    postings = cut(_postings(classes, percent, kind))
+    postings = _postings(classes, percent, kind)  # cheaper to derive again from the classes than to keep
     ends = postings.groupBy("token").agg(F.min("cid").alias("low"), F.max("cid").alias("high")).where("low <> high")
     met = postings.select("token", "cid").join(ends, "token").select("cid", F.explode(F.array("low", "high")).alias("lead"))
     first = cut(met.where("cid <> lead").select("lead", "cid").distinct())

@@ -237,8 +237,6 @@ def _plans_sql(model: bool) -> str:
     typing = "intent IN ('type', 'type_into')"
     generic = "TRUE" if model else "regexp_matches(lower(arg2), 'input|field|textbox')"
     fields = _shape("'input', 'textarea'", "'input', 'textarea'", "'textbox', 'searchbox'")
-    refuse = f"WHEN {typing}{' OR intent = ' + chr(39) + 'select' + chr(39) if model else ''} AND FALSE THEN NULL"
-    del refuse
     sensitive = f"coalesce(t.sensitive, FALSE) AND ({typing}{' OR intent = ' + chr(39) + 'select' + chr(39) if model else ''})"
     secret = f"{typing} AND ({low('t.input_type')} = 'password' OR contains(lower(t.id), 'password'))"
     state = "WHEN NOT t.visible THEN 'NOT_VISIBLE' WHEN NOT t.enabled THEN 'DISABLED'"

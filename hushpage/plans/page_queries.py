@@ -214,7 +214,6 @@ def _rounded(x: str, y: str, w: str, h: str, iw: float | None, ih: float | None)
 
 def _fold_sql(keep: bool, iw: float | None = None, ih: float | None = None) -> str:
     """The fold as a recursive query: one row a page and step, carrying its clusters as a list."""
-    d_box = "{'x': d.x, 'y': d.y, 'width': d.width, 'height': d.height, 'area': d.width * d.height}"
     ax, ay, aw, ah = _rounded("d.x", "d.y", "d.width", "d.height", iw, ih)
     left, top = "least(c.x, d.x)", "least(c.y, d.y)"
     mx, my, mw, mh = _rounded(left, top, f"(greatest(c.x + c.width, d.x + d.width) - {left})", f"(greatest(c.y + c.height, d.y + d.height) - {top})", iw, ih)
@@ -226,7 +225,6 @@ def _fold_sql(keep: bool, iw: float | None = None, ih: float | None = None) -> s
     )
     begin = alone if keep else f"CASE WHEN d.phase = 0 THEN {alone} END"
     fresh = f"CASE WHEN {'TRUE' if keep else 'd.phase = 0'} THEN list_append(f.clusters, {alone}) ELSE f.clusters END"
-    del d_box
     return f"""
     WITH RECURSIVE d AS (
       SELECT snapshot_id, type, x, y, width, height, confidence, CAST(ord AS VARCHAR) AS id, CASE WHEN ord % 2 = 0 THEN 't' || ord END AS text,

@@ -265,6 +265,19 @@ def test_fingerprints(docs, rows):
     assert fingerprint_with_next(docs.limit(0)).count() == 0
 
 
+def test_fingerprints_with_null_ids_come_last(spark):
+    rows = [(5, "first text here"), (3, "second one"), (None, "nobody's"), (None, None)]
+    got = fingerprint_with_next(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    order = [rows[0], rows[1], rows[3], rows[2]]  # equal ids are ordered by text
+    want = []
+    for i, (d, t) in enumerate(order):
+        t, u = t or "", order[(i + 1) % 4][1] or ""
+        want.append((d, len(t), hashlib.sha256(edited(t, u).encode()).hexdigest()))
+    assert sorted(((r.doc_id, r.n_chars, r.edited_sha256) for r in got), key=str) == sorted(want, key=str)
+    lone = fingerprint_with_next(spark.createDataFrame(rows[:1], "doc_id long, text string")).collect()
+    assert lone[0].near_next == 1.0 and lone[0].edited_sha256 == hashlib.sha256(edited(rows[0][1], rows[0][1]).encode()).hexdigest()
+
+
 def test_fingerprints_are_homomorphic():
     one, two, both = (render(*(x[0] for x in vectors([t]))) for t in ("first line here", "second line\nthird", "second line\nthird\nfirst line here"))
     assert combine(one, two) == both and combine(both, two, -1) == one

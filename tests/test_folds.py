@@ -1,5 +1,6 @@
 """Order-dependent operators against plain sequential models, and streams against batches."""
 
+import hashlib
 import random
 
 from pyspark.sql import functions as F
@@ -9,7 +10,7 @@ from hushpage.operators.fuse import FuseOptions, fuse_detections
 from hushpage.operators.ids import element_ids
 from hushpage.operators.vision import ctc_decode, suppress
 from hushpage.sources import views
-from hushpage.sources.pages import data_url_bytes, read_snapshots, scan_html
+from hushpage.sources.pages import data_url_bytes, read_dictionary, read_screenshots, read_snapshots, scan_html
 from hushpage.streaming import pages as streaming
 
 SF = "/root/testdata/sf0.001"
@@ -101,6 +102,13 @@ def test_sources(spark, tmp_path):
     assert [r[0] for r in url] == [bytearray(b"\x00\x01"), None]
 
 
+def test_dictionary_and_files(spark, tmp_path):
+    (tmp_path / "d.txt").write_text("-\na\n\nb\n ")
+    assert read_dictionary(spark, str(tmp_path / "d.txt")) == ["-", "a", "b", " "]
+    shot = read_screenshots(spark, str(tmp_path / "d.txt")).first()
+    assert shot.sha256 == hashlib.sha256(b"-\na\n\nb\n ").hexdigest()
+
+
 def test_registry():
     registry.set_planner("mine", lambda tasks, elements: tasks)
     assert registry.get_planner("mine")(1, 2) == 1
