@@ -11,6 +11,7 @@ from hushpage.llm.jaccard_join import near_duplicates
 from hushpage.llm.language_model import language_model_scores
 from hushpage.llm.mixing import mix_sources, quality_weight, word_count
 from hushpage.llm.packing import pack_documents
+from hushpage.llm.preferences import answer_swaps, format_preferences
 from hushpage.llm.substrings import remove_repeats
 from hushpage.llm.token_counts import token_counts
 from hushpage.llm.toxicity import id_remainder, toxicity_scores
@@ -26,6 +27,15 @@ def op1_language_model(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language_model_scores(table(spark, sf_dir, "documents"), id_remainder("doc_id", 5) == 1, shard, rounds=4)
 
 
+def op2_preference_format(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every conversation against itself with another's last answer; masks as runs such as 22-,340+,1-."""
+    out = format_preferences(answer_swaps(table(spark, sf_dir, "conversations")))
+    for side in ("chosen", "rejected"):
+        runs = F.transform(f"{side}_mask", lambda r: F.concat(r["length"].cast("string"), F.when(r["scored"], "+").otherwise("-")))
+        out = out.withColumn(f"{side}_mask", F.array_join(runs, ","))
+    return out
+
+
 def op3_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     size = word_count(F.col("text"))
     return mix_sources(table(spark, sf_dir, "documents"), size, quality_weight(F.col("text"), size))
@@ -62,6 +72,47 @@ def op10_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fingerprint_with_next(table(spark, sf_dir, "documents"))
 
 
+ROLE_SQL, TEXT_SQL = (
+    f"replace(replace({field}, '<|im_start|>', '< |im_start| >'), '<|im_end|>', '< |im_end| >')"
+    for field in ("regexp_replace(t.role, '[\\r\\n]+', ' ', 'g')", "t.text")
+)
+
+
+def _turns_sql(turns: str) -> str:
+    """SQL for the rendered form of a list of turns."""
+    rendered = f"'<|im_start|>' || {ROLE_SQL} || chr(10) || {TEXT_SQL} || '<|im_end|>' || chr(10)"
+    return f"array_to_string(list_transform({turns}, lambda t: {rendered}), '')"
+
+
+def _runs_sql(turns: str) -> str:
+    """SQL for the mask of a list of turns; a run's length is that of the text that it covers."""
+    head, body = f"length('<|im_start|>' || {ROLE_SQL} || chr(10))", f"length({TEXT_SQL} || '<|im_end|>')"
+    runs = f"{head} || '-,' || {body} || CASE WHEN t.role = 'assistant' THEN '+' ELSE '-' END || ',1-'"
+    return f"array_to_string(list_transform({turns}, lambda t: {runs}), ',')"
+
+
+OP2_SQL = f"""
+WITH n AS (
+  SELECT conv_id, coalesce(role, '') AS role, coalesce(text, '') AS text,
+         row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role NULLS FIRST, text NULLS FIRST) AS pos
+  FROM conversations WHERE conv_id IS NOT NULL),
+c AS (
+  SELECT conv_id, list({{'role': role, 'text': text}} ORDER BY pos) AS own, coalesce(max(pos) FILTER (WHERE role = 'assistant'), 0) AS last
+  FROM n GROUP BY conv_id),
+p AS (
+  SELECT a.conv_id AS pair_id, a.own AS c,
+         CASE WHEN a.last = 0 THEN a.own WHEN coalesce(b.last, 0) = 0 THEN a.own[1:a.last - 1]
+              ELSE list_concat(a.own[1:a.last - 1], b.own[b.last:b.last]) END AS r
+  FROM c a LEFT JOIN c b ON b.conv_id = xor(a.conv_id, 1)),
+q AS (
+  SELECT *, coalesce(list_min(list_filter(range(1, greatest(len(c), len(r)) + 1),
+                     lambda i: i > least(len(c), len(r)) OR c[i] IS DISTINCT FROM r[i])) - 1, len(c))::INT AS n_common FROM p),
+s AS (SELECT *, c[n_common + 1:] AS cs, r[n_common + 1:] AS rs FROM q)
+SELECT pair_id, len(c)::INT AS n_chosen, len(r)::INT AS n_rejected, n_common, {_turns_sql("c[1:n_common]")} AS prompt,
+       {_turns_sql("cs")} AS chosen, {_turns_sql("rs")} AS rejected, {_runs_sql("cs")} AS chosen_mask, {_runs_sql("rs")} AS rejected_mask
+FROM s
+"""
+
 OP3_SQL = r"""
 WITH d AS (
   SELECT doc_id, source, coalesce(text, '') AS text,
@@ -113,6 +164,7 @@ SELECT query_id, rank, vec_id, score FROM r WHERE rank <= 20
 
 QUERIES = {
     "op1_language_model": op1_language_model,
+    "op2_preference_format": op2_preference_format,
     "op3_mix_sources": op3_mix_sources,
     "op4_pack_documents": op4_pack_documents,
     "op5_exact_top_k": op5_exact_top_k,
@@ -123,4 +175,4 @@ QUERIES = {
     "op10_fingerprints": op10_fingerprints,
 }
 
-ORACLES = {"op5_exact_top_k": OP5_SQL, "op3_mix_sources": OP3_SQL}
+ORACLES = {"op2_preference_format": OP2_SQL, "op3_mix_sources": OP3_SQL, "op5_exact_top_k": OP5_SQL}
