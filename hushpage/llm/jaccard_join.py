@@ -26,7 +26,8 @@ from hushpage.llm.keysets import ANSWERS, BLOBS, answers, bucket_edges, decode_s
 from hushpage.llm.textblocks import as_bytes, gram_hashes, mix, word_hashes
 
 
-#: Ids of removed rows up to this number are sent to the scan of the documents; beyond it both sides are shuffled.
+#: Up to this number, ids of removed rows or of sets with many candidates are sent to the rows they belong to (at most
+#: some 50 MB); beyond it both sides are shuffled.
 BROADCAST_IDS = 2_000_000
 
 
@@ -201,8 +202,11 @@ def _may_reach(a: str, b: str, percent: int) -> Column:
 
 def _verify(pairs: DataFrame, classes: DataFrame, percent: int, kind: str, group: int = 256) -> DataFrame:
     """Links (a, b) among candidate pairs (lead, cid), by prefix trees of at most about ``group`` sets a lead."""
-    parts = pairs.groupBy("lead").count().select("lead", F.ceil(F.col("count") / group).cast("int").alias("parts"))
-    dealt = pairs.join(parts, "lead").withColumn("part", F.pmod(F.xxhash64("cid"), F.col("parts")).cast("int"))
+    sizes = pairs.groupBy("lead").count().where(F.col("count") > group)
+    parts = cut(sizes.select("lead", F.ceil(F.col("count") / group).cast("int").alias("parts")))
+    few = parts.count() <= BROADCAST_IDS  # then pairs are never shuffled by lead, so a hot lead is no hot task
+    dealt = pairs.join(F.broadcast(parts) if few else parts, "lead", "left")
+    dealt = dealt.withColumn("part", F.pmod(F.xxhash64("cid"), F.coalesce("parts", F.lit(1))).cast("int"))
     sets = classes.select("cid", "n", "tokens")
     members = dealt.select("lead", "part", "cid").join(sets, "cid")
     asked = dealt.select(F.col("lead").alias("l"), F.col("part").alias("p")).distinct()
