@@ -149,9 +149,11 @@ def guard_verdicts(spark, sf_dir):
 
 
 def passing_contexts(spark, sf_dir):
-    clean = sanitize.sanitize_elements(views.elements(spark, sf_dir), views.detections(spark, sf_dir))
-    seen = views.detections(spark, sf_dir).withColumn("sources", F.array("source"))
-    out = guard.contexts(_pages(spark, sf_dir), clean, seen, input_violations(spark, sf_dir))
+    """What may leave: pages without a violation of any phase, over the elements as sanitised."""
+    raw, found = views.elements(spark, sf_dir), views.detections(spark, sf_dir)
+    clean = sanitize.sanitize_elements(raw, found)
+    violations = input_violations(spark, sf_dir).union(guard.value_leaks(raw, clean)).union(guard.secret_leaks(clean, found))
+    out = guard.contexts(_pages(spark, sf_dir), clean, found.withColumn("sources", F.array("source")), violations)
     return out.select("snapshot_id", "url", "title", F.coalesce(F.size("elements"), F.lit(0)).alias("elements"), F.coalesce(F.size("regions"), F.lit(0)).alias("regions"), "total_detections", "sensitive_detections", "redacted_regions")
 
 
