@@ -2,7 +2,8 @@
 
 A compact table of frequent pre-token lengths is broadcast (tier one); a worker
 encodes what it misses and keeps the lengths in a bounded cache (tier two).
-No pre-token is ever shuffled and a document never leaves its scan task.
+The table comes from the counts of pre-tokens over all texts, added up in each task before they are
+shuffled; a document never leaves its scan task.
 """
 
 from __future__ import annotations
@@ -16,6 +17,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from hushpage.llm.blocks import cut
+
 #: Unicode's White_Space characters, which end a pre-token.
 _WS = "\\t-\\r \\x85\\xa0\\u1680\\u2000-\\u200a\\u2028\\u2029\\u202f\\u205f\\u3000"
 #: A run of other characters with the one space before it, or a run of white space without that space.
@@ -26,6 +29,9 @@ _WORD = re.compile(f"[^{_WS}]+")
 #: Longer chunks are encoded each time rather than cached.
 _CACHED_CHARS = 64
 
+#: Distinct chunks that a task counts before it sends them on.
+_COUNTED = 1 << 15
+
 
 def chunks(text: str) -> list[str]:
     """Pieces that a byte-level BPE encodes independently: every pre-token lies in one piece."""
@@ -78,18 +84,38 @@ class ChunkLengths:
         return sum(self.known[p] for p in parts if len(p) <= _CACHED_CHARS) + sum(self.encode(long))
 
 
-def frequent_table(docs: DataFrame, path: str, text_col: str, sample_rows: int, table_size: int) -> tuple[str, bytes]:
-    """The most frequent chunks of a bounded sample, joined by NUL, and their token counts.
+def frequent_table(docs: DataFrame, path: str, text_col: str, table_size: int) -> tuple[str, bytes]:
+    """The most frequent chunks of all texts, joined by NUL, and their token counts as 16-bit numbers.
 
-    Only a cache: it never changes a count. The sample is at most ``sample_rows`` texts of at most 64 KiB.
+    Only a cache: it never changes a count. A task counts its texts and sends a counter on when it holds ``_COUNTED`` chunks.
     """
-    small = docs.select(F.col(text_col).alias("t")).where(F.octet_length("t") <= 65_536).limit(sample_rows).collect()
-    seen: Counter[str] = Counter()
-    for row in small:
-        seen.update(p for p in chunks(row.t) if len(p) <= _CACHED_CHARS and "\0" not in p)
-    top = [p for p, _ in seen.most_common(table_size)]
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen: Counter[str] = Counter()
+
+        def sent() -> pa.RecordBatch:
+            kept = [(p, n) for p, n in seen.items() if "\0" not in p]
+            return pa.RecordBatch.from_arrays([pa.array([p for p, _ in kept], pa.string()), pa.array([n for _, n in kept], pa.int64())], names=["chunk", "n"])
+
+        for batch in batches:
+            for text in batch.column(0):
+                seen.update([p for p in chunks(text.as_py() or "") if len(p) <= _CACHED_CHARS])
+                if len(seen) >= _COUNTED:
+                    yield sent()
+                    seen.clear()
+        yield sent()
+
+    counted = cut(docs.select(text_col).mapInArrow(count, "chunk string, n long").groupBy("chunk").agg(F.sum("n").alias("n")))
+    # The least count in the table comes from how many chunks have each count, so that no task sends more than its share.
+    least, room = 0, table_size
+    for row in counted.groupBy("n").agg(F.count(F.lit(1)).alias("chunks")).orderBy(F.desc("n")).collect():
+        least, room = row.n, room - row.chunks
+        if room <= 0:
+            break
+    found = counted.where(F.col("n") > least).collect() + counted.where(F.col("n") == least).limit(table_size).collect()
+    top = [row.chunk for row in sorted(found, key=lambda row: (-row.n, row.chunk))[:table_size]]
     lengths = ChunkLengths(path, {}).encode(top)
-    return "\0".join(top), np.minimum(np.asarray(lengths, dtype=np.int64), 255).astype(np.uint8).tobytes()
+    return "\0".join(top), np.asarray(lengths, dtype="<u2").tobytes()
 
 
 def token_counts(
@@ -98,7 +124,6 @@ def token_counts(
     limit: int = 512,
     id_col: str = "doc_id",
     text_col: str = "text",
-    sample_rows: int = 2_000,
     table_size: int = 1 << 15,
 ) -> DataFrame:
     """(id, n_bytes, n_tokens, over_limit) of every whole text under a byte-level BPE of the tokenizers library.
@@ -108,12 +133,12 @@ def token_counts(
     No begin, end or other special tokens are added; special strings inside a text are taken as the
     library takes them by default.
     """
-    names, lengths = frequent_table(docs, tokenizer_path, text_col, sample_rows, table_size)
+    names, lengths = frequent_table(docs, tokenizer_path, text_col, table_size)
     shared = docs.sparkSession.sparkContext.broadcast((names, lengths))
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         packed, sizes = shared.value
-        counter = ChunkLengths(tokenizer_path, dict(zip(packed.split("\0"), sizes, strict=True)) if sizes else {})
+        counter = ChunkLengths(tokenizer_path, dict(zip(packed.split("\0"), np.frombuffer(sizes, "<u2").tolist(), strict=True)) if sizes else {})
         for batch in batches:
             for at in range(0, batch.num_rows, 512):
                 part = batch.slice(at, 512)
