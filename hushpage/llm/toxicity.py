@@ -1,11 +1,17 @@
 """Toxicity by class-conditional Kneser-Ney models.
 
-Two models, of toxic and of ordinary documents, are estimated from labelled documents over words, word
-pairs and stems (the first five bytes of longer words). Counts are of documents in which an expression occurs (distinct contexts, not occurrences), discounted
-absolutely, and the mass taken off is spread by counts that both classes share. An expression whose
-counts do not tell the classes apart rests on the shared counts alone, so it has the same
-likelihood in both: a pair backs off to its word, a word to its stem, a stem to the shared counts. A text's score compares
-both log-likelihoods, normalised by its length and calibrated by logistic regression.
+p(word | previous word, class) is estimated for toxic and for ordinary documents, in four levels that share what they do not trust:
+
+* pairs: documents of the class that hold the pair, discounted, over those that hold its first word;
+* words: continuation counts, the distinct words that come before a word in documents of the class;
+* stems (the first five bytes of longer words; a shorter word is its own): the words' counts that were taken off;
+* shared: what both classes took off the stems, with a share for stems never seen. A word's share of its stem is shared, too.
+
+Each level takes ``DISCOUNT`` off an expression's count if the documents that hold it tell the classes apart (by a
+threshold of standard deviations), else the whole count, and gives exactly what it took to the next level, so each class's
+distribution sums to one. Rare expressions thus rest on the counts of both classes. A text's score compares both log-likelihoods,
+normalised by its length and calibrated by logistic regression. What rests on shared counts cancels in that
+comparison, so only expressions that some threshold trusts reach the driver.
 """
 
 from __future__ import annotations
@@ -13,16 +19,19 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from hushpage.llm.textblocks import gram_hashes, word_hashes_and_stems
+from hushpage.llm.blocks import cut
+from hushpage.llm.textblocks import mix, word_hashes_and_stems
 
 #: Thresholds among which the calibration documents choose, in standard deviations.
 THRESHOLDS = (3.0, 4.0, 5.0, 6.0, 8.0)
-_TOTAL = 0  # the hash under which a map task reports its totals
+DISCOUNT = 0.75
+START = np.uint64(0x5EED5EED5EED5EED)
 
 
 def id_remainder(id_col: str, n: int) -> Column:
@@ -30,85 +39,145 @@ def id_remainder(id_col: str, n: int) -> Column:
     return F.coalesce(F.crc32(F.col(id_col).cast("string").cast("binary")) % n, F.lit(0))
 
 
-def expressions(texts: list[bytes]) -> tuple[list[np.ndarray], np.ndarray]:
-    """For each word of lower-cased texts the hashes of the pair that it ends, of itself and of its stem, longest
-    expression first and 0 where there is none; and the offsets of the texts."""
-    words, off, stems = word_hashes_and_stems([t.lower() for t in texts])
-    pairs = np.zeros(len(words), dtype=np.uint64)
-    pairs[1:] = gram_hashes(words, 2)
-    pairs[off[:-1][off[:-1] < off[1:]]] = 0
-    return [pairs, words, stems], off
+class Expressions:
+    """Hashes of each word of lower-cased texts: the pair that it ends, its previous word, itself and its stem."""
+
+    def __init__(self, texts: list[bytes]):
+        self.word, self.off, stems = word_hashes_and_stems([t.lower() for t in texts])
+        self.stem = np.where(stems == 0, self.word ^ np.uint64(0x77), stems)
+        self.before = np.concatenate(([START], self.word[:-1]))[: len(self.word)]
+        self.before[self.off[:-1][self.off[:-1] < self.off[1:]]] = START
+        self.pair = mix(self.before * np.uint64(3) + self.word)
 
 
 def _texts(column: pa.Array) -> list[bytes]:
     return [b"" if v is None else v for v in column.cast(pa.binary()).to_pylist()]
 
 
-def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Documents of each class by expression, combined within the task."""
-    held: list[tuple[np.ndarray, np.ndarray]] = []
-    size = 0
-
-    def flush() -> pa.RecordBatch:
-        keys = np.concatenate([h for h, _ in held])
-        toxic = np.concatenate([y for _, y in held])
-        found, back = np.unique(keys, return_inverse=True)
-        both = np.bincount(back, minlength=len(found))
-        bad = np.bincount(back, weights=toxic, minlength=len(found)).astype(np.int64)
-        found = np.append(found, np.uint64(_TOTAL))
-        return pa.RecordBatch.from_arrays(
-            [pa.array(found.view(np.int64)), pa.array(np.append(bad, bad.sum())), pa.array(np.append(both, both.sum()).astype(np.int64))],
-            names=["expression", "toxic", "docs"],
-        )
+_COUNTS = "level int, before long, expression long, stem long, toxic long, docs long"
+
 
+def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Documents of each class by pair (level 0), word (1) and stem (2), combined for some documents at a time."""
     for batch in batches:
-        orders, off = expressions(_texts(batch.column(0)))
-        labels = batch.column(1).to_numpy(zero_copy_only=False)
-        for i, (a, b) in enumerate(zip(off[:-1], off[1:], strict=True)):
-            both = np.unique(np.concatenate([x[a:b] for x in orders]))
-            both = both[both != _TOTAL]
-            held.append((both, np.full(len(both), float(labels[i]))))
-            size += len(both)
-            if size > 2_000_000:
-                yield flush()
-                held, size = [], 0
-    if held:
-        yield flush()
+        for at in range(0, batch.num_rows, 256):
+            part = batch.slice(at, 256)
+            found = Expressions(_texts(part.column(0)))
+            toxic = part.column(1).to_numpy(zero_copy_only=False).astype(np.int64)
+            doc = np.repeat(np.arange(part.num_rows), np.diff(found.off))
+            for level, key in enumerate((found.pair, found.word, found.stem)):
+                order = np.lexsort((doc, key))
+                k, d = key[order], doc[order]
+                new = np.concatenate(([True], (k[1:] != k[:-1]) | (d[1:] != d[:-1])))[: len(k)]
+                order, k, d = order[new], k[new], d[new]
+                first = np.flatnonzero(np.concatenate(([True], k[1:] != k[:-1]))[: len(k)])
+                if not len(first):
+                    continue
+                one, n = order[first], np.diff(np.append(first, len(k)))
+                named = key if level == 2 else found.word
+                yield pa.RecordBatch.from_arrays(
+                    [
+                        pa.array(np.full(len(one), level, dtype=np.int32)),
+                        pa.array((found.before[one] if level == 0 else np.zeros(len(one), np.uint64)).view(np.int64)),
+                        *(pa.array(x[one].view(np.int64)) for x in (named, found.stem)),
+                        *(pa.array(x.astype(np.int64)) for x in (np.add.reduceat(toxic[d], first), n)),
+                    ],
+                    names=["level", "before", "expression", "stem", "toxic", "docs"],
+                )
 
 
-class ToxicityModel:
-    """Significant expressions with their log-likelihood ratios, and the calibration of a text's score."""
+def _deviation(toxic, docs, share: float):
+    """How far an expression's toxic documents lie from the share that they would have in both classes alike."""
+    expected = docs * share
+    square = (toxic - expected) * (toxic - expected) / (expected * (1 - share) + 1)
+    return square**0.5 if not isinstance(square, Column) else F.sqrt(square)
+
+
+class Level:
+    """Sorted hashes with a log-likelihood ratio each."""
 
-    def __init__(self, keys: np.ndarray, ratio: np.ndarray, deviation: np.ndarray, prior: float):
+    def __init__(self, keys: np.ndarray, ratio: np.ndarray):
         order = np.argsort(keys)
-        self.keys, self.ratio, self.deviation = keys[order], ratio[order], np.abs(deviation[order])
-        self.threshold, self.weights, self.prior = THRESHOLDS[0], None, prior
+        self.keys, self.ratio = keys[order], ratio[order]
 
-    def _ratios(self, hashes: np.ndarray, threshold: float) -> np.ndarray:
+    def find(self, hashes: np.ndarray, otherwise) -> np.ndarray:
         if not len(self.keys):
-            return np.zeros(len(hashes))
+            return np.broadcast_to(otherwise, hashes.shape)
         at = np.minimum(np.searchsorted(self.keys, hashes), len(self.keys) - 1)
-        known = (self.keys[at] == hashes) & (self.deviation[at] >= threshold)
-        return np.where(known, self.ratio[at], 0.0)
-
-    def features(self, texts: list[bytes], threshold: float | None = None) -> np.ndarray:
-        """Difference of the log-likelihoods over the length and over its square root."""
-        threshold = self.threshold if threshold is None else threshold
-        orders, off = expressions(texts)
-        token = np.zeros(off[-1])
-        for hashes in orders:
-            token = np.where(token != 0, token, self._ratios(hashes, threshold))
+        return np.where(self.keys[at] == hashes, self.ratio[at], otherwise)
+
+
+class KneserNey:
+    """Both classes' models for one threshold, as the log-likelihood ratios of what it trusts.
+
+    ``pairs`` (before, word, toxic, docs, ctx_toxic, ctx_other: the sums of their first word), ``words`` (word, stem, toxic, docs,
+    k_toxic, k_other: continuation counts) and ``stems`` (stem, toxic, docs, k_toxic, k_other, m: its words' continuation
+    counts) need only have what some threshold trusts, the words of such pairs, and the stems of these words. ``totals`` are
+    the classes' sums of continuation counts, and ``n_stems`` counts all stems.
+    """
+
+    def __init__(self, pairs: pd.DataFrame, words: pd.DataFrame, stems: pd.DataFrame, totals: tuple[float, float], n_stems: int, share: float, threshold: float):
+        trusts = lambda t: _deviation(t["toxic"].to_numpy(float), t["docs"].to_numpy(float), share) >= threshold
+        less = lambda n, sure: np.where(sure, np.maximum(n - DISCOUNT, 0.0), 0.0)
+        sure_w, sure_s, sure_p = trusts(words), trusts(stems), trusts(pairs)
+        at_stem = np.searchsorted(stems["stem"].to_numpy(), words["stem"].to_numpy())
+        kept_w, rest_w, kept_s, rest_s, l1, l2, taken = [], [], [], [], [], [], []
+        for name, total in zip(("k_toxic", "k_other"), totals, strict=True):
+            k = words[name].to_numpy(float)
+            kept_w.append(less(k, sure_w))
+            rest_w.append(k - kept_w[-1])
+            l1.append(1 - kept_w[-1].sum() / total)
+            g = stems[name].to_numpy(float) - np.bincount(at_stem, weights=kept_w[-1], minlength=len(stems))
+            kept_s.append(less(g, sure_s))
+            rest_s.append(g - kept_s[-1])
+            taken.append(total - kept_w[-1].sum())
+            l2.append(1 - kept_s[-1].sum() / taken[-1])
+        left = sum(n * x for n, x in zip(taken, l2, strict=True))  # of all stems together
+        unseen = DISCOUNT * n_stems / left / (n_stems + 1)  # the share of one stem, and of all that were never seen
+        shared = np.maximum(rest_s[0] + rest_s[1] - DISCOUNT, 0.0) / left + unseen
+        p_stem = [kept / n + x * shared for kept, n, x in zip(kept_s, taken, l2, strict=True)]
+        held = sum(np.bincount(at_stem, weights=k, minlength=len(stems)) for k in kept_w)
+        inside = (rest_w[0] + rest_w[1]) / (stems["k_toxic"] + stems["k_other"] - held + 1.0).to_numpy()[at_stem]
+        p_word = [kept / n + x * p[at_stem] * inside for kept, n, x, p in zip(kept_w, totals, l1, p_stem, strict=True)]
+        self.otherwise = float(np.log(l1[0] * l2[0] / (l1[1] * l2[1])))
+        unsigned = lambda t, name: t[name].to_numpy(np.int64).view(np.uint64)
+        ratio_s = np.log(l1[0] * p_stem[0] / (l1[1] * p_stem[1]))
+        self.stems = Level(unsigned(stems, "stem")[sure_s], ratio_s[sure_s])
+        self.words = Level(unsigned(words, "word")[sure_w], np.log(p_word[0][sure_w] / p_word[1][sure_w]))
+        pairs = pairs[sure_p]
+        at_word = np.searchsorted(words["word"].to_numpy(), pairs["word"].to_numpy())
+        before, first, context = np.unique(unsigned(pairs, "before"), return_index=True, return_inverse=True)
+        p_pair, given = [], []
+        for name, count, p in zip(("ctx_toxic", "ctx_other"), (pairs["toxic"], pairs["docs"] - pairs["toxic"]), p_word, strict=True):
+            total = pairs[name].to_numpy(float)
+            kept = np.maximum(count.to_numpy(float) - DISCOUNT, 0.0) / np.maximum(total, 1.0)
+            given.append(1 - np.bincount(context, weights=kept, minlength=len(before)))  # 1 where the class has no such context
+            p_pair.append(kept + given[-1][context] * p[at_word])
+        self.contexts = Level(before, np.log(given[0] / given[1]))
+        self.pairs = Level(mix(unsigned(pairs, "before") * np.uint64(3) + unsigned(pairs, "word")), np.log(p_pair[0] / p_pair[1]))
+
+    def features(self, found: Expressions) -> np.ndarray:
+        """Difference of each text's log-likelihoods over its length and over the length's square root."""
+        lower = self.words.find(found.word, self.stems.find(found.stem, self.otherwise))
+        token = self.pairs.find(found.pair, lower + self.contexts.find(found.before, 0.0))
         total = np.concatenate(([0.0], np.cumsum(token)))
-        n = np.maximum(np.diff(off), 1)
-        gap = np.round(total[off[1:]] - total[off[:-1]], 9)
+        n = np.maximum(np.diff(found.off), 1)
+        gap = np.round(total[found.off[1:]] - total[found.off[:-1]], 9)
         return np.column_stack((gap / n, gap / np.sqrt(n)))
 
-    def calibrate(self, candidates: dict[float, np.ndarray], toxic: np.ndarray) -> None:
+
+class ToxicityModel:
+    """The models of all thresholds, the one that calibration chose, and its logistic weights."""
+
+    def __init__(self, models: list[KneserNey], prior: float):
+        self.models, self.chosen, self.weights, self.prior = models, 0, None, prior
+
+    def calibrate(self, candidates: list[np.ndarray], toxic: np.ndarray) -> None:
         """Chooses the threshold with the least loss and fits the logistic weights, by Newton's method."""
         if len(set(toxic)) < 2:
             return
         best = np.inf
-        for threshold, x in candidates.items():
+        for i, x in enumerate(candidates):
             scale = np.maximum(x.std(axis=0), 1e-9)
             z = np.column_stack((np.ones(len(x)), x / scale))
             w, ridge = np.zeros(z.shape[1]), np.diag([1e-9, 0.05, 0.05])
@@ -121,64 +190,75 @@ class ToxicityModel:
             p = np.clip(1 / (1 + np.exp(-np.clip(z @ w, -30, 30))), 1e-12, 1 - 1e-12)
             loss = -np.mean(toxic * np.log(p) + (1 - toxic) * np.log(1 - p))
             if loss < best - 1e-6:
-                best, self.threshold = loss, threshold
+                best, self.chosen = loss, i
                 self.weights = np.concatenate((w[:1], w[1:] / scale))
+        self.models = [m if i == self.chosen else None for i, m in enumerate(self.models)]
 
     def score(self, texts: list[bytes]) -> np.ndarray:
         if self.weights is None:
             return np.full(len(texts), self.prior)
-        x = self.features(texts)
+        x = self.models[self.chosen].features(Expressions(texts))
         return 1 / (1 + np.exp(-np.clip(self.weights[0] + x @ self.weights[1:], -500, 500)))
 
 
-def fit_toxicity(
-    labelled: DataFrame, max_docs: int = 20_000, max_expressions: int = 200_000, discount: float = 0.75
-) -> ToxicityModel:
+def count_tables(rows: DataFrame, share: float) -> tuple[pd.DataFrame, pd.DataFrame, pd.DataFrame, tuple[float, float], int]:
+    """pairs, words, stems, totals and n_stems of KneserNey from (text, toxic), counted in Spark."""
+    counted = rows.select("text", "toxic").mapInArrow(_count, _COUNTS).groupBy("level", "before", "expression", "stem")
+    counted = cut(counted.agg(F.sum("toxic").alias("toxic"), F.sum("docs").alias("docs")))
+    least = F.lit(min(THRESHOLDS))
+    sure = _deviation(F.col("toxic"), F.col("docs"), share) >= least
+    pairs = counted.where("level = 0").withColumnRenamed("expression", "word")
+    ctx = pairs.groupBy("before").agg(F.sum("toxic").alias("ctx_toxic"), F.sum(F.col("docs") - F.col("toxic")).alias("ctx_other"), F.max(sure).alias("any"))
+    told = pairs.where(sure).select("before", "word", "toxic", "docs")
+    told = cut(told.join(ctx.where("any").drop("any"), "before").select("before", "word", "toxic", "docs", "ctx_toxic", "ctx_other"))
+    after = pairs.groupBy("word", "stem").agg(F.count_if(F.col("toxic") > 0).alias("k_toxic"), F.count_if(F.col("docs") > F.col("toxic")).alias("k_other"))
+    own = counted.where("level = 1").select(F.col("expression").alias("word"), "toxic", "docs")
+    words = after.join(own, "word").join(told.select("word").distinct().withColumn("needed", F.lit(True)), "word", "left")
+    words = cut(words.where(sure | F.col("needed")).select("word", "stem", "toxic", "docs", "k_toxic", "k_other"))
+    by_stem = after.groupBy("stem").agg(F.sum("k_toxic").alias("k_toxic"), F.sum("k_other").alias("k_other"))
+    own = counted.where("level = 2").select("stem", "toxic", "docs")
+    stems = cut(by_stem.join(own, "stem").join(words.select("stem").distinct().withColumn("needed", F.lit(True)), "stem", "left"))
+    totals = stems.agg(F.sum("k_toxic"), F.sum("k_other"), F.count(F.lit(1))).first()
+    stems = stems.where(sure | F.col("needed")).drop("needed").toPandas()
+    sort = lambda t, *by: t.sort_values(list(by), ignore_index=True)
+    return sort(told.toPandas(), "before", "word"), sort(words.toPandas(), "word"), sort(stems, "stem"), (float(totals[0]), float(totals[1])), totals[2]
+
+
+def fit_toxicity(labelled: DataFrame, max_docs: int = 20_000) -> ToxicityModel:
     """Fits from (key, text, toxic): at most about ``max_docs`` documents, those whose hashed keys are least.
 
-    Three quarters estimate the counts, one quarter the calibration. Only expressions whose toxic
-    share deviates from the classes' share reach the driver, at most ``max_expressions``, the strongest first. Without
-    both labels the model gives the share of toxic labels, or 0 without any.
+    Three quarters estimate the counts, one quarter the calibration. Without both labels among the counted the model gives
+    the share of toxic labels, or 0 without any.
     """
     place = F.pmod(F.xxhash64("key", F.lit(7)), F.lit(1 << 30))
     rows = labelled.where("toxic IS NOT NULL").select("key", "text", F.col("toxic").cast("int").alias("toxic"), place.alias("place"))
     n, bad = rows.select(F.count(F.lit(1)), F.sum("toxic")).first()
     if not n or not bad or bad == n:
-        return ToxicityModel(np.zeros(0, np.uint64), np.zeros(0), np.zeros(0), (bad or 0) / n if n else 0.0)
+        return ToxicityModel([], (bad or 0) / n if n else 0.0)
     rows = rows.where(F.col("place") <= int((1 << 30) * min(1.0, max_docs / n)))
     fold = F.pmod(F.col("place"), F.lit(4))
     share = bad / n
-    counted = rows.where(fold != 0).select("text", "toxic").mapInArrow(_count, "expression long, toxic long, docs long")
-    counts = counted.groupBy("expression").agg(F.sum("toxic").alias("toxic"), F.sum("docs").alias("docs"))
-    expected = F.col("docs") * share
-    deviation = (F.col("toxic") - expected) / F.sqrt(expected * (1 - share) + 1)
-    kept = counts.withColumn("deviation", deviation).where((F.abs("deviation") >= min(THRESHOLDS)) | (F.col("expression") == _TOTAL))
-    kept = kept.orderBy(F.col("expression") != _TOTAL, F.desc(F.abs("deviation")), "expression").limit(max_expressions).toPandas()
-    totals = kept[kept.expression == _TOTAL]
-    kept = kept[kept.expression != _TOTAL]
-    t, d = kept["toxic"].to_numpy(float), kept["docs"].to_numpy(float)
-    all_t, all_d = float(totals["toxic"].sum()), float(totals["docs"].sum())
-    all_o, o, shared = max(all_d - all_t, 1.0), d - t, d / max(all_d, 1.0)
-    spread_t, spread_o = discount * min(all_t, all_d * 0.25), discount * min(all_o, all_d * 0.25)
-    like_t = (np.maximum(t - discount, 0) + spread_t * shared) / max(all_t, 1.0)
-    like_o = (np.maximum(o - discount, 0) + spread_o * shared) / all_o
-    keys = kept["expression"].to_numpy(np.int64).view(np.uint64)
-    model = ToxicityModel(keys, np.log(like_t / like_o), kept["deviation"].to_numpy(float), share)
+    tables = count_tables(rows.where(fold != 0), share)
+    if not all(tables[3]):  # a class without words has no model
+        return ToxicityModel([], share)
+    model = ToxicityModel([KneserNey(*tables, share, z) for z in THRESHOLDS], share)
     tests = rows.where(fold == 0).select("text", "toxic")
     sent = labelled.sparkSession.sparkContext.broadcast(model)
 
     def features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            texts = _texts(batch.column(0))
-            x = np.concatenate([sent.value.features(texts, z) for z in THRESHOLDS], axis=1)
-            yield pa.RecordBatch.from_arrays([batch.column(1), pa.array(list(x), type=pa.list_(pa.float64()))], names=["toxic", "x"])
+            for at in range(0, batch.num_rows, 256):
+                part = batch.slice(at, 256)
+                found = Expressions(_texts(part.column(0)))
+                x = np.concatenate([m.features(found) for m in sent.value.models], axis=1)
+                yield pa.RecordBatch.from_arrays([part.column(1), pa.array(list(x), type=pa.list_(pa.float64()))], names=["toxic", "x"])
 
     found = tests.mapInArrow(features, "toxic int, x array<double>").toPandas()  # at most a quarter of max_docs rows
     if len(found):
         x = np.array(found["x"].tolist())
         order = np.lexsort(x.T)
         x, y = x[order], found["toxic"].to_numpy(float)[order]
-        model.calibrate({z: x[:, 2 * i : 2 * i + 2] for i, z in enumerate(THRESHOLDS)}, y)
+        model.calibrate([x[:, 2 * i : 2 * i + 2] for i in range(len(THRESHOLDS))], y)
     return model
 
 
