@@ -7,6 +7,7 @@ dealt back to the pieces by their rank among pieces of equal length.
 
 from __future__ import annotations
 
+import json
 import re
 import zlib
 from array import array
@@ -20,7 +21,7 @@ from pyspark.sql import functions as F
 
 from hushpage.llm.blocks import cut, partitions
 from hushpage.llm.textblocks import span_hashes
-from hushpage.llm.token_counts import words
+from hushpage.llm.token_counts import WHITE_SPACE
 
 Filling = tuple[tuple[int, int], ...]  # (length, how many), longest first
 
@@ -180,7 +181,24 @@ def bin_completion(counts: dict[int, int], capacity: int, nodes: int = 20_000) -
 
 # ---- the pieces -------------------------------------------------------------------------------------
 
-#: What the tokenizer's split pattern finds in lower-cased texts of characters below U+0180, without white space.
+#: The settings of the tokenizer files whose texts are cut here; files with other settings go to the library whole.
+_SETTINGS = {
+    "normalizer": {
+        "type": "Sequence",
+        "normalizers": [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": "\\s+"}, "content": " "}, {"type": "Lowercase"}],
+    },
+    "pre_tokenizer": {
+        "type": "Sequence",
+        "pretokenizers": [
+            {"type": "Split", "pattern": {"Regex": "'s|'t|'re|'ve|'m|'ll|'d|[\\p{L}]+|[\\p{N}]|[^\\s\\p{L}\\p{N}]+"}, "behavior": "Removed", "invert": True},
+            {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": False},
+        ],
+    },
+    "post_processor": None,
+}
+_WORD = re.compile(f"[^{''.join(map(chr, WHITE_SPACE))}]+")
+
+#: What that split pattern finds in lower-cased texts of characters below U+0180, without white space.
 _LETTER, _NUMBER = "A-Za-z\xaa\xb5\xba\xc0-\xd6\xd8-\xf6\xf8-\u017f", "0-9\xb2\xb3\xb9\xbc-\xbe"
 _PARTS = re.compile(f"'s|'t|'re|'ve|'m|'ll|'d|[{_LETTER}]+|[{_NUMBER}]|[^\\x00-\\x20\\x85\\xa0{_LETTER}{_NUMBER}]+")
 #: Other characters, and the one among these whose lower case is two characters.
@@ -193,7 +211,7 @@ _CLASS = np.array(
     [0 if re.match(r"[\x09-\x0d \x85\xa0]", c) else 1 if re.match(f"[{_LETTER}]", c) else 2 if re.match(f"[{_NUMBER}]", c) else 3 for c in map(chr, range(0x180))],
     dtype=np.uint8,
 )
-_CACHED_CHARS, _CACHE_LIMIT = 64, 1 << 20
+_CACHED_CHARS, _CACHE_LIMIT = 64, 1 << 18
 _encoders: dict[str, WordIds] = {}
 
 
@@ -223,7 +241,7 @@ class _Cache(dict):
 class WordIds:
     """Ids of texts under a word BPE that lower-cases and drops white space, as little-endian 32-bit bytes.
 
-    Texts of characters below U+0180 are cut into pre-tokens here, and a worker's cache, keyed by 64-bit hashes, asks the
+    If the file's settings are ``_SETTINGS``, texts of characters below U+0180 are cut into pre-tokens here, and a worker's cache, keyed by 64-bit hashes, asks the
     tokenizer's BPE model for each once. Words with other characters go to the tokenizer whole, texts with special strings as well.
     """
 
@@ -233,6 +251,8 @@ class WordIds:
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.no_truncation()
         self.tokenizer.no_padding()
+        settings = json.loads(self.tokenizer.to_str())
+        self.cuts = settings["model"]["type"] == "BPE" and all(settings[k] == v for k, v in _SETTINGS.items())
         self.special = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
         self.model, self.alphabet = self.tokenizer.model, _byte_alphabet()
         self.parts, self.words = _Cache(self._part), _Cache(self._whole)
@@ -282,10 +302,10 @@ class WordIds:
         for i, text in enumerate(texts):
             if not text:
                 continue
-            if any(s in text for s in self.special):
+            if not self.cuts or any(s in text for s in self.special):
                 out[i] = self._whole(text)
             elif _OTHER.search(text):
-                out[i] = b"".join(map(self._word, words(text)))
+                out[i] = b"".join(map(self._word, _WORD.findall(text)))
             elif _ENDING.search(lowered := text.lower()):
                 out[i] = b"".join(map(get, _PARTS.findall(lowered)))
             else:

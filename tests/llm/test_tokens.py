@@ -14,14 +14,14 @@ from hushpage.llm.token_counts import ChunkLengths
 
 BYTE, WORD = (public_tokenizers.path(n) for n in ("byte_bpe_50k.json", "word_bpe_49k.json"))
 TEXT = st.text(st.one_of(st.sampled_from("ab Z'st\n\t .,!1é\xa0\x1c\x85 İßΣ<|endoftext|>"), st.characters(codec="utf-8")), max_size=60)
-COUNTER, IDS = ChunkLengths(BYTE, {}), WordIds(WORD)
+COUNTER, IDS = ChunkLengths(BYTE, 8), WordIds(WORD)
 BYTE_TOKENIZER, WORD_TOKENIZER = Tokenizer.from_file(BYTE), Tokenizer.from_file(WORD)
 
 
 @settings(max_examples=400, deadline=None)
 @given(st.lists(TEXT, max_size=4))
 def test_counts_equal_the_library(texts):
-    assert COUNTER.count([*texts, None]) == [len(BYTE_TOKENIZER.encode(t, add_special_tokens=False).ids) for t in texts] + [0]
+    assert COUNTER.count([*texts, None]).tolist() == [len(BYTE_TOKENIZER.encode(t, add_special_tokens=False).ids) for t in texts] + [0]
 
 
 @settings(max_examples=400, deadline=None)
@@ -33,18 +33,46 @@ def test_ids_equal_the_library(texts):
 
 def test_special_strings_and_long_words():
     texts = ["a <|endoftext|> b  <|endoftext|>", "x" * 5000 + " " + "yé" * 100, " \n\n ", "don't stop'S 123"]
-    assert COUNTER.count(texts) == [len(BYTE_TOKENIZER.encode(t, add_special_tokens=False).ids) for t in texts]
+    assert COUNTER.count(texts).tolist() == [len(BYTE_TOKENIZER.encode(t, add_special_tokens=False).ids) for t in texts]
     assert IDS(texts) == [np.asarray(WORD_TOKENIZER.encode(t, add_special_tokens=False).ids, "<u4").tobytes() for t in texts]
 
 
+@given(st.dictionaries(st.integers(1, 2**64 - 1), st.integers(0, 2**31), max_size=100), st.lists(st.integers(1, 2**64 - 1), max_size=20))
+def test_length_table(entries, others):
+    table = token_counts.LengthTable(8)
+    keys = np.asarray(list(entries), dtype=np.uint64)
+    for part in (slice(0, 40), slice(40, None)):
+        table.add(keys[part], np.asarray(list(entries.values()), dtype=np.uint32)[part])
+    asked = np.asarray([*entries, *others], dtype=np.uint64)
+    got, found = table.get(asked)
+    assert found.tolist() == [k in entries for k in asked.tolist()]
+    assert got.tolist() == [entries.get(k, 0) for k in asked.tolist()]
+
+
+@settings(max_examples=200, deadline=None)
+@given(st.text(st.sampled_from("ab \n\xa0c"), max_size=60), st.integers(1, 9))
+def test_cut_texts_have_the_same_chunks(text, size):
+    pieces = list(token_counts.cut_long(text, size))
+    assert "".join(pieces) == text
+    chunks = lambda t: sorted(t[a:b] for a, b in zip(*(x.tolist() for x in token_counts.chunk_spans([t])[1:3]))) if t else []
+    assert sorted(c for p in pieces for c in chunks(p)) == chunks(text)
+
+
+def test_other_settings_go_to_the_library():
+    ids, tokenizer = WordIds(BYTE), BYTE_TOKENIZER
+    assert not ids.cuts and IDS.cuts
+    texts = ["Some Words, here", "  two  spaces", "É"]
+    assert ids(texts) == [np.asarray(tokenizer.encode(t, add_special_tokens=False).ids, "<u4").tobytes() for t in texts]
+
+
 def test_bounded_caches(monkeypatch):
     monkeypatch.setattr(packing, "_CACHE_LIMIT", 8)
-    ids, counter = WordIds(WORD), ChunkLengths(BYTE, {"the": 1}, limit=8)
+    ids, counter = WordIds(WORD), ChunkLengths(BYTE, 4)
     texts = [" ".join(f"w{i}x{j}" for j in range(7)) for i in range(9)]
     assert ids(texts) == [np.asarray(WORD_TOKENIZER.encode(t, add_special_tokens=False).ids, "<u4").tobytes() for t in texts]
     for t in texts:
         assert ids([t]) == [np.asarray(WORD_TOKENIZER.encode(t, add_special_tokens=False).ids, "<u4").tobytes()]
-        assert counter.count([t]) == [len(BYTE_TOKENIZER.encode(t, add_special_tokens=False).ids)]
+        assert counter.count([t]).tolist() == [len(BYTE_TOKENIZER.encode(t, add_special_tokens=False).ids)]
 
 
 def test_token_counts_query(spark):
