@@ -23,7 +23,7 @@ from pyspark.sql import functions as F
 from hushpage.llm.blocks import cut
 from hushpage.llm.components import connected_components
 from hushpage.llm.keysets import ANSWERS, BLOBS, answers, bucket_edges, decode_sorted, in_order, key_blobs, text_block_count, text_blocks
-from hushpage.llm.textblocks import as_bytes, gram_hashes, mix, word_hashes
+from hushpage.llm.textblocks import as_bytes, gram_hashes, mix, tidy, tidy_pair, word_hashes
 
 
 #: Up to this number, ids of removed rows or of sets with many candidates are sent to the rows they belong to (at most
@@ -119,7 +119,7 @@ def _documents(docs: DataFrame, k: int, percent: int, id_col: str, text_col: str
     bits = min(64, max(32, math.ceil(math.log2(rows + 1)) + 14))  # about one in 30 keys collides; only the order sees it
     shift = np.uint64(64 - bits)
     columns = [F.col(id_col).alias("id"), F.col(text_col).cast("binary").alias("text")]
-    base = text_blocks(docs, F.pmod(F.xxhash64(F.col(id_col)), F.lit(n)).cast("int"), n, columns)
+    base = text_blocks(docs, F.pmod(F.xxhash64(id_col, text_col), F.lit(n)).cast("int"), n, columns)
 
     def sets_of(rows: pa.Table) -> list[np.ndarray]:
         return shingle_sets(as_bytes(rows["text"].to_pylist()), k)
@@ -140,7 +140,7 @@ def _documents(docs: DataFrame, k: int, percent: int, id_col: str, text_col: str
         sets = sets_of(rows)
         every = np.concatenate(sets)
         found, back = np.unique(every >> shift, return_inverse=True)
-        held = np.concatenate([np.frombuffer(b, np.uint8) for b in in_order(answer)])  # 255 stands for more
+        held = np.concatenate([np.zeros(0, np.uint8), *(np.frombuffer(b, np.uint8) for b in in_order(answer))])  # 255 stands for more
         assert len(held) == len(found) == bucket_edges(found, n, bits)[-1]
         often = held[back]
         ends = np.cumsum([len(s) for s in sets])
@@ -163,11 +163,11 @@ def _documents(docs: DataFrame, k: int, percent: int, id_col: str, text_col: str
             }
         )
 
-    sent = base.groupBy("block").applyInArrow(send, BLOBS)
-    judged = sent.groupBy("bucket").applyInArrow(judge, ANSWERS)
+    sent = base.groupBy("block").applyInArrow(tidy(send), BLOBS)
+    judged = sent.groupBy("bucket").applyInArrow(tidy(judge), ANSWERS)
     kind = docs.schema[id_col].dataType.simpleString()
     schema = f"id {kind}, n long, h1 long, h2 long, tokens binary"
-    return base.groupBy("block").cogroup(judged.groupBy("block")).applyInArrow(finish, schema)
+    return base.groupBy("block").cogroup(judged.groupBy("block")).applyInArrow(tidy_pair(finish), schema)
 
 
 def _postings(classes: DataFrame, percent: int, kind: str) -> DataFrame:

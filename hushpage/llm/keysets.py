@@ -52,16 +52,15 @@ def bucket_edges(keys: np.ndarray, buckets: int, bits: int) -> np.ndarray:
 
 
 def key_blobs(block: int, keys: np.ndarray, counts: np.ndarray | None, buckets: int, bits: int) -> pa.Table:
-    """One row a bucket: block, bucket, keys, counts."""
+    """One row a bucket in which the block has keys: block, bucket, keys, counts."""
     edges = bucket_edges(keys, buckets, bits)
-    spans = list(zip(edges[:-1], edges[1:], strict=True))
-    sent = [b"" if counts is None else counts[a:b].tobytes() for a, b in spans]
+    spans = [(i, a, b) for i, (a, b) in enumerate(zip(edges[:-1].tolist(), edges[1:].tolist(), strict=True)) if a < b]
     return pa.table(
         {
-            "block": pa.array([block] * buckets, pa.int32()),
-            "bucket": pa.array(range(buckets), pa.int32()),
-            "keys": pa.array([encode_sorted(keys[a:b]) for a, b in spans], pa.binary()),
-            "counts": pa.array(sent, pa.binary()),
+            "block": pa.array([block] * len(spans), pa.int32()),
+            "bucket": pa.array([i for i, _, _ in spans], pa.int32()),
+            "keys": pa.array([encode_sorted(keys[a:b]) for _, a, b in spans], pa.binary()),
+            "counts": pa.array([b"" if counts is None else counts[a:b].tobytes() for _, a, b in spans], pa.binary()),
         }
     )
 
@@ -74,9 +73,9 @@ def answers(rows: pa.Table, values: list[bytes]) -> pa.Table:
     return pa.table({"block": rows["block"], "bucket": rows["bucket"], "answer": pa.array(values, pa.binary())})
 
 
-def in_order(answer: pa.Table) -> list[bytes]:
+def in_order(answer: pa.Table, column: str = "answer") -> list[bytes]:
     """The answers of one block by bucket."""
-    return answer.take(pc.sort_indices(answer["bucket"]))["answer"].to_pylist()
+    return answer.take(pc.sort_indices(answer["bucket"]))[column].to_pylist()
 
 
 def text_blocks(docs: DataFrame, block: Column, n: int, columns: list) -> DataFrame:
@@ -84,12 +83,14 @@ def text_blocks(docs: DataFrame, block: Column, n: int, columns: list) -> DataFr
     return docs.select(*columns, block.alias("block")).repartition(max(n, partitions(docs.sparkSession)), "block")
 
 
-def text_block_count(docs: DataFrame, text_col: str, least: int = 8 << 20, most: int = 256 << 20) -> int:
+def text_block_count(docs: DataFrame, text_col: str, least: int = 8 << 20, most: int = 256 << 20, spread: bool = True) -> int:
     """As many blocks as shuffle partitions, more if a block would hold too much text for a task's memory.
 
+    Without ``spread`` the number depends on the text alone and not on the cluster.
+
     A block sends one blob to each bucket, so blocks grow with the square root of all text, from ``least`` bytes for up to 8 GiB
     to ``most``: fewer and larger blobs, and a bounded block.
     """
     total = docs.agg(F.sum(F.octet_length(F.col(text_col)))).first()[0] or 0
     size = min(max(least * (total / (8 << 30)) ** 0.5, least), most)
-    return max(partitions(docs.sparkSession), math.ceil(total / size), 1)
+    return max(partitions(docs.sparkSession) if spread else 1, math.ceil(total / size), 1)

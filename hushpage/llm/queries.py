@@ -23,8 +23,7 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def op1_language_model(spark: SparkSession, sf_dir: str) -> DataFrame:
-    shard = F.pmod(F.xxhash64(F.col("doc_id"), F.lit(5)), F.lit(4))
-    return language_model_scores(table(spark, sf_dir, "documents"), id_remainder("doc_id", 5) == 1, shard, rounds=4)
+    return language_model_scores(table(spark, sf_dir, "documents"), id_remainder("doc_id", 5) == 1, rounds=4)
 
 
 def op2_preference_format(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -7,7 +7,11 @@ lower-cases A-Z only. A batch of texts is hashed with a handful of numpy passes.
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
+
 import numpy as np
+import pyarrow as pa
 
 _SPACE = np.zeros(256, dtype=bool)
 _SPACE[[9, 10, 11, 12, 13, 32]] = True
@@ -106,14 +110,14 @@ def word_hashes(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     return _each_batch(texts, lambda data, start, end: start)[:2]
 
 
-def gram_hashes(words: np.ndarray, k: int) -> np.ndarray:
+def gram_hashes(words: np.ndarray, k: int, roll: np.uint64 = _ROLL) -> np.ndarray:
     """Rabin-Karp hashes of every run of k words; runs across texts are the caller's to skip."""
     n = len(words) - k + 1
     if n <= 0:
         return np.zeros(0, dtype=np.uint64)
     rolled = words[:n].copy()
     for i in range(1, k):
-        rolled *= _ROLL
+        rolled *= roll
         rolled += words[i : i + n]
     return mix(rolled)
 
@@ -121,3 +125,32 @@ def gram_hashes(words: np.ndarray, k: int) -> np.ndarray:
 def as_bytes(values) -> list[bytes]:
     """A pandas column of binary values as bytes, null as empty."""
     return [b"" if v is None else bytes(v) for v in values]
+
+
+def release_memory() -> None:
+    """Gives free memory back to the system. A Python worker lives on into later stages, beside what these need."""
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):  # not the GNU C library
+        ctypes.CDLL(None).malloc_trim(0)
+
+
+def tidy(group):
+    """A function of one group of rows that gives its memory back when it is done."""
+
+    def run(rows: pa.Table) -> pa.Table:
+        out = group(rows)
+        release_memory()
+        return out
+
+    return run
+
+
+def tidy_pair(group):
+    """As tidy, for a function of two groups."""
+
+    def run(rows: pa.Table, other: pa.Table) -> pa.Table:
+        out = group(rows, other)
+        release_memory()
+        return out
+
+    return run

@@ -303,8 +303,7 @@ def test_vector_search(spark):
 
 def test_language_model(docs, rows):
     held = lambda i: zlib.crc32(str(i).encode()) % 5 == 1
-    shard = F.pmod(F.xxhash64("doc_id"), F.lit(2))
-    got = language_model_scores(docs, id_remainder("doc_id", 5) == 1, shard, rounds=2).collect()
+    got = language_model_scores(docs, id_remainder("doc_id", 5) == 1, rounds=2).collect()
     tokens = lambda t: [*(t or "").encode().lower().split(), None]
     counts = Counter(w for i, t, *_ in rows if not held(i) for w in tokens(t))
     n, v = sum(counts.values()), len(counts)
@@ -317,8 +316,8 @@ def test_language_model(docs, rows):
         assert math.isclose(r.base_score, base, rel_tol=1e-9) and r.score < 0
     train = [r for r in got if not r.held_out]
     assert sum(r.score for r in train) > sum(r.base_score for r in train)
-    assert language_model_scores(docs.limit(0), F.lit(False), F.lit(0), rounds=1).count() == 0
-    assert language_model_scores(docs, F.lit(True), F.lit(0), rounds=1).agg(F.max("train_tokens")).first()[0] == 0
+    assert language_model_scores(docs.limit(0), F.lit(False), rounds=1).count() == 0
+    assert language_model_scores(docs, F.lit(True), rounds=1).agg(F.max("train_tokens")).first()[0] == 0
 
 
 def test_toxicity(spark):
