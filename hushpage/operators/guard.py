@@ -1,17 +1,27 @@
 """Fail-closed verification: violations are rows (snapshot_id, phase, ord, code) that carry codes and never content.
 
-A page passes only without violations; its verdict is the first code in order of phase and position.
+A page passes only without violations; its verdict is the first code in order of phase and position. Phases: 0 screenshot,
+1 page elements, 2 detections, 3 metadata, 4 redaction, 5 sanitising, 6 masked pixels, 7 structure of the sanitised page,
+8 values, 9 secrets. ``sanitize`` runs them all.
 """
 
 from __future__ import annotations
 
+from collections.abc import Callable
+from dataclasses import dataclass
+
+from pyspark.errors import PySparkException
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from hushpage.operators import redact
+from hushpage.operators.sanitize import SanitizeOptions, sanitize_elements
+
 from hushpage.functions.classify import is_password_element, is_sensitive_type
 from hushpage.functions.geometry import Box, is_valid_box
 from hushpage.functions.text import leaks_metadata
 
+#: The code of a violation that names none.
 DEFAULT_CODE = "PRIVACY_GUARD_VERIFICATION_FAILURE"
 
 
@@ -20,16 +30,23 @@ def _violation(phase: int, order: Column, code: Column | str) -> list[Column]:
 
 
 def input_violations(screens: DataFrame, detections: DataFrame, pages: DataFrame) -> DataFrame:
-    """Checks of screenshots (has_data, width, height, data_length), detections and page metadata (url, title, has_elements)."""
+    """Checks of screenshots (has_data, width, height, data_length), detections and page metadata (url, title, has_elements).
+
+    A page whose detections are no list at all has has_detections false; without that column all have lists. A detection without any
+    field is malformed.
+    """
     sized = F.col("width").isNotNull() & F.col("height").isNotNull() & (F.col("width") > 0) & (F.col("height") > 0)
     image = (
         F.when(~F.coalesce("has_data", F.lit(False)), "INVALID_SCREENSHOT")
         .when(~sized, "INVALID_SCREENSHOT_DIMENSIONS")
         .when(~F.coalesce(F.col("data_length") == F.col("width") * F.col("height") * 4, F.lit(False)), "CORRUPTED_SCREENSHOT_BUFFER")
     )
-    typed = F.when(F.coalesce("type", F.lit("")) == "", "INVALID_DETECTION_TYPE").when(~is_valid_box(Box.of()), "INVALID_DETECTION_GEOMETRY")
+    nothing = F.coalesce(F.col("id"), F.col("type"), *[F.col(c).cast("string") for c in ("x", "y", "width", "height")]).isNull()
+    typed = F.when(nothing, "INVALID_DETECTION").when(F.coalesce("type", F.lit("")) == "", "INVALID_DETECTION_TYPE").when(~is_valid_box(Box.of()), "INVALID_DETECTION_GEOMETRY")
     found = screens.select(_violation(0, F.lit(0), image))
     found = found.union(pages.select(_violation(1, F.lit(0), F.when(~F.coalesce("has_elements", F.lit(False)), "INVALID_DOM_SNAPSHOT"))))
+    if "has_detections" in pages.columns:
+        found = found.union(pages.select(_violation(2, F.lit(-1), F.when(~F.coalesce("has_detections", F.lit(False)), "INVALID_DETECTIONS"))))
     found = found.union(detections.select(_violation(2, F.col("ord"), typed)))
     found = found.union(pages.select(_violation(3, F.lit(0), F.when(leaks_metadata(F.col("url"), F.col("title")), "LEAKED_METADATA"))))
     return found.where("code IS NOT NULL")
@@ -42,7 +59,7 @@ def value_leaks(raw: DataFrame, clean: DataFrame, token: str = "[REDACTED]") ->
     rows = clean.withColumn("own_password", is_password_element()).join(last, ["snapshot_id", "id"], "left")
     shown = F.col("value").isNotNull() & (F.col("value") != token)
     code = F.when(F.coalesce("raw_password", "own_password") & shown, "PASSWORD_VALUE_LEAKAGE").when(F.col("sensitive") & shown, "SENSITIVE_VALUE_LEAKAGE")
-    return rows.select(_violation(4, F.col("ord"), code)).where("code IS NOT NULL")
+    return rows.select(_violation(8, F.col("ord"), code)).where("code IS NOT NULL")
 
 
 def secret_leaks(clean: DataFrame, detections: DataFrame) -> DataFrame:
@@ -51,12 +68,75 @@ def secret_leaks(clean: DataFrame, detections: DataFrame) -> DataFrame:
     shown = F.coalesce(F.contains("e.value", "s.secret"), F.lit(False)) | F.coalesce(F.contains("e.text", "s.secret"), F.lit(False))
     meets = (F.col("e.snapshot_id") == F.col("s.snapshot_id")) & shown
     rows = clean.alias("e").join(secrets.alias("s"), meets, "left_semi")
-    return rows.select(_violation(5, F.col("ord"), "LEAKED_SECRET_IN_DOM"))
+    return rows.select(_violation(9, F.col("ord"), "LEAKED_SECRET_IN_DOM"))
+
+
+def screenshot_violations(masked: DataFrame) -> DataFrame:
+    """Of masked screenshots (snapshot_id, data, error, code as redact.redact_and_verify gives them): redaction that failed, and checks
+    of the masked pixels. A screenshot without a masked copy fails, whatever its code."""
+    failed = F.when(F.col("error").isNotNull(), "REDACTION_EXECUTION_FAILURE")
+    unsure = F.when(F.col("data").isNull(), F.coalesce("code", F.lit("SCREENSHOT_VERIFICATION_FAILURE"))).otherwise(F.col("code"))
+    found = masked.select(_violation(4, F.lit(0), failed)).union(masked.select(_violation(6, F.lit(0), unsure)))
+    return found.where("code IS NOT NULL")
+
+
+def structure_violations(raw: DataFrame, clean: DataFrame) -> DataFrame:
+    """Pages whose sanitised elements are not exactly the raw ones that have an id, by snapshot_id and ord."""
+    keys = ["snapshot_id", "ord"]
+    both = raw.where("id IS NOT NULL").select(*keys, F.lit(1).alias("raw")).join(clean.select(*keys, F.lit(1).alias("clean")), keys, "full")
+    broken = both.where("raw IS NULL OR clean IS NULL").select("snapshot_id").distinct()
+    return broken.select(_violation(7, F.lit(0), "DOM_VERIFICATION_FAILURE"))
+
+
+@dataclass(frozen=True)
+class GuardResult:
+    """contexts: what may leave. violations: why the other pages may not. masked and clean: screenshots and elements of all pages, for
+    inspection on the trusted side."""
+
+    contexts: DataFrame
+    violations: DataFrame
+    masked: DataFrame
+    clean: DataFrame
+
+
+def sanitize(
+    pages: DataFrame,
+    screens: DataFrame,
+    elements: DataFrame,
+    detections: DataFrame,
+    options: SanitizeOptions = SanitizeOptions(),
+    mask: Callable[[DataFrame], DataFrame] = redact.redact_and_verify,
+    clean_up: Callable[[DataFrame, DataFrame, SanitizeOptions], DataFrame] = sanitize_elements,
+) -> GuardResult:
+    """All phases over pages (snapshot_id, url, title, has_elements), screens (snapshot_id, data, width, height), elements and
+    detections (with an array ``sources``).
+
+    A page without a screenshot row counts as one without a screenshot. ``mask`` and ``clean_up`` can be replaced; if one cannot be
+    planned, every page gets its failure code and none passes.
+    """
+    seen = pages.select("snapshot_id").distinct().join(screens.select("snapshot_id", "data", "width", "height"), "snapshot_id", "left")
+    shapes = seen.select("snapshot_id", F.col("data").isNotNull().alias("has_data"), "width", "height", F.length("data").alias("data_length"))
+    found = input_violations(shapes, detections, pages)
+    boxes = detections.where(is_sensitive_type(F.col("type"))).groupBy("snapshot_id").agg(F.collect_list(F.struct("x", "y", "width", "height")).alias("regions"))
+    everyone = lambda phase, code: pages.select(_violation(phase, F.lit(0), code))
+    try:
+        masked = mask(seen.join(boxes, "snapshot_id", "left"))
+        found = found.union(screenshot_violations(masked))
+    except (PySparkException, ValueError, TypeError):
+        masked = seen.select("snapshot_id", F.lit(None).cast("binary").alias("data"), F.lit(0).alias("redacted"), F.lit("FAILED").alias("error"), F.lit(None).cast("string").alias("code"))
+        found = found.union(everyone(4, "REDACTION_EXECUTION_FAILURE"))
+    try:
+        clean = clean_up(elements, detections, options)
+        found = found.union(structure_violations(elements, clean)).union(value_leaks(elements, clean, options.token)).union(secret_leaks(clean, detections))
+    except (PySparkException, ValueError, TypeError):
+        clean = sanitize_elements(elements.limit(0), detections, options)
+        found = found.union(everyone(5, "DOM_SANITIZATION_EXECUTION_FAILURE"))
+    return GuardResult(contexts(pages, clean, detections, found), found, masked, clean)
 
 
 def verdicts(pages: DataFrame, violations: DataFrame) -> DataFrame:
     """(snapshot_id, passed, code): the first violation of each page; pages without one pass."""
-    first = violations.groupBy("snapshot_id").agg(F.min_by("code", F.struct("phase", "ord", "code")).alias("code"))
+    first = violations.groupBy("snapshot_id").agg(F.coalesce(F.min_by("code", F.struct("phase", "ord", "code")), F.lit(DEFAULT_CODE)).alias("code"))
     return pages.select("snapshot_id").distinct().join(first, "snapshot_id", "left").select("snapshot_id", F.col("code").isNull().alias("passed"), "code")
 
 

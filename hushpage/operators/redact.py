@@ -71,6 +71,26 @@ def verify_masks(images: DataFrame) -> DataFrame:
     return _map(images, (*_FIELDS, "masked"), one, [("code", "string", pa.string())])
 
 
+def redact_and_verify(images: DataFrame) -> DataFrame:
+    """(snapshot_id, data, redacted, error, code): the masked copy and its check in one pass over the buffers.
+
+    ``error`` says why an image could not be masked; ``code`` is that of verify_masks for the copy.
+    """
+
+    def one(data, width, height, boxes):
+        pixels = _pixels(data, width, height)
+        if pixels is None:
+            return None, 0, "INVALID_IMAGE", "SCREENSHOT_VERIFICATION_FAILURE"
+        pixels, extents = pixels.copy(), list(_extents(width, height, boxes))
+        for at in extents:
+            pixels[at] = _BLACK
+        clean = all((pixels[at] == _BLACK).all() for at in extents)
+        return pixels.tobytes(), len(extents), None, None if clean else "SCREENSHOT_UNMASKED_PIXELS"
+
+    text = [(n, "string", pa.string()) for n in ("error", "code")]
+    return _map(images, _FIELDS, one, [("data", "binary", pa.binary()), ("redacted", "int", pa.int32()), *text])
+
+
 def masked_area(images: DataFrame) -> DataFrame:
     """(snapshot_id, area): pixels under at least one region, overlaps counted once; needs width, height, regions."""
 

@@ -2,52 +2,125 @@
 
 from __future__ import annotations
 
+from dataclasses import dataclass, field
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from hushpage.functions.text import js_trim
 
-#: The keys that each level of a request may have.
-KEYS = {
-    "$": ("task", "context"),
-    "$.context": ("browser", "sanitizedDom", "sensitiveRegions", "statistics"),
-    "$.context.browser": ("url", "title", "viewport", "scrollX", "scrollY"),
-    "$.context.browser.viewport": ("width", "height", "devicePixelRatio"),
-    "$.context.sanitizedDom": ("elements", "documentWidth", "documentHeight"),
-    "$.context.statistics": ("totalDetections", "sensitiveDetections", "redactedRegions"),
-}
-ELEMENT_KEYS = ("id", "type", "tagName", "role", "text", "ariaLabel", "placeholder", "inputType", "bbox", "visible", "enabled", "sensitive")
-REGION_KEYS = ("id", "type", "bbox", "confidence", "sources", "redaction")
-
-
-def _closed(body: Column, path: str, keys: tuple[str, ...]) -> Column:
-    found = F.json_object_keys(F.get_json_object(body, path) if path != "$" else body)
-    return F.coalesce(F.size(F.array_except(found, F.array(*map(F.lit, keys)))) == 0, F.lit(True))
-
 
-def _each_closed(body: Column, path: str, keys: tuple[str, ...]) -> Column:
-    items = F.from_json(F.get_json_object(body, path), "array<string>")
-    bad = F.exists(items, lambda item: F.size(F.array_except(F.json_object_keys(item), F.array(*map(F.lit, keys)))) > 0)
-    return ~F.coalesce(bad, F.lit(False))
+@dataclass(frozen=True)
+class Text:
+    """A string of at least ``least`` characters, one of ``among`` if that is given."""
+
+    least: int = 0
+    among: tuple[str, ...] = ()
+
+
+@dataclass(frozen=True)
+class Number:
+    """A finite number, or a string of one, within bounds; ``above`` itself is outside."""
+
+    least: float | None = None
+    most: float | None = None
+    above: float | None = None
+    whole: bool = False
+
+
+@dataclass(frozen=True)
+class Flag:
+    """true or false."""
+
+
+@dataclass(frozen=True)
+class Items:
+    """An array of one kind of value."""
+
+    of: object
+
+
+@dataclass(frozen=True)
+class Record:
+    """An object that has all of ``must``, maybe some of ``may`` (null counts as left out), and no other key."""
+
+    must: dict = field(default_factory=dict)
+    may: dict = field(default_factory=dict)
+
+
+#: The request schema, level by level.
+BBOX = Record({"x": Number(), "y": Number(), "width": Number(), "height": Number()})
+ELEMENT = Record(
+    {
+        "id": Text(1),
+        "type": Text(among=("button", "input", "textarea", "select", "checkbox", "radio", "link", "image", "text", "container", "unknown")),
+        "tagName": Text(1), "bbox": BBOX, "visible": Flag(), "enabled": Flag(),
+    },
+    {"role": Text(), "text": Text(), "ariaLabel": Text(), "placeholder": Text(), "inputType": Text(), "sensitive": Flag()},
+)
+REGION = Record({"id": Text(1), "type": Text(), "bbox": BBOX, "confidence": Number(0, 1), "sources": Items(Text()), "redaction": Text(among=("blur", "mask", "remove"))})
+VIEWPORT = Record({"width": Number(above=0), "height": Number(above=0)}, {"devicePixelRatio": Number(above=0)})
+BROWSER = Record({"url": Text(), "title": Text(), "viewport": VIEWPORT, "scrollX": Number(), "scrollY": Number()})
+STATISTICS = Record({name: Number(0, whole=True) for name in ("totalDetections", "sensitiveDetections", "redactedRegions")})
+SNAPSHOT = Record({"elements": Items(ELEMENT)}, {"documentWidth": Number(), "documentHeight": Number()})
+REST = Record({"browser": BROWSER, "statistics": STATISTICS}, {"sanitizedDom": SNAPSHOT, "sensitiveRegions": Items(REGION)})
+REQUEST = Record({"task": Text(1), "context": REST})
+
+
+def _kind(v: Column) -> Column:
+    return F.coalesce(F.schema_of_variant(v), F.lit(""))
+
+
+def fits(v: Column, schema) -> Column:
+    """Whether a variant follows a schema; false, never null, where it is missing or of another type."""
+    kind = _kind(v)
+    if isinstance(schema, Text):
+        text = F.try_variant_get(v, "$", "string")
+        good = F.length(text) >= schema.least
+        return F.coalesce((kind == "STRING") & (text.isin(*schema.among) if schema.among else good), F.lit(False))
+    if isinstance(schema, Number):
+        x = F.try_variant_get(v, "$", "double")
+        good = kind.rlike("^(?:BIGINT|DOUBLE|FLOAT|DECIMAL|STRING)") & ~F.isnan(x) & (F.abs(x) < float("inf"))
+        for bound, test in ((schema.least, x >= F.lit(schema.least)), (schema.most, x <= F.lit(schema.most)), (schema.above, x > F.lit(schema.above))):
+            good = good & test if bound is not None else good
+        return F.coalesce(good & (x == F.floor(x)) if schema.whole else good, F.lit(False))
+    if isinstance(schema, Flag):
+        return kind == "BOOLEAN"
+    if isinstance(schema, Items):
+        items = F.try_variant_get(v, "$", "array<variant>")
+        return F.coalesce(kind.startswith("ARRAY") & F.forall(items, lambda item: fits(item, schema.of)), F.lit(False))
+    at = lambda name: F.try_variant_get(v, f"$.{name}", "variant")
+    allowed = F.array(*map(F.lit, (*schema.must, *schema.may)))
+    keys = F.map_keys(F.try_variant_get(v, "$", "map<string, variant>"))
+    good = kind.startswith("OBJECT") & (F.size(F.array_except(keys, allowed)) == 0)
+    for name, inner in schema.must.items():
+        good = good & fits(at(name), inner)
+    for name, inner in schema.may.items():
+        good = good & (at(name).isNull() | (_kind(at(name)) == "VOID") | fits(at(name), inner))
+    return F.coalesce(good, F.lit(False))
 
 
 def request_code(body: Column) -> Column:
-    """Null for a request that the schema accepts, else the first reason why not."""
-    closed = F.lit(True)
-    for path, keys in KEYS.items():
-        closed = closed & _closed(body, path, keys)
-    closed = closed & _each_closed(body, "$.context.sanitizedDom.elements", ELEMENT_KEYS) & _each_closed(body, "$.context.sensitiveRegions", REGION_KEYS)
-    number = lambda path: F.get_json_object(body, path).try_cast("double")
-    task = F.coalesce(js_trim(F.get_json_object(body, "$.task")), F.lit(""))
-    regions = F.from_json(F.get_json_object(body, "$.context.sensitiveRegions"), "array<struct<confidence: double>>")
-    unsure = F.exists(regions, lambda r: (r["confidence"] < 0) | (r["confidence"] > 1))
-    view = (number("$.context.browser.viewport.width") > 0) & (number("$.context.browser.viewport.height") > 0)
-    counts = F.lit(True)
-    for name in KEYS["$.context.statistics"]:
-        counts = counts & F.coalesce(number(f"$.context.statistics.{name}") >= 0, F.lit(False))
+    """Null for a request that the schema accepts, else the first level that it breaks.
+
+    Whatever cannot be read or has another type than it should is refused: NOT_AN_OBJECT, BAD_TASK (missing, blank or no
+    string), BAD_BROWSER, BAD_DOM, BAD_REGIONS, BAD_STATISTICS, or UNKNOWN_KEY for a key beside these.
+    """
+    v = F.try_parse_json(body)
+    at = lambda path: F.try_variant_get(v, path, "variant")
+    task = at("$.task")
+    blank = F.length(js_trim(F.try_variant_get(task, "$", "string"))) == 0
+    absent = lambda path: at(path).isNull()
+    empty = lambda path: absent(path) | (_kind(at(path)) == "VOID")
+    keys = lambda path, schema: F.size(F.array_except(F.map_keys(F.try_variant_get(v, path, "map<string, variant>")), F.array(*map(F.lit, (*schema.must, *schema.may))))) == 0
     return (
-        F.when(F.json_object_keys(body).isNull(), "NOT_AN_OBJECT").when(task == "", "EMPTY_TASK").when(~closed, "UNKNOWN_KEY")
-        .when(~F.coalesce(view, F.lit(False)), "BAD_VIEWPORT").when(F.coalesce(unsure, F.lit(False)), "BAD_CONFIDENCE").when(~counts, "BAD_STATISTICS")
+        F.when(~_kind(v).startswith("OBJECT"), "NOT_AN_OBJECT")
+        .when(~fits(task, Text(1)) | F.coalesce(blank, F.lit(True)), "BAD_TASK")
+        .when(~F.coalesce(keys("$", REQUEST) & _kind(at("$.context")).startswith("OBJECT") & keys("$.context", REST), F.lit(False)), "UNKNOWN_KEY")
+        .when(~fits(at("$.context.browser"), BROWSER), "BAD_BROWSER")
+        .when(~empty("$.context.sanitizedDom") & ~fits(at("$.context.sanitizedDom"), SNAPSHOT), "BAD_DOM")
+        .when(~absent("$.context.sensitiveRegions") & ~fits(at("$.context.sensitiveRegions"), Items(REGION)), "BAD_REGIONS")
+        .when(~fits(at("$.context.statistics"), STATISTICS), "BAD_STATISTICS")
     )
 
 
@@ -64,13 +137,17 @@ def dispatch(messages: DataFrame, kinds: list[str]) -> dict[str, DataFrame]:
 
 def model_output_code(body: Column) -> Column:
     """Null for a model's plan that the closed schema accepts: an action, and maybe an explanation and a confidence within 0 and 1."""
-    keys = F.json_object_keys(body)
-    sure = F.get_json_object(body, "$.confidence").try_cast("double")
+    v = F.try_parse_json(body)
+    keys = F.map_keys(F.try_variant_get(v, "$", "map<string, variant>"))
+    at = lambda name: F.try_variant_get(v, f"$.{name}", "variant")
+    given = lambda name: ~(at(name).isNull() | (_kind(at(name)) == "VOID"))
+    known = F.size(F.array_except(keys, F.array(*map(F.lit, ("action", "explanation", "confidence"))))) == 0
     return (
-        F.when(keys.isNull(), "NOT_AN_OBJECT")
-        .when(~_closed(body, "$", ("action", "explanation", "confidence")), "UNKNOWN_KEY")
-        .when(F.json_object_keys(F.get_json_object(body, "$.action")).isNull(), "NO_ACTION")
-        .when(F.get_json_object(body, "$.confidence").isNotNull() & ~F.coalesce(sure.between(0, 1), F.lit(False)), "BAD_CONFIDENCE")
+        F.when(~_kind(v).startswith("OBJECT"), "NOT_AN_OBJECT")
+        .when(~F.coalesce(known, F.lit(False)), "UNKNOWN_KEY")
+        .when(~_kind(at("action")).startswith("OBJECT"), "NO_ACTION")
+        .when(given("explanation") & ~fits(at("explanation"), Text()), "BAD_EXPLANATION")
+        .when(given("confidence") & ~fits(at("confidence"), Number(0, 1)), "BAD_CONFIDENCE")
     )
 
 

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import json
+
 from pyspark.sql import functions as F
 
 from hushpage.functions import actions as A
@@ -75,21 +77,70 @@ def plan_responses(spark, sf_dir):
     return planning.to_action_json(_plans(spark, sf_dir)).groupBy("action_json").agg(F.count(F.lit(1)).alias("n"))
 
 
-_VIEWPORT = '"viewport":{"width":1280,"height":720}'
-_STATS = '"statistics":{"totalDetections":1,"sensitiveDetections":1,"redactedRegions":1}'
-_ELEMENT = '{"id":"a","type":"input","tagName":"INPUT","bbox":{"x":0,"y":0,"width":1,"height":1},"visible":true,"enabled":true}'
-_BROWSER = f'"browser":{{"url":"https://example.org","title":"t",{_VIEWPORT},"scrollX":0,"scrollY":0}}'
+#: The keys of request bodies.
+_ELEMENT = {"id": "a", "type": "input", "tagName": "INPUT", "bbox": {"x": 0, "y": 0, "width": 1, "height": 1}, "visible": True, "enabled": True}
+_REGION = {"id": "r", "type": "email", "bbox": {"x": 0, "y": 0, "width": 1, "height": 1}, "confidence": 0.5, "sources": ["dom"], "redaction": "mask"}
+_BROWSER = {"url": "https://example.org", "title": "t", "viewport": {"width": 1280, "height": 720}, "scrollX": 0, "scrollY": 0}
+_STATS = {"totalDetections": 1, "sensitiveDetections": 1, "redactedRegions": 1}
+
+
+def _body(task="go", browser=_BROWSER, statistics=_STATS, regions=(), more=None, **context) -> str:
+    rest = {"browser": browser, "sensitiveRegions": list(regions) if isinstance(regions, tuple) else regions, "statistics": statistics, **context}
+    return json.dumps({"task": task, "context": rest, **(more or {})})
+
+
+def _without(record: dict, *keys: str) -> dict:
+    return {k: v for k, v in record.items() if k not in keys}
+
+
+def _page(*elements: dict) -> dict:
+    return {"elements": list(elements)}
+
+
 #: Request bodies and the code that each must get.
 BODIES = [
-    (f'{{"task":"go","context":{{{_BROWSER},"sensitiveRegions":[],{_STATS}}}}}', None),
-    (f'{{"task":"go","context":{{{_BROWSER},"sanitizedDom":{{"elements":[{_ELEMENT}]}},"sensitiveRegions":[],{_STATS}}}}}', None),
-    (f'{{"task":"go","context":{{{_BROWSER},"sanitizedDom":{{"elements":[{_ELEMENT[:-1]},"value":"x"}}]}},"sensitiveRegions":[],{_STATS}}}}}', "UNKNOWN_KEY"),
-    (f'{{"task":"go","context":{{{_BROWSER},"sensitiveRegions":[],{_STATS}}},"screenshot":"x"}}', "UNKNOWN_KEY"),
-    (f'{{"task":"  ","context":{{{_BROWSER},"sensitiveRegions":[],{_STATS}}}}}', "EMPTY_TASK"),
-    (f'{{"task":"go","context":{{{_BROWSER.replace("1280", "0")},"sensitiveRegions":[],{_STATS}}}}}', "BAD_VIEWPORT"),
-    (f'{{"task":"go","context":{{{_BROWSER},"sensitiveRegions":[{{"id":"r","type":"email","confidence":1.5}}],{_STATS}}}}}', "BAD_CONFIDENCE"),
-    (f'{{"task":"go","context":{{{_BROWSER},"sensitiveRegions":[],{_STATS.replace(":1}", ":-1}")}}}}}', "BAD_STATISTICS"),
+    (_body(), None),
+    (_body(sanitizedDom=_page(_ELEMENT)), None),
+    (_body(sanitizedDom=None), None),
+    (_body(sanitizedDom={**_page(_ELEMENT, {**_ELEMENT, "role": None, "sensitive": False}), "documentWidth": 10.5}, regions=(_REGION,)), None),
+    (_body(browser={**_BROWSER, "viewport": {"width": "1280", "height": 720, "devicePixelRatio": 2}}), None),
+    (json.dumps({"task": "go", "context": {"browser": _BROWSER, "statistics": _STATS}}), None),
+    (_body(sanitizedDom=_page({**_ELEMENT, "value": "x"})), "BAD_DOM"),
+    (_body(sanitizedDom=_page({**_ELEMENT, "bbox": {**_ELEMENT["bbox"], "value": "x"}})), "BAD_DOM"),
+    (_body(sanitizedDom={"elements": {"value": "x"}}), "BAD_DOM"),
+    (_body(sanitizedDom={"elements": "x"}), "BAD_DOM"),
+    (_body(sanitizedDom="x"), "BAD_DOM"),
+    (_body(sanitizedDom=_page(_without(_ELEMENT, "visible"))), "BAD_DOM"),
+    (_body(sanitizedDom=_page({**_ELEMENT, "type": "secret"})), "BAD_DOM"),
+    (_body(sanitizedDom=_page({**_ELEMENT, "id": ""})), "BAD_DOM"),
+    (_body(sanitizedDom=_page({**_ELEMENT, "visible": "yes"})), "BAD_DOM"),
+    (_body(sanitizedDom=_page(_ELEMENT, None)), "BAD_DOM"),
+    (_body(sanitizedDom={**_page(), "screenshot": "x"}), "BAD_DOM"),
+    (_body(more={"screenshot": "x"}), "UNKNOWN_KEY"),
+    (_body(sanitizedScreenshot={"data": "x"}), "UNKNOWN_KEY"),
+    (json.dumps({"task": "go", "context": "x"}), "UNKNOWN_KEY"),
+    (_body(task="  "), "BAD_TASK"),
+    (_body(task=5), "BAD_TASK"),
+    (_body(task=None), "BAD_TASK"),
+    (json.dumps({"context": {"browser": _BROWSER, "statistics": _STATS}}), "BAD_TASK"),
+    (_body(browser={**_BROWSER, "viewport": {"width": 0, "height": 720}}), "BAD_BROWSER"),
+    (_body(browser={**_BROWSER, "viewport": {"width": 1280, "height": 720, "image": "x"}}), "BAD_BROWSER"),
+    (_body(browser=_without(_BROWSER, "url", "title", "scrollX")), "BAD_BROWSER"),
+    (_body(browser={**_BROWSER, "url": None}), "BAD_BROWSER"),
+    (_body(browser={**_BROWSER, "scrollX": "far"}), "BAD_BROWSER"),
+    (_body(regions=({**_REGION, "confidence": 1.5},)), "BAD_REGIONS"),
+    (_body(regions=(_without(_REGION, "bbox"),)), "BAD_REGIONS"),
+    (_body(regions=({**_REGION, "text": "x"},)), "BAD_REGIONS"),
+    (_body(regions=({**_REGION, "redaction": "none"},)), "BAD_REGIONS"),
+    (_body(regions=({**_REGION, "sources": "dom"},)), "BAD_REGIONS"),
+    (_body(regions=None), "BAD_REGIONS"),
+    (_body(statistics={**_STATS, "totalDetections": -1}), "BAD_STATISTICS"),
+    (_body(statistics={**_STATS, "totalDetections": 1.5}), "BAD_STATISTICS"),
+    (_body(statistics=_without(_STATS, "redactedRegions")), "BAD_STATISTICS"),
+    (_body(statistics=None), "BAD_STATISTICS"),
     ("[1, 2]", "NOT_AN_OBJECT"),
+    ("{", "NOT_AN_OBJECT"),
+    ("", "NOT_AN_OBJECT"),
 ]
 
 
@@ -111,7 +162,8 @@ def browser_states(spark, sf_dir):
 
 OUTPUTS = [
     ('{"action":{"type":"click"},"confidence":0.5}', None), ('{"action":{"type":"click"},"explanation":"x"}', None), ('{"action":{"type":"click"},"confidence":1.5}', "BAD_CONFIDENCE"),
-    ('{"action":{},"more":1}', "UNKNOWN_KEY"), ('{"confidence":1}', "NO_ACTION"), ("7", "NOT_AN_OBJECT"),
+    ('{"action":{},"more":1}', "UNKNOWN_KEY"), ('{"confidence":1}', "NO_ACTION"), ("7", "NOT_AN_OBJECT"), ('{"action":"click"}', "NO_ACTION"), ('{"action":{},"confidence":null}', None),
+    ('{"action":{},"confidence":"high"}', "BAD_CONFIDENCE"), ('{"action":{},"explanation":5}', "BAD_EXPLANATION"), ("{", "NOT_AN_OBJECT"),
 ]
 
 

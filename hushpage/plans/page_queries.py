@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from hushpage.functions import geometry as G
 from hushpage.functions.classify import SENSITIVE_TYPES, compatible
-from hushpage.operators import guard, sanitize
+from hushpage.operators import guard, redact, sanitize
 from hushpage.operators.fuse import FuseOptions, fuse_detections
 from hushpage.plans.element_queries import IS_PASSWORD, low
 from hushpage.sources import views
@@ -140,20 +140,35 @@ def secret_leaks(spark, sf_dir):
     return guard.secret_leaks(_careless(spark, sf_dir), views.detections(spark, sf_dir))
 
 
-def _all_violations(spark, sf_dir):
-    return input_violations(spark, sf_dir).union(value_leaks(spark, sf_dir)).union(secret_leaks(spark, sf_dir))
+def _buffers(spark, sf_dir):
+    """Screenshots whose faults are those of _screens."""
+    flags = _screens(spark, sf_dir)
+    data = F.expr("substring(unhex(repeat('0A141EFF', 1200)), 1, data_length)")
+    return flags.select("snapshot_id", F.when(F.col("has_data"), data).alias("data"), "width", "height")
+
+
+def _half_masked(images):
+    """A redactor that forgot every tenth page."""
+    done = redact.redact_images(images).join(images.select("snapshot_id", F.col("data").alias("before"), "width", "height", "regions"), "snapshot_id")
+    forgot = done.withColumn("masked", F.when(F.col("snapshot_id") % 10 == 7, F.col("before")).otherwise(F.col("data")))
+    checks = redact.verify_masks(forgot.drop("data").withColumnRenamed("before", "data"))
+    return forgot.select("snapshot_id", F.col("masked").alias("data"), "redacted", "error").join(checks, "snapshot_id")
+
+
+def _sanitized(spark, sf_dir, **options):
+    found = views.detections(spark, sf_dir).withColumn("sources", F.array("source"))
+    return guard.sanitize(_pages(spark, sf_dir), _buffers(spark, sf_dir), views.elements(spark, sf_dir), found, **options)
 
 
 def guard_verdicts(spark, sf_dir):
-    return guard.verdicts(_pages(spark, sf_dir), _all_violations(spark, sf_dir))
+    """All phases, with a redactor and a sanitiser that forget some."""
+    done = _sanitized(spark, sf_dir, mask=_half_masked, clean_up=lambda elements, detections, options: _careless(spark, sf_dir).where("snapshot_id % 33 <> 8 OR ord <> 0"))
+    return guard.verdicts(_pages(spark, sf_dir), done.violations)
 
 
 def passing_contexts(spark, sf_dir):
-    """What may leave: pages without a violation of any phase, over the elements as sanitised."""
-    raw, found = views.elements(spark, sf_dir), views.detections(spark, sf_dir)
-    clean = sanitize.sanitize_elements(raw, found)
-    violations = input_violations(spark, sf_dir).union(guard.value_leaks(raw, clean)).union(guard.secret_leaks(clean, found))
-    out = guard.contexts(_pages(spark, sf_dir), clean, found.withColumn("sources", F.array("source")), violations)
+    """What may leave: pages without a violation of any phase, over screenshots as masked and elements as sanitised."""
+    out = _sanitized(spark, sf_dir).contexts
     return out.select("snapshot_id", "url", "title", F.coalesce(F.size("elements"), F.lit(0)).alias("elements"), F.coalesce(F.size("regions"), F.lit(0)).alias("regions"), "total_detections", "sensitive_detections", "redacted_regions")
 
 
@@ -280,16 +295,35 @@ UNION ALL SELECT snapshot_id, 2, ord, 'INVALID_DETECTION_GEOMETRY' FROM {DET} AS
 UNION ALL SELECT snapshot_id, 3, 0, 'LEAKED_METADATA' FROM ({_PAGES})
   WHERE regexp_matches(url, '(password|pwd|secret|api_key|token)=[^&]+', 'i') OR regexp_matches(title, '(password|pwd|secret)=', 'i')
 """
-_VALUES = f"""
-SELECT c.snapshot_id, 4 AS phase, c.ord::BIGINT AS ord, CASE WHEN r.pw THEN 'PASSWORD_VALUE_LEAKAGE' ELSE 'SENSITIVE_VALUE_LEAKAGE' END AS code
-FROM ({_CARELESS}) AS c JOIN (SELECT snapshot_id, id, arg_max({IS_PASSWORD}, ord) AS pw FROM {EL} GROUP BY ALL) AS r USING (snapshot_id, id)
+
+
+def _values_sql(clean: str) -> str:
+    return f"""
+SELECT c.snapshot_id, 8 AS phase, c.ord::BIGINT AS ord, CASE WHEN r.pw THEN 'PASSWORD_VALUE_LEAKAGE' ELSE 'SENSITIVE_VALUE_LEAKAGE' END AS code
+FROM ({clean}) AS c JOIN (SELECT snapshot_id, id, arg_max({IS_PASSWORD}, ord) AS pw FROM {EL} GROUP BY ALL) AS r USING (snapshot_id, id)
 WHERE c.value IS NOT NULL AND c.value <> '[REDACTED]' AND (r.pw OR c.sensitive)
 """
-_SECRETS = f"""
-SELECT DISTINCT c.snapshot_id, 5 AS phase, c.ord::BIGINT AS ord, 'LEAKED_SECRET_IN_DOM' AS code FROM ({_CARELESS}) AS c JOIN {DET} AS d ON d.snapshot_id = c.snapshot_id
+
+
+def _secrets_sql(clean: str) -> str:
+    return f"""
+SELECT DISTINCT c.snapshot_id, 9 AS phase, c.ord::BIGINT AS ord, 'LEAKED_SECRET_IN_DOM' AS code FROM ({clean}) AS c JOIN {DET} AS d ON d.snapshot_id = c.snapshot_id
 WHERE d.type IN {SENS} AND length(d.text) > 0 AND (coalesce(contains(c.value, d.text), FALSE) OR coalesce(contains(c.text, d.text), FALSE))
 """
-_ALL = f"({_INPUT}) UNION ALL ({_VALUES}) UNION ALL ({_SECRETS})"
+
+
+#: Pages whose image cannot be masked, and those whose forgotten regions touch it.
+_BAD_IMAGE = "page_id % 23 = 1 OR page_id % 15 = 3 OR page_id % 12 = 6"
+_MASKS = f"""
+SELECT page_id AS snapshot_id, 4 AS phase, 0::BIGINT AS ord, 'REDACTION_EXECUTION_FAILURE' AS code FROM pages WHERE {_BAD_IMAGE}
+UNION ALL SELECT page_id, 6, 0, 'SCREENSHOT_VERIFICATION_FAILURE' FROM pages WHERE {_BAD_IMAGE}
+UNION ALL SELECT DISTINCT page_id, 6, 0, 'SCREENSHOT_UNMASKED_PIXELS' FROM pages JOIN {DET} AS d ON d.snapshot_id = page_id
+  WHERE NOT ({_BAD_IMAGE}) AND page_id % 10 = 7 AND d.type IN {SENS} AND d.width > 0 AND d.height > 0 AND d.x < 40 AND d.y < 30 AND d.x + d.width > 0 AND d.y + d.height > 0
+"""
+_VALUES, _SECRETS = _values_sql(_CARELESS), _secrets_sql(_CARELESS)
+_DROPPED = f"SELECT * FROM ({_CARELESS}) WHERE snapshot_id % 33 <> 8 OR ord <> 0"
+_ALL = f"""({_INPUT}) UNION ALL ({_MASKS}) UNION ALL SELECT DISTINCT snapshot_id, 7, 0, 'DOM_VERIFICATION_FAILURE' FROM {EL} WHERE snapshot_id % 33 = 8 AND ord = 0
+  UNION ALL ({_values_sql(_DROPPED)}) UNION ALL ({_secrets_sql(_DROPPED)})"""
 _COUNTS = f"SELECT snapshot_id, count(*) AS total_detections, count(*) FILTER (WHERE type IN {SENS}) AS sensitive_detections, count(*) FILTER (WHERE type IN {SENS}) AS redacted_regions FROM {DET} GROUP BY snapshot_id"
 
 _U = _rounded("least(a.x / 3 - 5, b.x)", "least(a.y / 3 - 5, b.y)", "(greatest(a.x / 3 - 5 + a.width / 3, b.x + b.width) - least(a.x / 3 - 5, b.x))", "(greatest(a.y / 3 - 5 + a.height / 3, b.y + b.height) - least(a.y / 3 - 5, b.y))", 60.0, 40.0)
@@ -319,7 +353,8 @@ ORACLES = {
         SELECT p.snapshot_id, p.url, p.title, coalesce(e.n, 0)::INT AS elements, coalesce(c.sensitive_detections, 0)::INT AS regions, coalesce(total_detections, 0) AS total_detections,
           coalesce(sensitive_detections, 0) AS sensitive_detections, coalesce(redacted_regions, 0) AS redacted_regions
         FROM ({_PAGES}) AS p LEFT JOIN (SELECT snapshot_id, count(*) AS n FROM {EL} WHERE id IS NOT NULL GROUP BY 1) AS e USING (snapshot_id)
-        LEFT JOIN ({_COUNTS}) AS c USING (snapshot_id) WHERE p.snapshot_id NOT IN (SELECT snapshot_id FROM ({_INPUT}))""",
+        LEFT JOIN ({_COUNTS}) AS c USING (snapshot_id) WHERE p.snapshot_id NOT IN (
+          SELECT snapshot_id FROM ({_INPUT}) UNION SELECT snapshot_id FROM ({_values_sql(_clean_sql())}) UNION SELECT snapshot_id FROM ({_secrets_sql(_clean_sql())}))""",
     "privacy_statistics": _COUNTS,
     "redaction_counts": f"""
         SELECT snapshot_id, count(*) AS redacted, sum((x1 - x0) * (y1 - y0))::BIGINT AS pixels FROM (

@@ -83,6 +83,12 @@ def masked_images(spark, sf_dir):
     return out.select("snapshot_id", F.sha2("data", 256).alias("sha256"), "redacted", "error")
 
 
+def redacted_verified(spark, sf_dir):
+    """Masking and its check in one pass."""
+    out = redact.redact_and_verify(_images(spark, sf_dir))
+    return out.select("snapshot_id", F.sha2("data", 256).alias("sha256"), "redacted", "error", "code")
+
+
 def mask_verified(spark, sf_dir):
     """Every third page is checked against its unmasked image, which fails where a region touches it."""
     images = _images(spark, sf_dir)
@@ -91,7 +97,7 @@ def mask_verified(spark, sf_dir):
     return redact.verify_masks(both)
 
 
-_QUERIES = (det_dims, rec_dims, heat_components, text_regions, ctc_decode, ocr_scores, face_candidates, nms_kept, redaction_area, masked_images, mask_verified)
+_QUERIES = (det_dims, rec_dims, heat_components, text_regions, ctc_decode, ocr_scores, face_candidates, nms_kept, redaction_area, masked_images, mask_verified, redacted_verified)
 QUERIES = {f.__name__: f for f in _QUERIES}
 
 _WH = "SELECT p_partkey, (p_size * 40 + 7)::DOUBLE AS w, (p_partkey % 37 * 50 + 11)::DOUBLE AS h FROM part"
@@ -115,7 +121,24 @@ SELECT vec_id AS image_id, (a - 1)::INT AS anchor, abs(embedding[a])::DOUBLE * 8
 FROM embeddings, range(1, 17) AS t(a)
 """
 
+#: Boxes of sensitive detections on images of 50 by 40 pixels, and the bytes of each image once they are black.
+_TOUCHED = f"""
+SELECT snapshot_id, greatest(0, floor(x))::INT AS x0, greatest(0, floor(y))::INT AS y0, least(50, ceil(x + width))::INT AS x1, least(40, ceil(y + height))::INT AS y1,
+  width > 0 AND height > 0 AS valid FROM {DET} AS d WHERE type IN {SENS}"""
+_MASKED = f"""
+WITH b AS ({_TOUCHED}),
+h AS (SELECT snapshot_id, count(*) FILTER (WHERE valid AND x0 < x1 AND y0 < y1)::INT AS n FROM b GROUP BY 1),
+p AS (SELECT DISTINCT snapshot_id, py * 50 + px AS spot FROM (SELECT snapshot_id, y0, y1, unnest(range(x0, x1)) AS px FROM b WHERE valid), range(0, 40) AS t(py) WHERE py >= y0 AND py < y1),
+i AS (SELECT h.snapshot_id, sha256(from_hex(string_agg(CASE WHEN p.spot IS NULL THEN '0A141EFF' ELSE '000000FF' END, '' ORDER BY r.spot))) AS sha
+      FROM h CROSS JOIN range(0, 2000) AS r(spot) LEFT JOIN p ON p.snapshot_id = h.snapshot_id AND p.spot = r.spot GROUP BY 1),
+m AS (SELECT snapshot_id, CASE WHEN snapshot_id % 10 <> 9 THEN sha END AS sha256, CASE WHEN snapshot_id % 10 <> 9 THEN n ELSE 0 END::INT AS redacted,
+        CASE WHEN snapshot_id % 10 = 9 THEN 'INVALID_IMAGE' END AS error, n FROM h JOIN i USING (snapshot_id))
+"""
+
 ORACLES = {
+    "masked_images": f"{_MASKED} SELECT snapshot_id, sha256, redacted, error FROM m",
+    "redacted_verified": f"{_MASKED} SELECT snapshot_id, sha256, redacted, error, CASE WHEN error IS NOT NULL THEN 'SCREENSHOT_VERIFICATION_FAILURE' END AS code FROM m",
+    "mask_verified": f"""{_MASKED} SELECT snapshot_id, CASE WHEN error IS NOT NULL THEN 'SCREENSHOT_VERIFICATION_FAILURE' WHEN snapshot_id % 3 = 0 AND n > 0 THEN 'SCREENSHOT_UNMASKED_PIXELS' END AS code FROM m""",
     "det_dims": f"""
         SELECT p_partkey, width, height, width / w AS scale_x, height / h AS scale_y FROM (SELECT *, greatest(32::DOUBLE, floor(w * {_RATIO} / 32 + 0.5) * 32) AS width,
           greatest(32::DOUBLE, floor(h * {_RATIO} / 32 + 0.5) * 32) AS height FROM ({_WH}))""",
