@@ -10,6 +10,8 @@ JS_SPACE = "\\s\\x{00A0}\\x{FEFF}\\x{1680}\\x{2000}-\\x{200A}\\x{2028}\\x{2029}\
 #: A word boundary between ASCII word characters; Java's own is Unicode-aware.
 EDGE = "(?:(?<![A-Za-z0-9_])(?=[A-Za-z0-9_])|(?<=[A-Za-z0-9_])(?![A-Za-z0-9_]))"
 
+#: Fixed grammar of addresses and numbers: which alternative comes first decides which text is the first hit. Character classes
+#: are spelt out in ASCII, as Java's own are wider than those of browsers.
 _SEP = f"[-.{JS_SPACE}]"
 EMAIL = f"{EDGE}[A-Za-z0-9._%+-]++@[A-Za-z0-9]+(?:[.-][A-Za-z0-9]+)*\\.[A-Za-z]{{2,}}{EDGE}"
 PHONE = "|".join(
@@ -77,9 +79,25 @@ def is_restricted_url(url: Column) -> Column:
     return url.isNull() | (url == "") | _present(hit)
 
 
+#: Characters that a host may not have once the address is parsed, and those around it.
+_HOST = "[^\\x00-\\x20\\x7F/\\\\?#:@<>\\[\\]^|%]"
+_PORT = "(?::(?:[0-9]{0,4}|[0-5][0-9]{4}|6[0-4][0-9]{3}|65[0-4][0-9]{2}|655[0-2][0-9]|6553[0-5]))?"
+_IPV6 = "\\[[0-9A-Fa-f:.]*:[0-9A-Fa-f:.]*\\]"
+_AUTHORITY = f"(?i)^https?:[/\\\\]*(?:[^/\\\\?#]*@)?(?:{_HOST}+|{_IPV6}){_PORT}(?:[/\\\\?#]|\\z)"
+
+
 def is_navigable_url(url: Column) -> Column:
-    """Whether an address parses with the scheme http or https and some host."""
-    return _present(url.rlike(f"(?i)^[{JS_SPACE}]*https?:[/\\\\]*[^/\\\\?#{JS_SPACE}:@]"))
+    """Whether an address parses, as browsers do it, with the scheme http or https and a host.
+
+    Controls and spaces at the ends, and tabs and line breaks anywhere, are dropped first. The host has no space or other forbidden
+    character, the port is a number up to 65535. A host that ends in a number must be four decimal parts of an IPv4 address; escapes in hosts are refused, too.
+    """
+    plain = F.regexp_replace(F.regexp_replace(url, "^[\\x00-\\x20]+|[\\x00-\\x20]+\\z", ""), "[\\t\\n\\r]", "")
+    host = F.regexp_extract(plain, f"(?i)^https?:[/\\\\]*(?:[^/\\\\?#]*@)?({_HOST}+)", 1)
+    last = F.regexp_extract(host, "([^.]*)\\.?\\z", 1)
+    part = "(?:25[0-5]|2[0-4][0-9]|1[0-9]{2}|[1-9]?[0-9])"
+    address = host.rlike(f"^(?:{part}\\.){{3}}{part}\\.?\\z")
+    return _present(plain.rlike(_AUTHORITY) & (~last.rlike("^(?:[0-9]+|0[xX][0-9A-Fa-f]*)\\z") | address))
 
 
 def leaks_metadata(url: Column, title: Column) -> Column:

@@ -41,7 +41,7 @@ def planned_codes(spark, sf_dir):
 
 
 def dry_run(spark, sf_dir):
-    page = views.elements(spark, sf_dir).withColumn("options", F.array(F.lit("IN"), F.lit(" India ")))
+    page = views.elements(spark, sf_dir).withColumn("options", F.array(F.lit("IN"), F.lit(" Norway ")))
     return simulate_actions(views.actions(spark, sf_dir), page)
 
 
@@ -250,7 +250,7 @@ c AS (SELECT action_id, client, kind, CASE WHEN NOT client THEN 'INVALID_ACTION'
   WHEN kind = 'type' THEN CASE WHEN t IS NULL AND element_id IS NULL THEN 'TARGET_NOT_INTERACTABLE' WHEN t IS NULL THEN 'TARGET_NOT_FOUND'
     WHEN NOT (lower(t.tag_name) = 'textarea' OR (lower(t.tag_name) = 'input' AND lower(coalesce(nullif(t.input_type, ''), 'text')) NOT IN ('button', 'submit', 'reset', 'hidden', 'image', 'checkbox', 'radio', 'file')))
       OR NOT t.enabled OR NOT t.visible THEN 'TARGET_NOT_INTERACTABLE' END
-  WHEN kind = 'select' THEN CASE WHEN t IS NULL THEN 'TARGET_NOT_FOUND' WHEN lower(t.tag_name) <> 'select' OR NOT t.enabled OR NOT (value = 'IN' OR trim(value) IN ('IN', 'India') OR value = ' India ') THEN 'TARGET_NOT_INTERACTABLE' END
+  WHEN kind = 'select' THEN CASE WHEN t IS NULL THEN 'TARGET_NOT_FOUND' WHEN lower(t.tag_name) <> 'select' OR NOT t.enabled OR NOT (value = 'IN' OR trim(value) IN ('IN', 'Norway') OR value = ' Norway ') THEN 'TARGET_NOT_INTERACTABLE' END
   END AS error_code FROM j)
 SELECT action_id, CASE WHEN error_code IS NULL THEN 'success' ELSE 'failure' END AS status, CASE WHEN client THEN kind ELSE 'unknown' END AS action_type, error_code FROM c
 """

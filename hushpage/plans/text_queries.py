@@ -104,8 +104,21 @@ def metadata_leaks(spark, sf_dir):
     return page_urls(spark, sf_dir).where(T.leaks_metadata(F.col("url"), F.col("title"))).select("page_id")
 
 
+#: Addresses and whether a browser could navigate to them, decided by hand.
+NAVIGABLE = [
+    ("https://example.org/a b?c d#e f", True), ("HTTP://x", True), (" https://x.example \t", True), ("https:example.org", True), ("https:\\\\back.example\\y", True),
+    ("http://user:pw@host.example:8080/p", True), ("http://x:", True), ("http://x:65535", True), ("http://[2001:db8::1]:80/", True), ("http://10.0.0.1/", True),
+    ("https://exa\tmple.org", True), ("https://b\u00fccher.example", True), ("http://x:99999", False), ("http://a:port", False), ("https://exa mple.org", False),
+    ("http://[bad", False), ("http://[bad]", False), ("http://300.1.1.1", False), ("http://", False), ("https://?q", False), ("http://@/", False), ("http://:80", False), ("http://a<b", False),
+    ("javascript:alert(1)", False), ("ftp://x", False), ("example.org", False), ("//example.org", False), ("", False), ("   ", False), (None, False),
+]
+
+
 def navigable_urls(spark, sf_dir):
-    return page_urls(spark, sf_dir).select("page_id", T.is_navigable_url(F.col("url")).alias("navigable"))
+    """Each page's own address, and one of a list."""
+    own = table(spark, sf_dir, "pages").select("page_id", "url")
+    listed = F.get(F.array(*[F.lit(u) for u, _ in NAVIGABLE]), (F.col("page_id") % len(NAVIGABLE)).cast("int"))
+    return own.select("page_id", T.is_navigable_url(F.col("url")).alias("own"), T.is_navigable_url(listed).alias("navigable"))
 
 
 QUERIES = {
@@ -131,6 +144,7 @@ ORACLES = {
     "metadata_leaks": f"""
         SELECT page_id FROM ({URLS}) WHERE coalesce(regexp_matches(url, '(password|pwd|secret|api_key|token)=[^&]+', 'i'), FALSE)
           OR coalesce(regexp_matches(title, '(password|pwd|secret)=', 'i'), FALSE)""",
-    "navigable_urls": rf"""
-        SELECT page_id, coalesce(regexp_matches(url, '^[{SPACE}]*https?:[/\\]*[^/\\?#{SPACE}:@]', 'i'), FALSE) AS navigable FROM ({URLS})""",
+    "navigable_urls": f"""
+        SELECT page_id, coalesce(starts_with(url, 'https://') OR starts_with(url, 'http://'), FALSE) AS own, page_id % {len(NAVIGABLE)} IN ({", ".join(str(i) for i, (_, good) in enumerate(NAVIGABLE) if good)}) AS navigable
+        FROM pages""",
 }
