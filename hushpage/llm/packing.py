@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from hushpage.llm.blocks import cut, partitions
-from hushpage.llm.textblocks import span_hashes
+from hushpage.llm.textblocks import release_memory, span_hashes
 from hushpage.llm.token_counts import WHITE_SPACE
 
 Filling = tuple[tuple[int, int], ...]  # (length, how many), longest first
@@ -341,6 +341,7 @@ def token_pieces(docs: DataFrame, tokenizer_path: str, end_id: int = 1, capacity
                     [part.column(0).take(pa.array(row)), pa.array(piece, pa.int32()), *(pa.array(x, pa.int64()) for x in (start, length, crc))],
                     names=["doc_id", "piece", "start", "length", "ids_crc32"],
                 )
+        release_memory()
 
     kind = docs.schema["doc_id"].dataType.simpleString()
     return docs.select("doc_id", "text").mapInArrow(encode, f"doc_id {kind}, piece int, start long, length long, ids_crc32 long")

@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from hushpage.llm.textblocks import span_hashes
+from hushpage.llm.textblocks import release_memory, span_hashes
 
 #: Unicode's White_Space characters, which end a pre-token.
 WHITE_SPACE = (*range(0x09, 0x0E), 0x20, 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000)
@@ -106,8 +106,12 @@ class ChunkLengths:
         self.special = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
         self.frequent, self.bits, self.cache = LengthTable(1), bits, LengthTable(bits)
 
-    def encode(self, texts: list[str]) -> list[int]:
-        return [len(e.ids) for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+    def encode(self, texts: list[str], most: int = 1_024) -> list[int]:
+        """Token counts of texts, some at a time, as the library's results are far larger than their texts."""
+        out = []
+        for i in range(0, len(texts), most):
+            out += [len(e.ids) for e in self.tokenizer.encode_batch_fast(texts[i : i + most], add_special_tokens=False)]
+        return out
 
     def count(self, texts: list[str | None]) -> np.ndarray:
         out, plain, place = np.zeros(len(texts), dtype=np.int64), [], []
@@ -244,6 +248,7 @@ def token_counts(
                     [part.column(0), part.column(2), pa.array(n), pa.array(n > limit)],
                     names=[id_col, "n_bytes", "n_tokens", "over_limit"],
                 )
+        release_memory()
 
     kind = docs.schema[id_col].dataType.simpleString()
     rows = docs.select(id_col, text_col, F.coalesce(F.octet_length(text_col), F.lit(0)).cast("long").alias("n_bytes"))

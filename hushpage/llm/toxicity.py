@@ -26,7 +26,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from hushpage.llm.blocks import cut
-from hushpage.llm.textblocks import mix, word_hashes_and_stems
+from hushpage.llm.textblocks import mix, release_memory, word_hashes_and_stems
 
 #: Thresholds among which the calibration documents choose, in standard deviations.
 THRESHOLDS = (3.0, 4.0, 5.0, 6.0, 8.0)
@@ -311,5 +311,6 @@ def without_toxic(docs: DataFrame, labels: DataFrame, threshold: float = 0.7, ma
             for i in range(0, batch.num_rows, 1024):
                 part = batch.slice(i, 1024)
                 yield part.filter(pa.array(model.value.score(_texts(part.column(at))) < threshold))
+        release_memory()
 
     return docs.mapInArrow(keep, T.StructType(docs.schema.fields))
