@@ -11,8 +11,9 @@ import json
 import re
 import zlib
 from array import array
-from bisect import bisect_left, insort
+from bisect import bisect_left, bisect_right, insort
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
@@ -81,102 +82,181 @@ def best_fit(counts: dict[int, int], capacity: int) -> list[tuple[int, Filling]]
     return [(bins, filling) for held in groups.values() for bins, filling in held]
 
 
-def fillings(room: int, counts: dict[int, int], waste: int, limit: int = 64, steps: int = 4_000) -> list[Filling]:
-    """Undominated fillings of a room that leave at most ``waste``, the fullest first.
+class Budget:
+    """Steps that a whole search may still take."""
 
-    A filling is dominated if one or two of its pieces could be exchanged for one longer unused piece that fits.
-    The enumeration takes longer pieces first and stops after ``steps`` nodes or ``limit`` fillings.
+    def __init__(self, steps: int):
+        self.left = steps
+
+    def spend(self, steps: int = 1) -> bool:
+        self.left -= steps
+        return self.left >= 0
+
+
+def fillings(room: int, counts: dict[int, int], alive: list[int], waste: int, budget: Budget) -> Iterator[Filling]:
+    """Undominated fillings of a room that leave at most ``waste``: first those that leave nothing, then in classes of what they leave, longer pieces first.
+
+    ``alive`` are the lengths with a count, ascending. A filling is dominated if one or two of its pieces could be
+    exchanged for one longer unused piece that fits. All are given while the budget lasts.
     """
-    lengths = sorted((k for k, n in counts.items() if n and k <= room), reverse=True)
-    below = [0] * (len(lengths) + 1)
-    for i in range(len(lengths) - 1, -1, -1):
-        below[i] = below[i + 1] + lengths[i] * counts[lengths[i]]
-    found: list[tuple[int, list[tuple[int, int]]]] = []
-    seen = 0
+    top = bisect_right(alive, room)
+    few = sum(counts[k] * k for k in alive[:64]) < room if len(alive) <= 64 else False  # all that is left might not fill the room
+    below = [0]
+    for k in alive[:top] if few else ():
+        below.append(below[-1] + k * counts[k])
 
     def dominated(chosen: list[tuple[int, int]], slack: int) -> bool:
         used = dict(chosen)
-        spare = [k for k in lengths if counts[k] > used.get(k, 0)]
-        if spare and spare[-1] <= slack:
-            return True
-        parts = [k for k, _ in chosen]
-        sums = set(parts) | {a + b for a in parts for b in parts if a != b or used[a] > 1}
-        up = spare[::-1]
-        for total in sums:
-            at = bisect_left(up, total + 1)
-            if at < len(up) and up[at] <= total + slack:
-                return True
-        return False
-
-    def go(i: int, left: int, chosen: list[tuple[int, int]]) -> bool:
-        nonlocal seen
-        seen += 1
-        if left <= waste and not dominated(chosen, left):
-            found.append((left, list(chosen)))
-            if left == 0:
-                return True
-        if seen > steps or len(found) >= limit:
-            return True
-        for j in range(i, len(lengths)):
-            if left - below[j] > waste:
+        free = lambda k: counts[k] > used.get(k, 0)
+        for k in alive:
+            if k > slack:
                 break
-            if lengths[j] <= left:
-                most = min(left // lengths[j], counts[lengths[j]])
-                for n in range(most, 0, -1):
-                    chosen.append((lengths[j], n))
-                    stop = go(j + 1, left - n * lengths[j], chosen)
-                    chosen.pop()
-                    if stop:
-                        return True
+            if free(k):
+                return True
+        parts = [k for k, _ in chosen]
+        for total in set(parts) | {a + b for a in parts for b in parts if a != b or used[a] > 1}:
+            for i in range(bisect_right(alive, total), len(alive)):
+                if alive[i] > total + slack:
+                    break
+                if free(alive[i]):
+                    return True
         return False
 
-    go(0, room, [])
-    found.sort(key=lambda f: f[0])
-    return [tuple(f) for _, f in found]
-
-
-def bin_completion(counts: dict[int, int], capacity: int, nodes: int = 20_000) -> list[tuple[int, Filling]]:
-    """A packing with as few bins as the search finds: (number of bins, filling).
+    def go(end: int, left: int, least: int, most: int, chosen: list[tuple[int, int]]) -> Iterator[Filling]:
+        """With pieces of alive[:end] only; what stays free must lie between least and most."""
+        if not budget.spend():
+            return
+        if least <= left <= most and not dominated(chosen, left):
+            yield tuple(chosen)
+        i = bisect_right(alive, left, 0, end) - 1
+        if i >= 0 and alive[0] > left - alive[i]:  # alone it leaves no room for others, so it dominates the next shorter ones
+            k = alive[i]
+            if least <= left - k <= most and not dominated([*chosen, (k, 1)], left - k):
+                yield (*chosen, (k, 1))
+            i = bisect_right(alive, left - alive[0], 0, i) - 1
+        for i in range(i, -1, -1):
+            k = alive[i]
+            if (few and left - below[i + 1] > most) or not budget.spend():
+                return
+            for n in range(min(left // k, counts[k]), 0, -1):
+                chosen.append((k, n))
+                yield from go(i, left - n * k, least, most, chosen)
+                chosen.pop()
+
+    yield from go(top, room, 0, 0, [])
+    least, most = 1, 8
+    if alive and room < 3 * alive[0]:  # at most two more pieces: few enough to sort
+        yield from sorted(go(top, room, 1, waste, []), key=lambda f: -sum(k * n for k, n in f))
+        return
+    while least <= waste:
+        yield from go(top, room, least, min(most, waste), [])
+        least, most = most + 1, 4 * most + 8
+
+
+@dataclass(frozen=True)
+class Packing:
+    """groups: (number of bins, filling). ``bins`` is their sum; a packing of ``bound`` bins is the best there is."""
+
+    groups: list[tuple[int, Filling]]
+    bins: int
+    bound: int
+
+
+def bin_completion(counts: dict[int, int], capacity: int, steps: int = 1_000_000) -> Packing:
+    """A packing with as few bins as the search finds.
 
     The incumbent is best-fit decreasing. Depth first, each node fills the bin of the longest piece left with an
-    undominated filling, in as many bins as the counts allow, and is cut off once its waste exceeds what a
-    packing with one bin less than the incumbent may leave. The search ends at the lower bound, or after ``nodes``
-    nodes with the best packing so far.
+    undominated filling, in as many bins as the counts allow and, later, in one; it is cut off once its waste exceeds what a
+    packing with one bin less than the incumbent may leave. The search ends at the lower bound, when all is tried, or when
+    ``steps`` are spent, some seconds of the driver's time whatever the input; a packing above its bound may then not be the best.
     """
-    counts = {k: n for k, n in counts.items() if n > 0}
-    if not counts:
-        return []
-    total, goal = sum(k * n for k, n in counts.items()), lower_bound(counts, capacity)
-    best = best_fit(counts, capacity)
+    left = {k: n for k, n in counts.items() if n > 0}
+    if not left:
+        return Packing([], 0, 0)
+    total, goal = sum(k * n for k, n in left.items()), lower_bound(left, capacity)
+    best = best_fit(left, capacity)
     best_bins = sum(n for n, _ in best)
-    stack = [(counts, 0, 0, None)]  # counts left, bins, waste, chain of (bins, filling)
-    while stack and best_bins > goal and nodes > 0:
-        nodes -= 1
-        left, bins, waste, chain = stack.pop()
-        allowed = (best_bins - 1) * capacity - total - waste
-        if allowed < 0:
-            continue
-        if not left:
-            best, best_bins = [], bins
-            while chain:
-                best.append(chain[0])
-                chain = chain[1]
-            continue
-        longest = max(left)
-        rest = dict(left)
-        rest[longest] -= 1
-        options = fillings(capacity - longest, rest, allowed)
-        for filling in reversed(options):
-            need = dict(filling)
+    budget, branches = Budget(0), None
+    alive = sorted(left)
+
+    def take(need: dict[int, int], times: int) -> None:
+        """Removes pieces; a negative number of times puts them back."""
+        for k, n in need.items():
+            before = left.get(k, 0)
+            left[k] = before - n * times
+            if not left[k]:
+                del alive[bisect_left(alive, k)]
+            elif not before:
+                insort(alive, k)
+
+    def options(longest: int, allowed: int) -> Iterator[tuple[dict[int, int], int]]:
+        take({longest: 1}, 1)
+        seen = fillings(capacity - longest, left, list(alive), allowed, budget)
+        first = next(seen, None)
+        take({longest: 1}, -1)
+        given = 0
+        while first is not None:
+            need = dict(first)
             need[longest] = need.get(longest, 0) + 1
-            times = min(left[k] // n for k, n in need.items())
             lost = capacity - sum(k * n for k, n in need.items())
-            if lost:
-                times = min(times, max(1, allowed // lost))
-            after = {k: n - times * need.get(k, 0) for k, n in left.items() if n > times * need.get(k, 0)}
-            step = (times, tuple(sorted(need.items(), reverse=True)))
-            stack.append((after, bins + times, waste + times * lost, (step, chain)))
-    return best
+            yield need, lost
+            given += 1
+            if given == branches:
+                return
+            take({longest: 1}, 1)  # the enumeration looks at what is left without this piece
+            first = next(seen, None)
+            take({longest: 1}, -1)
+
+    def descend(best: list[tuple[int, Filling]], best_bins: int) -> tuple[list[tuple[int, Filling]], int]:
+        """The best packing that depth-first search finds within the budget, or the one given."""
+        path: list[list] = [[options(alive[-1], (best_bins - 1) * capacity - total), None]]  # [options, pieces, times, waste, tried once] of each node on the way
+        bins = waste = 0
+        while path and best_bins > goal and budget.left > 0:
+            node = path[-1]
+            if node[1] is not None:  # undo the step that was tried
+                need, times, lost = node[1], node[2], node[3]
+                take(need, -times)
+                bins, waste = bins - times, waste - times * lost
+                if branches is None and times > 1 and not node[4]:
+                    node[2], node[4] = 1, True
+                else:
+                    node[1] = None
+            if node[1] is None:
+                found = next(node[0], None)
+                if found is None:
+                    path.pop()
+                    continue
+                need, lost = found
+                times = min(left[k] // n for k, n in need.items())
+                allowed = (best_bins - 1) * capacity - total - waste
+                if lost:
+                    times = min(times, allowed // lost)
+                if times < 1:
+                    continue
+                node[1:] = [need, times, lost, False]
+            need, times, lost = node[1], node[2], node[3]
+            take(need, times)
+            bins, waste = bins + times, waste + times * lost
+            budget.spend(1 + len(alive) // 64)
+            allowed = (best_bins - 1) * capacity - total - waste
+            if allowed < 0:
+                continue
+            if not alive:
+                best, best_bins = [(x[2], tuple(sorted(x[1].items(), reverse=True))) for x in path], bins
+                continue
+            path.append([options(alive[-1], allowed), None])
+        while path:  # puts the pieces back for the next round
+            node = path.pop()
+            if node[1] is not None:
+                take(node[1], -node[2])
+        return best, best_bins
+
+    for share, branches in ((4, 2), (4, 8), (2, None)):  # narrow rounds soon come back to early choices; the last one leaves nothing out
+        if best_bins <= goal:
+            break
+        budget = Budget(steps // share)
+        best, best_bins = descend(best, best_bins)
+    return Packing(best, best_bins, goal)
 
 
 # ---- the pieces -------------------------------------------------------------------------------------
@@ -347,10 +427,11 @@ def token_pieces(docs: DataFrame, tokenizer_path: str, end_id: int = 1, capacity
     return docs.select("doc_id", "text").mapInArrow(encode, f"doc_id {kind}, piece int, start long, length long, ids_crc32 long")
 
 
-def pack(pieces: DataFrame, capacity: int = 4096, nodes: int = 20_000) -> DataFrame:
-    """Adds sequence_id and offset to pieces (doc_id, piece, start, length, ids_crc32) of at most ``capacity`` tokens.
+def pack(pieces: DataFrame, capacity: int = 4096, steps: int = 1_000_000) -> DataFrame:
+    """Adds sequence_id, offset, sequences and lower_bound to pieces (doc_id, piece, start, length, ids_crc32) of at most ``capacity`` tokens.
 
-    The driver sees one count a length. Pieces of one length are ranked in salted groups, so a length that a third of
+    ``sequences`` is how many there are, ``lower_bound`` how many any packing needs: where they differ, the search of ``steps`` steps may have
+    ended before the best packing. The driver sees one count a length. Pieces of one length are ranked in salted groups, so a length that a third of
     all rows share is spread; ties are ordered by id, piece and checksum, and equal rows are interchangeable.
     """
     salts = partitions(pieces.sparkSession)
@@ -361,7 +442,8 @@ def pack(pieces: DataFrame, capacity: int = 4096, nodes: int = 20_000) -> DataFr
     starts, firsts, each, offset, steps = [], [], [], [], []
     rank: dict[int, int] = dict.fromkeys(counts, 0)
     sequence = 0
-    for bins, filling in bin_completion(counts, capacity, nodes):
+    packed = bin_completion(counts, capacity, steps)
+    for bins, filling in packed.groups:
         place = 0
         for length, n in filling:
             starts.append((length << 40) + rank[length])
@@ -373,6 +455,7 @@ def pack(pieces: DataFrame, capacity: int = 4096, nodes: int = 20_000) -> DataFr
             place += n * length
         sequence += bins
     order = np.argsort(np.asarray(starts, dtype=np.int64), kind="stable")
+    packed = Packing([], packed.bins, packed.bound)  # the groups stay here
     plan = pieces.sparkSession.sparkContext.broadcast(
         tuple(np.asarray(x, dtype=np.int64)[order] for x in (starts, firsts, each, offset, steps))
     )
@@ -389,20 +472,20 @@ def pack(pieces: DataFrame, capacity: int = 4096, nodes: int = 20_000) -> DataFr
             at = np.searchsorted(begin, key, side="right") - 1
             turn, slot = np.divmod(key - begin[at], n[at])
             yield pa.RecordBatch.from_arrays(
-                [*batch.columns[:5], pa.array(first[at] + turn), pa.array(off[at] + slot * step[at])],
-                names=["doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset"],
+                [*batch.columns[:5], pa.array(first[at] + turn), pa.array(off[at] + slot * step[at]), *(pa.array(np.full(len(at), x, dtype=np.int64)) for x in (packed.bins, packed.bound))],
+                names=["doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset", "sequences", "lower_bound"],
             )
 
     kind = pieces.schema["doc_id"].dataType.simpleString()
     return ranked.mapInArrow(
-        deal, f"doc_id {kind}, piece int, start long, length long, ids_crc32 long, sequence_id long, offset long"
+        deal, f"doc_id {kind}, piece int, start long, length long, ids_crc32 long, sequence_id long, offset long, sequences long, lower_bound long"
     )
 
 
-def pack_documents(docs: DataFrame, tokenizer_path: str, end_id: int = 1, capacity: int = 4096, nodes: int = 20_000) -> DataFrame:
+def pack_documents(docs: DataFrame, tokenizer_path: str, end_id: int = 1, capacity: int = 4096, steps: int = 1_000_000) -> DataFrame:
     """Packs every document into sequences of at most ``capacity`` tokens, as few as the search finds.
 
     A null or empty text is its end token alone. Repeated rows are packed each. Null ids pass through. An empty table gives no
     rows. Only doc_id and text are read, so other columns cannot clash.
     """
-    return pack(token_pieces(docs, tokenizer_path, end_id, capacity), capacity, nodes)
+    return pack(token_pieces(docs, tokenizer_path, end_id, capacity), capacity, steps)

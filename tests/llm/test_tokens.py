@@ -1,5 +1,7 @@
-import json
+import random
+import time
 import zlib
+from collections import Counter
 
 import numpy as np
 import public_tokenizers
@@ -9,7 +11,7 @@ from hypothesis import strategies as st
 from tokenizers import Tokenizer
 
 from hushpage.llm import packing, token_counts
-from hushpage.llm.packing import WordIds, bin_completion, lower_bound, pack_documents
+from hushpage.llm.packing import WordIds, best_fit, bin_completion, lower_bound, pack_documents
 from hushpage.llm.token_counts import ChunkLengths
 
 BYTE, WORD = (public_tokenizers.path(n) for n in ("byte_bpe_50k.json", "word_bpe_49k.json"))
@@ -111,12 +113,28 @@ def test_bin_completion_is_optimal_on_small_inputs(lengths):
     counts = {n: lengths.count(n) for n in set(lengths)}
     packed = bin_completion(counts, 20)
     got = {}
-    for bins, filling in packed:
+    for bins, filling in packed.groups:
         assert sum(k * n for k, n in filling) <= 20
         for k, n in filling:
             got[k] = got.get(k, 0) + bins * n
     assert got == counts
-    assert lower_bound(counts, 20) <= sum(b for b, _ in packed) == (fewest(lengths, 20) if lengths else 0)
+    assert packed.bound == lower_bound(counts, 20) if counts else packed.bound == 0
+    assert packed.bound <= packed.bins == sum(b for b, _ in packed.groups) == (fewest(lengths, 20) if lengths else 0)
+
+
+@pytest.mark.parametrize("low,high,n,most", [(1000, 2100, 20_000, 1.0), (1300, 1500, 3_000, 1.0), (600, 1400, 300, 0.99), (1, 4096, 3_000, 1.0)])
+def test_search_is_bounded_and_no_worse_than_best_fit(low, high, n, most):
+    r = random.Random(1)
+    counts = Counter(r.randrange(low, high) for _ in range(n))
+    began = time.process_time()
+    packed = bin_completion(dict(counts), 4096)
+    assert time.process_time() - began < 60
+    got = Counter()
+    for bins, filling in packed.groups:
+        assert sum(k * m for k, m in filling) <= 4096
+        for k, m in filling:
+            got[k] += bins * m
+    assert got == counts and packed.bound <= packed.bins <= most * sum(b for b, _ in best_fit(dict(counts), 4096))
 
 
 def test_pack_documents(spark):
