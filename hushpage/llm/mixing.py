@@ -4,7 +4,8 @@ Weighted sampling by exponential keys (Efraimidis and Spirakis): a document's ke
 -ln(u) / weight, u being a hash of its id in (0, 1), and a source takes its documents
 in ascending order of keys. A target beyond a source's size first takes complete
 epochs; the rest is a prefix of that order. Prefix sums are taken in key buckets
-whose number grows with the source, so that no source meets in one task. They end in
+whose number grows with the source, so that no source meets in one task. Buckets are even whatever the weights: a key's
+place is the share of the source's keys expected below it, which follows from how many documents have which weight. They end in
 one threshold a source, and texts are kept or repeated where they are scanned: only ids, sizes
 and keys are shuffled.
 """
@@ -17,7 +18,8 @@ from pyspark.sql import functions as F
 from hushpage.llm.blocks import cut
 
 WEIGHTS = (3, 1, 2)
-#: Sources up to this number are joined by broadcast; beyond it by a shuffled join that splits skewed sources.
+#: Sources up to this number are joined by broadcast; beyond it by a shuffled join that splits skewed sources. Results are the same. The
+#: targets themselves are windows over one row a source, in one task, and a source's buckets are one row each.
 BROADCAST_SOURCES = 10_000
 WORD = "[^\\x20\\x09-\\x0D]+"
 GAP = "[\\x20\\x09-\\x0D]+"
@@ -41,6 +43,16 @@ def sampling_key(identity: Column, weight: Column) -> Column:
     return -F.ln((bits + 0.5) / F.lit(float(1 << 52))) / weight
 
 
+def _identity(identity: Column | None) -> Column:
+    """What a document's key is drawn from: its id, if nothing else is given."""
+    return F.coalesce(F.col("doc_id").cast("string"), F.lit("")) if identity is None else identity
+
+
+def id_or_text(doc_id: Column, text: Column) -> Column:
+    """A document's id, or a hash of its text where it has none."""
+    return F.coalesce(doc_id.cast("string"), F.concat(F.lit("#"), F.md5(F.coalesce(text, F.lit("")))))
+
+
 def source_targets(stats: DataFrame, weights=WEIGHTS, share: float = 1.5, most: float = 2.0) -> DataFrame:
     """Adds sid, target, epochs and room to one row a source (source, source_size, docs).
 
@@ -94,16 +106,20 @@ def mixing_plan(
     share: float = 1.5,
     most: float = 2.0,
     bucket_docs: int = 2_000,
+    identity: Column | None = None,
 ) -> tuple[DataFrame, DataFrame]:
     """(sized documents, one row a source with its target and the thresholds of its fractional part)."""
-    key = sampling_key(F.coalesce(F.col("doc_id").cast("string"), F.lit("")), F.col("weight"))
-    sized = docs.select("doc_id", "source", size.alias("size"), weight.alias("weight"))
-    sized = cut(sized.select("doc_id", "source", "size", key.alias("key")))
+    sized = docs.select("doc_id", "source", size.alias("size"), weight.alias("weight"), _identity(identity).alias("identity"))
+    rate = F.floor(F.log2("weight")).cast("int")
+    sized = cut(sized.select("doc_id", "source", "size", sampling_key(F.col("identity"), F.col("weight")).alias("key"), rate.alias("rate")))
     stats = sized.groupBy("source").agg(F.sum("size").alias("source_size"), F.count(F.lit(1)).alias("docs"))
-    targets = cut(source_targets(stats, weights, share, most))
-    # 1 - exp(-key) spreads the keys over (0, 1), so a bucket holds about bucket_docs documents.
-    buckets = F.greatest(F.ceil(F.col("docs") / bucket_docs), F.lit(1))
-    bucket = F.least(F.floor((1 - F.exp(-F.col("key"))) * buckets), buckets - 1).cast("long")
+    rates = sized.where("size > 0").groupBy("source", "rate").agg(F.count(F.lit(1)).alias("n"))  # a row a source and power of two
+    rates = rates.groupBy(F.col("source").alias("its")).agg(F.collect_list(F.struct("rate", "n")).alias("rates"), F.sum("n").alias("solid"))
+    targets = source_targets(stats, weights, share, most)
+    targets = cut(targets.join(rates, targets["source"].eqNullSafe(rates["its"]), "left").drop("its"))
+    buckets = F.greatest(F.ceil(F.col("solid") / bucket_docs), F.lit(1))
+    below = F.aggregate("rates", F.lit(0.0), lambda sum_, r: sum_ + r["n"] * (1 - F.exp(-F.col("key") * F.pow(F.lit(2.0), r["rate"])))) / F.col("solid")
+    bucket = F.least(F.floor(below * buckets), buckets - 1).cast("long")
     rows = with_source(sized.where("size > 0"), targets).withColumn("bucket", bucket)
     units = rows.groupBy("sid", "bucket", "key", "doc_id", "size").agg(
         F.sum("size").alias("unit"), F.max("room").alias("room")
@@ -139,11 +155,11 @@ def _copies() -> Column:
 def mix_sources(docs: DataFrame, size: Column, weight: Column, **options) -> DataFrame:
     """How many words a mix takes from each document: doc_id, size, source_size, target, taken, copies.
 
-    Reads doc_id, source and what ``size`` and ``weight`` name; other columns are ignored. Whole documents are taken:
+    Reads doc_id, source and what ``size``, ``weight`` (above 0) and ``identity`` name; other columns are ignored. Whole documents are taken:
     ``copies`` complete epochs, and one more for those in the fractional part, whose prefix sums fill
     what is left of the target. A document that would cross the target is taken if that brings the sum nearer;
     if not, later documents that fit the gap fill it in a second pass. Null sources form one source, listed
-    last. Null ids are keyed as an empty id. Rows with equal id, key and size are taken together. Documents
+    last. Null ids are keyed as an empty id, unless ``identity`` tells them apart. Rows with equal id, key and size are taken together. Documents
     without words belong to complete epochs only. An empty table gives no rows.
     """
     sized, sources = mixing_plan(docs, size, weight, **options)
@@ -152,10 +168,10 @@ def mix_sources(docs: DataFrame, size: Column, weight: Column, **options) -> Dat
 
 
 def mixed_documents(docs: DataFrame, **options) -> DataFrame:
-    """The mix itself: the columns of documents, with a row for each copy that it takes."""
+    """The mix itself: the columns of documents, with a row for each copy that it takes. Null ids are told apart by their texts."""
     size = word_count(F.col("text"))
-    _, sources = mixing_plan(docs, size, quality_weight(F.col("text"), size), **options)
-    key = sampling_key(F.coalesce(F.col("doc_id").cast("string"), F.lit("")), F.col("weight"))
+    _, sources = mixing_plan(docs, size, quality_weight(F.col("text"), size), identity=id_or_text(F.col("doc_id"), F.col("text")), **options)
+    key = sampling_key(id_or_text(F.col("doc_id"), F.col("its_text")), F.col("weight"))
     rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), "doc_id", "source", size.alias("size"), F.col("text").alias("its_text"))
     rows = rows.withColumn("weight", quality_weight(F.col("its_text"), F.col("size"))).withColumn("key", key)
     rows = with_source(rows, sources).withColumn("copies", _copies().cast("int")).where("copies > 0")

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from hushpage.llm.fingerprints import fingerprint_with_next
 from hushpage.llm.jaccard_join import near_duplicates
 from hushpage.llm.language_model import language_model_scores
-from hushpage.llm.mixing import mix_sources, quality_weight, word_count
+from hushpage.llm.mixing import id_or_text, mix_sources, quality_weight, word_count
 from hushpage.llm.packing import pack_documents
 from hushpage.llm.preferences import answer_swaps, format_preferences
 from hushpage.llm.substrings import remove_repeats
@@ -37,7 +37,7 @@ def op2_preference_format(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op3_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     size = word_count(F.col("text"))
-    return mix_sources(table(spark, sf_dir, "documents"), size, quality_weight(F.col("text"), size))
+    return mix_sources(table(spark, sf_dir, "documents"), size, quality_weight(F.col("text"), size), identity=id_or_text(F.col("doc_id"), F.col("text")))
 
 
 def op4_pack_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -119,7 +119,7 @@ WITH d AS (
   FROM documents),
 e AS (
   SELECT doc_id, source, size,
-         -ln((('0x' || substr(md5(coalesce(doc_id::VARCHAR, '')), 1, 13))::BIGINT + 0.5::DOUBLE) / 4503599627370496::DOUBLE)
+         -ln((('0x' || substr(md5(coalesce(doc_id::VARCHAR, '#' || md5(text))), 1, 13))::BIGINT + 0.5::DOUBLE) / 4503599627370496::DOUBLE)
          / ((CASE WHEN length(regexp_replace(text, '[\x20\x09-\x0D]+', '', 'g')) BETWEEN 3 * size AND 10 * size THEN 1::DOUBLE ELSE 0.25::DOUBLE END)
             * (CASE WHEN size >= 50 THEN 1::DOUBLE ELSE 0.5::DOUBLE END)) AS key
   FROM d),
