@@ -7,7 +7,8 @@ subtree is left as soon as what remains of it cannot reach the threshold.
 
 Equal sets form classes first. Then each class meets, for each of its prefix shingles, the least
 and the greatest class that has it, which settles dense groups with a few comparisons a class; classes
-that meet and are still in different components are compared in a second round, so no link is lost.
+that meet and are still in different components are compared in a second round, so no link is lost. There a shingle
+of many components makes no pairs: its classes go to prefix trees of a bounded size, which the others search.
 """
 
 from __future__ import annotations
@@ -26,9 +27,11 @@ from hushpage.llm.keysets import ANSWERS, BLOBS, answers, bucket_edges, decode_s
 from hushpage.llm.textblocks import as_bytes, gram_hashes, mix, tidy, tidy_pair, word_hashes
 
 
-#: Up to this number, ids of removed rows or of sets with many candidates are sent to the rows they belong to (at most
-#: some 50 MB); beyond it both sides are shuffled.
+#: Up to this number, ids of removed rows are sent to the tables they belong to (at most some 50 MB); beyond it both sides are
+#: shuffled by id. Results are the same.
 BROADCAST_IDS = 2_000_000
+#: Sets that one prefix tree holds, and pairs that one shingle may make in the second round; beyond them trees are searched instead.
+TREE_SETS, TOKEN_PAIRS = 256, 1 << 16
 
 
 def shingle_sets(texts: list[bytes], k: int) -> list[np.ndarray]:
@@ -200,31 +203,64 @@ def _may_reach(a: str, b: str, percent: int) -> Column:
     return reach * (100 + percent) >= percent * (n + m)
 
 
-def _verify(pairs: DataFrame, classes: DataFrame, percent: int, kind: str, group: int = 256) -> DataFrame:
-    """Links (a, b) among candidate pairs (lead, cid), by prefix trees of at most about ``group`` sets a lead."""
-    sizes = pairs.groupBy("lead").count().where(F.col("count") > group)
-    parts = cut(sizes.select("lead", F.ceil(F.col("count") / group).cast("int").alias("parts")))
-    few = parts.count() <= BROADCAST_IDS  # then pairs are never shuffled by lead, so a hot lead is no hot task
-    dealt = pairs.join(F.broadcast(parts) if few else parts, "lead", "left")
-    dealt = dealt.withColumn("part", F.pmod(F.xxhash64("cid"), F.coalesce("parts", F.lit(1))).cast("int"))
+def _parts(classes_of_token: Column) -> Column:
+    """Prefix trees that the classes of one shingle are dealt to."""
+    return F.ceil(classes_of_token / TREE_SETS).cast("int")
+
+
+def _verify(pairs: DataFrame, classes: DataFrame, percent: int, kind: str) -> DataFrame:
+    """Links (a, b) among candidate pairs (lead, cid, parts), by prefix trees.
+
+    A lead's candidates go to ``parts`` trees by their hash. How many comes from the shingle by which they met, so a lead of a
+    large group has many trees, and none of them needs to know how many candidates the lead has.
+    """
+    dealt = pairs.withColumn("part", F.pmod(F.xxhash64("cid"), F.col("parts")).cast("int"))
     sets = classes.select("cid", "n", "tokens")
-    members = dealt.select("lead", "part", "cid").join(sets, "cid")
-    asked = dealt.select(F.col("lead").alias("l"), F.col("part").alias("p")).distinct()
+    members = dealt.select("lead", "parts", "part", "cid").join(sets, "cid")
+    asked = dealt.select(F.col("lead").alias("l"), F.col("parts").alias("of"), F.col("part").alias("p")).distinct()
     leads = asked.join(sets.toDF("l", "l_n", "l_tokens"), "l")
 
     def compare(lead: pa.Table, member: pa.Table) -> pa.Table:
         a, b = [], []
         if lead.num_rows and member.num_rows:
-            tree = PrefixTree(percent)
             names = member["cid"].to_pylist()
-            for i, (n, raw) in enumerate(zip(member["n"].to_pylist(), member["tokens"].to_pylist(), strict=True)):
-                tree.insert(i, n, np.frombuffer(raw, "<u8"))
-            found = tree.search(lead["l_n"][0].as_py(), np.frombuffer(lead["l_tokens"][0].as_py(), "<u8"))
+            found = _tree(member, percent).search(lead["l_n"][0].as_py(), np.frombuffer(lead["l_tokens"][0].as_py(), "<u8"))
             b = [names[i] for i in found]
             a = [lead["l"][0].as_py()] * len(b)
         return pa.table({"a": pa.array(a, lead.schema.field("l").type), "b": pa.array(b, lead.schema.field("l").type)})
 
-    return leads.groupBy("l", "p").cogroup(members.groupBy("lead", "part")).applyInArrow(compare, f"a {kind}, b {kind}")
+    return leads.groupBy("l", "of", "p").cogroup(members.groupBy("lead", "parts", "part")).applyInArrow(compare, f"a {kind}, b {kind}")
+
+
+def _tree(members: pa.Table, percent: int) -> PrefixTree:
+    tree = PrefixTree(percent)
+    for i, (n, raw) in enumerate(zip(members["n"].to_pylist(), members["tokens"].to_pylist(), strict=True)):
+        tree.insert(i, n, np.frombuffer(raw, "<u8"))
+    return tree
+
+
+def _tree_join(hot: DataFrame, classes: DataFrame, percent: int, kind: str) -> DataFrame:
+    """Links (a, b) between classes of different components that share a shingle of many components.
+
+    hot: token, cid, comp, main, parts. The classes of a token are dealt to prefix trees; each class outside the token's main
+    component searches all of them. Only links leave a task.
+    """
+    sets = classes.select("cid", "n", "tokens")
+    members = hot.withColumn("part", F.pmod(F.xxhash64("cid"), F.col("parts")).cast("int")).select("token", "part", "cid", "comp").join(sets, "cid")
+    asking = hot.where("comp <> main").select("token", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"), "cid", "comp").join(sets, "cid")
+    asking = asking.select("token", "part", "cid", "comp", "n", "tokens").toDF("at", "of", "q_cid", "q_comp", "q_n", "q_tokens")
+
+    def search(held: pa.Table, queries: pa.Table) -> pa.Table:
+        a, b = [], []
+        if held.num_rows and queries.num_rows:
+            tree, names, comps = _tree(held, percent), held["cid"].to_pylist(), held["comp"].to_pylist()
+            for cid, comp, n, raw in zip(*(queries[c].to_pylist() for c in ("q_cid", "q_comp", "q_n", "q_tokens")), strict=True):
+                found = [names[i] for i in tree.search(n, np.frombuffer(raw, "<u8")) if comps[i] != comp]
+                b += found
+                a += [cid] * len(found)
+        return pa.table({"a": pa.array(a, held.schema.field("cid").type), "b": pa.array(b, held.schema.field("cid").type)})
+
+    return members.groupBy("token", "part").cogroup(asking.groupBy("at", "of")).applyInArrow(search, f"a {kind}, b {kind}")
 
 
 def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -240,28 +276,33 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, id_col: str
     usable = sets.where("tokens IS NOT NULL AND id IS NOT NULL")
     classes = cut(usable.groupBy("h1", "h2", "n").agg(F.min("id").alias("cid"), F.first("tokens").alias("tokens")))
     postings = _postings(classes, percent, kind)  # cheaper to derive again from the classes than to keep
-    ends = postings.groupBy("token").agg(F.min("cid").alias("low"), F.max("cid").alias("high")).where("low <> high")
-    met = postings.select("token", "cid").join(ends, "token").select("cid", F.explode(F.array("low", "high")).alias("lead"))
-    first = cut(met.where("cid <> lead").select("lead", "cid").distinct())
+    ends = postings.groupBy("token").agg(F.min("cid").alias("low"), F.max("cid").alias("high"), _parts(F.count(F.lit(1))).alias("parts")).where("low <> high")
+    met = postings.select("token", "cid").join(ends, "token").select("cid", F.explode(F.array("low", "high")).alias("lead"), "parts")
+    first = cut(met.where("cid <> lead").groupBy("lead", "cid").agg(F.max("parts").alias("parts")))
     links = cut(_verify(first, classes, percent, kind))
     found = connected_components(links)
     labels = postings.select("token", "cid", "n", "pos").join(found.withColumnRenamed("node", "cid"), "cid", "left")
     labels = labels.select("token", "cid", "n", "pos", F.coalesce("component", "cid").alias("comp"))
     per = labels.groupBy("token", "comp").agg(F.count(F.lit(1)).alias("m"))
-    main = per.groupBy("token").agg(F.max_by("comp", F.struct("m", "comp")).alias("main"), F.count(F.lit(1)).alias("comps"))
-    labels = cut(labels.join(main.where("comps > 1"), "token"))
-    rest, every = labels.where("comp <> main").alias("x"), labels.alias("y")
+    main = per.groupBy("token").agg(F.max(F.struct("m", "comp")).alias("main"), F.count(F.lit(1)).alias("comps"), F.sum("m").alias("all"))
+    main = main.where("comps > 1").select("token", F.col("main.comp").alias("main"), "all", ((F.col("all") - F.col("main.m")) * F.col("all")).alias("most_pairs"))
+    labels = cut(labels.join(main, "token").withColumn("parts", _parts(F.col("all"))))
+    few = labels.where(F.col("most_pairs") <= TOKEN_PAIRS)
+    rest, every = few.where("comp <> main").alias("x"), few.alias("y")
     apart = (F.col("x.token") == F.col("y.token")) & (F.col("x.comp") != F.col("y.comp"))
     once = (F.col("y.comp") == F.col("y.main")) | (F.col("x.cid") < F.col("y.cid"))
     again = rest.join(every, apart & once & _may_reach("x", "y", percent))
-    again = again.select(F.col("x.cid").alias("lead"), F.col("y.cid").alias("cid")).distinct()
-    tried = first.union(first.select(F.col("cid").alias("lead"), F.col("lead").alias("cid")))
+    again = again.groupBy(F.col("x.cid").alias("lead"), F.col("y.cid").alias("cid")).agg(F.max("x.parts").alias("parts"))
+    tried = first.select("lead", "cid").union(first.select(F.col("cid").alias("lead"), F.col("lead").alias("cid")))
     again = cut(again.join(tried, ["lead", "cid"], "left_anti"))
-    more = cut(_verify(again, classes, percent, kind))
+    hot = labels.where(F.col("most_pairs") > TOKEN_PAIRS).select("token", "cid", "comp", "main", "parts")
+    more = cut(_verify(again, classes, percent, kind).union(_tree_join(hot, classes, percent, kind)))
     final = connected_components(links.union(more)) if not more.isEmpty() else found
     named = classes.join(final.withColumnRenamed("node", "cid"), "cid", "left")
     named = named.select("h1", "h2", "n", F.coalesce("component", "cid").alias("component"))
-    out = sets.select("id", "n", "h1", "h2").join(named, ["h1", "h2", "n"], "left")
+    linked = F.col("tokens").isNotNull() & F.col("id").isNotNull()
+    plain = sets.where(~linked).select("id", "n", F.lit(None).cast(kind).alias("component"))  # linked with nothing, so never shuffled
+    out = sets.where(linked).select("id", "n", "h1", "h2").join(named, ["h1", "h2", "n"], "left").select("id", "n", "component").union(plain)
     component = F.when(F.col("id").isNotNull(), F.coalesce("component", "id"))
     return out.select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), component.alias("component_id"))
 

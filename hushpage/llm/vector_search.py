@@ -1,66 +1,126 @@
 """Exact top-k by inner product with vector-approximation files.
 
-Vectors and queries are dealt into tiles of a bounded number of rows, so that any
-query set meets all vectors in blocks. In a tile every vector is approximated by the cell of a
-4-bit grid in each dimension; cells bound the scores from both sides. Exact vectors are
-read in the order of these bounds until the k-th best score is certain.
+Every vector is approximated by the cell of a grid, one byte a dimension, that all blocks share. Blocks of cells meet blocks of
+queries; cells bound the scores from both sides, and a block passes on only those vectors that can still be among a query's
+best of the block. Over all blocks the k-th best lower bound cuts them once more. Exact vectors are then read for what
+is left, by a join on ids, and compared in the order of their upper bounds until the k-th best score is certain.
 """
 
 from __future__ import annotations
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+LEVELS = 256
 
-class VectorApproximation:
-    """Cells of one block of vectors, and the search over them."""
 
-    def __init__(self, ids: np.ndarray, vectors: np.ndarray, bits: int = 4):
-        self.ids, self.vectors = ids, vectors
-        self.low = vectors.min(axis=0)
-        span = vectors.max(axis=0) - self.low
-        self.step = np.maximum(span, 1.0) / ((1 << bits) - 1)
-        cells = np.floor((vectors - self.low) / self.step)
-        self.cells = np.clip(cells, 0, (1 << bits) - 1).astype(np.uint8)
+class Grid:
+    """Equal cells between the least and the greatest component of each dimension."""
 
-    def bounds(self, queries: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    def __init__(self, low: np.ndarray, high: np.ndarray):
+        self.low = low.astype(np.float64)
+        self.step = np.maximum(high.astype(np.float64) - self.low, 1.0) / (LEVELS - 1)
+
+    def cells(self, vectors: np.ndarray) -> np.ndarray:
+        return np.clip(np.floor((vectors - self.low) / self.step), 0, LEVELS - 1).astype(np.uint8)
+
+    def bounds(self, queries: np.ndarray, cells: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Lower and upper bounds of every score, wide enough for the rounding of these sums."""
-        middle = (queries * self.step) @ self.cells.T.astype(np.float64)
-        middle += (queries @ (self.low + self.step / 2))[:, None]
+        middle = (queries * self.step).astype(np.float32) @ cells.T.astype(np.float32)
+        middle = middle + (queries @ (self.low + self.step / 2))[:, None]
         half = np.abs(queries) @ (self.step / 2)
-        half = half + 1e-9 * (1 + np.abs(queries) @ (np.abs(self.low) + 16 * self.step))
+        half = half + 1.2e-7 * (len(self.low) + 64) * (1 + np.abs(queries) @ (np.abs(self.low) + LEVELS * self.step))
         return middle - half[:, None], middle + half[:, None]
 
-    def search(self, query: np.ndarray, lower: np.ndarray, upper: np.ndarray, k: int, own: int) -> tuple[np.ndarray, np.ndarray]:
-        """The k best (ids, scores) other than ``own``, ties to smaller ids."""
-        others = np.flatnonzero(self.ids != own)
-        if len(others) > k:
-            sure = np.partition(lower[others], len(others) - k)[len(others) - k]
-            others = others[upper[others] >= sure]
-        others = others[np.argsort(-upper[others], kind="stable")]
-        ids, scores = np.zeros(0, dtype=np.int64), np.zeros(0, dtype=np.float64)
-        at, step = 0, max(4 * k, 64)
-        while at < len(others):
-            if len(scores) == k and upper[others[at]] < scores[-1]:
-                break
-            read = others[at : at + step]
-            at += step
-            ids = np.concatenate((ids, self.ids[read]))
-            scores = np.concatenate((scores, self.vectors[read] @ query))
-            best = np.lexsort((ids, -scores))[:k]
-            ids, scores = ids[best], scores[best]
-        return ids, scores
-
-
-def _matrix(column: pd.Series, dim: int) -> np.ndarray:
-    out = np.zeros((len(column), dim), dtype=np.float64)
-    for i, v in enumerate(column):
-        out[i, : len(v)] = v
+
+def matrix(column: pa.ChunkedArray, dim: int) -> np.ndarray:
+    """Lists of integers as rows, shorter ones padded with zeros."""
+    lists = column.combine_chunks()
+    values, ends = lists.flatten().to_numpy(zero_copy_only=False), np.asarray(lists.value_lengths()).astype(np.int64)
+    out = np.zeros((len(ends), dim), dtype=np.float64)
+    row = np.repeat(np.arange(len(ends)), ends)
+    out[row, np.arange(len(row)) - np.repeat(np.cumsum(ends) - ends, ends)] = values
     return out
 
 
+def best_exact(query: np.ndarray, ids: np.ndarray, upper: np.ndarray, vectors: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, int]:
+    """The k best (ids, scores), ties to smaller ids, and how many exact vectors it took."""
+    order = np.argsort(-upper, kind="stable")
+    best, scores = np.zeros(0, dtype=np.int64), np.zeros(0, dtype=np.float64)
+    at, step = 0, max(k, 32)
+    while at < len(order):
+        if len(scores) == k and upper[order[at]] < scores[-1]:
+            break
+        read = order[at : at + step]
+        at += len(read)
+        best, scores = np.concatenate((best, ids[read])), np.concatenate((scores, vectors[read] @ query))
+        top = np.lexsort((best, -scores))[:k]
+        best, scores = best[top], scores[top]
+    return best, scores, at
+
+
+def usable(vectors: DataFrame, is_query: Column, id_col: str, vec_col: str) -> DataFrame:
+    """(id, v, q): rows with an id and a vector of integers without nulls."""
+    rows = vectors.where(F.col(id_col).isNotNull() & F.col(vec_col).isNotNull() & ~F.exists(vec_col, lambda x: x.isNull()))
+    return rows.select(F.col(id_col).cast("long").alias("id"), F.col(vec_col).cast("array<long>").alias("v"), is_query.alias("q"))
+
+
+def candidates(rows: DataFrame, k: int, tile_vectors: int, tile_queries: int) -> DataFrame:
+    """(query_id, id, key, upper): for each query the vectors whose bounds leave them a place among the k best.
+
+    Vectors travel as cells, a byte a dimension, and once for each block of queries; queries, a stated set, once for each block of
+    vectors. ``key`` is a hash of the vector, which tells apart rows that share an id.
+    """
+    size = rows.agg(F.count(F.lit(1)), F.count_if("q"), F.max(F.size("v"))).first()
+    n_c, n_q, dim = max(1, -(-size[0] // tile_vectors)), max(1, -(-size[1] // tile_queries)), max(size[2] or 1, 1)
+    # The grid's edges: two numbers a dimension.
+    edges = rows.select(F.posexplode("v").alias("d", "x")).groupBy("d").agg(F.min("x").alias("low"), F.max("x").alias("high")).collect()
+    low, high = np.zeros(dim), np.zeros(dim)
+    for e in edges:
+        low[e.d], high[e.d] = min(e.low, 0), max(e.high, 0)  # shorter vectors are padded with zeros
+    grid = Grid(low, high)
+
+    def encode(batches):
+        for batch in batches:
+            table = pa.Table.from_batches([batch])
+            codes = grid.cells(matrix(table["v"], dim))
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array([c.tobytes() for c in codes], pa.binary())], names=["id", "key", "cells"])
+
+    deal = lambda n: F.pmod(F.xxhash64("id", "key"), F.lit(n)).cast("int")
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
+    keyed = rows.select("id", F.xxhash64("v").alias("key"), "v")
+    held = keyed.mapInArrow(encode, "id long, key long, cells binary").select("id", "key", "cells", deal(n_c).alias("c"), every(n_q).alias("q"))
+    asked = rows.where("q").groupBy("id").agg(F.min("v").alias("v")).withColumn("key", F.lit(0).cast("long"))
+    asked = asked.select("id", "v", deal(n_q).alias("q"), every(n_c).alias("c"))
+
+    def tile(block: pa.Table, queries: pa.Table) -> pa.Table:
+        parts: list[tuple[np.ndarray, ...]] = []
+        if block.num_rows and queries.num_rows:
+            ids, keys = block["id"].to_numpy(), block["key"].to_numpy()
+            cells = np.frombuffer(b"".join(block["cells"].to_pylist()), dtype=np.uint8).reshape(-1, dim)
+            names, wanted = queries["id"].to_numpy(), matrix(queries["v"], dim)
+            for at in range(0, len(names), 128):
+                lower, upper = grid.bounds(wanted[at : at + 128], cells)
+                own = names[at : at + 128, None] == ids[None, :]
+                lower[own] = -np.inf
+                if lower.shape[1] > k:
+                    sure = np.partition(lower, lower.shape[1] - k, axis=1)[:, lower.shape[1] - k]
+                else:
+                    sure = np.full(len(lower), -np.inf)
+                q, c = np.nonzero((upper >= sure[:, None]) & ~own)
+                parts.append((names[at + q], ids[c], keys[c], lower[q, c], upper[q, c]))
+        columns = [np.concatenate(x) for x in zip(*parts, strict=True)] if parts else [np.zeros(0, t) for t in (np.int64, np.int64, np.int64, float, float)]
+        return pa.table({n: pa.array(c) for n, c in zip(("query_id", "id", "key", "lower", "upper"), columns, strict=True)})
+
+    near = held.groupBy("c", "q").cogroup(asked.groupBy("c", "q")).applyInArrow(tile, "query_id long, id long, key long, lower double, upper double")
+    best = Window.partitionBy("query_id").orderBy(F.desc("lower"))
+    sure = near.withColumn("r", F.row_number().over(best)).where(F.col("r") <= k).groupBy("query_id").agg(F.min("lower").alias("sure"), F.count(F.lit(1)).alias("n"))
+    kept = near.join(sure, "query_id").where((F.col("n") < k) | (F.col("upper") >= F.col("sure")))
+    return kept.select("query_id", "id", "key", "upper")
+
+
 def exact_top_k(
     vectors: DataFrame,
     is_query: Column,
@@ -77,32 +137,20 @@ def exact_top_k(
     vector an id (the least, if rows differ); repeated vectors are candidates each. Ties go to the smaller id. Fewer
     than k other rows give all of them; an empty table gives no rows. Only the named columns are read.
     """
-    rows = vectors.where(F.col(id_col).isNotNull() & F.col(vec_col).isNotNull() & ~F.exists(vec_col, lambda x: x.isNull()))
-    rows = rows.select(F.col(id_col).cast("long").alias("id"), F.col(vec_col).cast("array<long>").alias("v"), is_query.alias("q"))
-    size = rows.agg(F.count(F.lit(1)), F.count_if("q"), F.max(F.size("v"))).first()
-    n_c, n_q, dim = max(1, -(-size[0] // tile_vectors)), max(1, -(-size[1] // tile_queries)), max(size[2] or 1, 1)
-    deal = lambda n: F.pmod(F.xxhash64("id"), F.lit(n)).cast("int")
-    every = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
-    held = rows.select("id", "v", deal(n_c).alias("c"), every(n_q).alias("q"))
-    asked = rows.where("q").groupBy("id").agg(F.min("v").alias("v"))
-    asked = asked.select("id", "v", deal(n_q).alias("q"), every(n_c).alias("c"))
-
-    def tile(candidates: pd.DataFrame, queries: pd.DataFrame) -> pd.DataFrame:
-        names = ["query_id", "vec_id", "score"]
-        if candidates.empty or queries.empty:
-            return pd.DataFrame({n: np.zeros(0, dtype=np.int64) for n in names})
-        block = VectorApproximation(candidates["id"].to_numpy(), _matrix(candidates["v"], dim))
-        ids, wanted, found = queries["id"].to_numpy(), _matrix(queries["v"], dim), []
-        for at in range(0, len(ids), 256):
-            lower, upper = block.bounds(wanted[at : at + 256])
-            for i in range(len(lower)):
-                best, scores = block.search(wanted[at + i], lower[i], upper[i], k, ids[at + i])
-                found.append((np.full(len(best), ids[at + i]), best, scores.astype(np.int64)))
-        return pd.DataFrame(dict(zip(names, map(np.concatenate, zip(*found, strict=True)), strict=True)))
-
-    near = held.groupBy("c", "q").cogroup(asked.groupBy("c", "q")).applyInPandas(tile, "query_id long, vec_id long, score long")
-    order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
-    return near.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+    rows = usable(vectors, is_query, id_col, vec_col)
+    wanted = candidates(rows, k, tile_vectors, tile_queries)
+    exact = rows.select("id", F.xxhash64("v").alias("key"), "v").groupBy("id", "key").agg(F.min("v").alias("v"))  # equal rows once: each is a candidate
+    asked = rows.where("q").groupBy("id").agg(F.min("v").alias("query")).withColumnRenamed("id", "query_id")
+    both = wanted.join(exact, ["id", "key"]).join(asked, "query_id")
+
+    def settle(found: pa.Table) -> pa.Table:
+        dim = max(max(found["v"].combine_chunks().value_lengths().to_pylist()), max(found["query"].combine_chunks().value_lengths().to_pylist()), 1)
+        query = matrix(found["query"].slice(0, 1), dim)[0]
+        ids, scores, _ = best_exact(query, found["id"].to_numpy(), found["upper"].to_numpy(), matrix(found["v"], dim), k)
+        n = len(ids)
+        return pa.table({"query_id": pa.array([found["query_id"][0].as_py()] * n, pa.int64()), "rank": pa.array(range(1, n + 1), pa.int32()), "vec_id": pa.array(ids), "score": pa.array(scores.astype(np.int64))})
+
+    return both.groupBy("query_id").applyInArrow(settle, "query_id long, rank int, vec_id long, score long")
 
 
 def scaled_integers(embedding: Column, scale: float) -> Column:

@@ -12,6 +12,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
+from hushpage.llm import jaccard_join
 from hushpage.llm.components import connected_components
 from hushpage.llm.fingerprints import combine, edited, fingerprint_with_next, likeness, parse, render, vectors
 from hushpage.llm.jaccard_join import PrefixTree, keep_one_of_each, near_duplicates
@@ -218,6 +219,23 @@ def test_near_duplicates(spark, seed):
     assert near_duplicates(docs.limit(0)).count() == 0
 
 
+def test_near_duplicates_with_a_shingle_of_many_components(spark, monkeypatch):
+    """One shingle that hundreds of texts share without being alike: trees are searched, and no link is lost."""
+    monkeypatch.setattr(jaccard_join, "TOKEN_PAIRS", 50)
+    monkeypatch.setattr(jaccard_join, "TREE_SETS", 8)
+    r = random.Random(9)
+    common = [f"c{i}" for i in range(9)]
+    rows = []
+    for i in range(70):
+        own = r.sample(common, 5) if i % 3 else common[:5]
+        more = [r.choice("xyz") for _ in range(i % 4)]
+        rows.append((i, " ".join([*own, *more, *common[:5]]), None, None, 1))
+        if i % 7 == 0:
+            rows.append((1000 + i, " ".join([*own, *more, *common[:6]]), None, None, 1))
+    docs = spark.createDataFrame(rows, SCHEMA)
+    assert sorted(map(tuple, near_duplicates(docs).collect())) == sorted(classes(rows))
+
+
 def test_near_duplicates_null_ids_and_pipeline_stage(spark):
     rows = [(1, "a b c d e f", "x"), (2, "A b c d e  f", "x"), (None, "a b c d e f", "x"), (3, "", "x"), (4, None, "x")]
     docs = spark.createDataFrame(rows, "doc_id long, text string, h1 string")
