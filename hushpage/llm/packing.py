@@ -8,6 +8,7 @@ dealt back to the pieces by their rank among pieces of equal length.
 from __future__ import annotations
 
 import json
+import os
 import re
 import zlib
 from array import array
@@ -326,6 +327,7 @@ class WordIds:
     """
 
     def __init__(self, path: str):
+        os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")  # a task has one core, and the library's threads keep memory each
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)

@@ -8,6 +8,7 @@ hashed ids: it decides how often tier one answers, and never a count.
 
 from __future__ import annotations
 
+import os
 from collections.abc import Iterator
 
 import numpy as np
@@ -98,6 +99,7 @@ class ChunkLengths:
     """Token counts of chunks: the broadcast table first, then a cache of encoded misses that starts anew when half full."""
 
     def __init__(self, path: str, bits: int = 21):
+        os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")  # a task has one core, and the library's threads keep memory each
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
