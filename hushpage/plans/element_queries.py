@@ -13,7 +13,6 @@ from hushpage.operators.ids import element_ids as assign_ids
 from hushpage.operators.ids import resolve_elements
 from hushpage.plans.text_queries import URLS, page_urls, sql_email, sql_normalize, sql_phone, sql_restricted, sql_trim
 from hushpage.sources import views
-from hushpage.sources.pages import scan_html
 
 KEY = ["snapshot_id", "ord"]
 R = f"({views.RAW_ELEMENTS}) AS r"
@@ -67,13 +66,6 @@ def resolved_ids(spark, sf_dir):
     return resolve_elements(wanted, raw.select("snapshot_id", "ord", "id", "dom_id")).select("snapshot_id", "ask", "ord")
 
 
-def html_elements(spark, sf_dir):
-    found = scan_html(views.table(spark, sf_dir, "pages"))
-    kind = E.element_type(F.col("tag_name"), F.col("role"), F.col("raw_type"), F.col("has_href"))
-    found = found.withColumn("type", kind).where("type IS NOT NULL")
-    return found.select(*KEY, "type", E.element_text(F.col("type"), F.col("content"), F.col("alt")).alias("text"))
-
-
 def observed_tabs(spark, sf_dir):
     """First failing check of observing a page: address, capture, state; success otherwise."""
     rows = page_urls(spark, sf_dir)
@@ -131,7 +123,7 @@ def deduped_detections(spark, sf_dir):
 
 
 _QUERIES = (
-    element_types, extracted_elements, sensitive_flags, element_texts, visible_enabled, element_ids, resolved_ids, html_elements,
+    element_types, extracted_elements, sensitive_flags, element_texts, visible_enabled, element_ids, resolved_ids,
     observed_tabs, password_fields, dom_signals, dom_detections, text_detections, pii_detections, all_detections, deduped_detections,
 )
 QUERIES = {f.__name__: f for f in _QUERIES}

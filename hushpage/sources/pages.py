@@ -64,16 +64,25 @@ class _Scan(HTMLParser):
     def __init__(self):
         super().__init__(convert_charrefs=True)
         self.found, self.open = [], []
+        self.fieldsets = []  # [disabled, has had a legend, inside its first legend] of each open one
 
     def handle_starttag(self, tag, attrs):
         a = dict(attrs)
+        if tag == "fieldset":
+            self.fieldsets.append(["disabled" in a, False, False])
+        elif tag == "legend" and self.fieldsets and not self.fieldsets[-1][1]:
+            self.fieldsets[-1][1:] = [True, True]
         if tag in TAGS or (tag == "a" and "href" in a) or (a.get("role") or "").lower() in ROLES:
-            row = [tag.upper(), a.get("role"), a.get("type"), a.get("id"), a.get("name"), a.get("autocomplete"), a.get("aria-label"), a.get("placeholder"), a.get("alt"), "", "href" in a, "hidden" in a, "disabled" in a, a.get("aria-disabled")]
+            row = [tag.upper(), a.get("role"), a.get("type"), a.get("id"), a.get("name"), a.get("autocomplete"), a.get("aria-label"), a.get("placeholder"), a.get("alt"), "", "href" in a, "hidden" in a, "disabled" in a, a.get("aria-disabled"), *(self.fieldsets[-1][::2] if self.fieldsets else (None, None))]
             self.found.append(row)
             if tag not in _VOID:
                 self.open.append((tag, row))
 
     def handle_endtag(self, tag):
+        if tag == "fieldset" and self.fieldsets:
+            self.fieldsets.pop()
+        elif tag == "legend" and self.fieldsets:
+            self.fieldsets[-1][2] = False
         for i in range(len(self.open) - 1, -1, -1):
             if self.open[i][0] == tag:
                 del self.open[i:]
@@ -86,8 +95,8 @@ class _Scan(HTMLParser):
 
 def scan_html(pages: DataFrame, id_col: str = "page_id", html_col: str = "html") -> DataFrame:
     """Candidate elements of raw HTML, in document order. Without layout there are no boxes; null pages have none."""
-    names = [*_FIELDS, "has_href", "hidden", "disabled", "aria_disabled"]
-    kinds = [pa.string()] * 10 + [pa.bool_()] * 3 + [pa.string()]
+    names = [*_FIELDS, "has_href", "hidden", "disabled", "aria_disabled", "fieldset_disabled", "in_first_legend"]
+    kinds = [pa.string()] * 10 + [pa.bool_()] * 3 + [pa.string()] + [pa.bool_()] * 2
 
     def parse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
