@@ -27,15 +27,16 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
-def drop_unused(after: DataFrame) -> None:
-    """Lets Spark delete the shuffles that led to a checkpoint ``after``.
+def drop_unused(spark: SparkSession, after: DataFrame | None = None) -> None:
+    """Lets Spark delete the shuffles of jobs that are done, and those that led to a checkpoint ``after``.
 
     It does so once nothing refers to them: when a job has read the checkpoint and the driver's JVM has collected its
     garbage, which a small driver may not do for minutes while gigabytes pile up on the executors' disks.
     """
-    after.count()
+    if after is not None:
+        after.count()
     gc.collect()
-    after.sparkSession.sparkContext._jvm.System.gc()
+    spark.sparkContext._jvm.System.gc()
 
 
 def partitions(spark: SparkSession) -> int:

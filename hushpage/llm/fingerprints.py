@@ -125,7 +125,8 @@ def fingerprint_with_next(docs: DataFrame, id_col: str = "doc_id", text_col: str
 
     Texts are dealt once into blocks of descending id ranges; the head of each block is also sent
     to the block before it, so a document always meets its successor. A null text is empty. Equal ids are
-    ordered by text; null ids come last. A lone document is its own successor; an empty table gives no
+    ordered by text; null ids come last. Equal ids share a block, as their texts follow each other: many rows of one id, or of null ids, make
+    one long task, which streams them and holds two texts at a time. A lone document is its own successor; an empty table gives no
     rows. Only the two named columns are read.
     """
     spark = docs.sparkSession

@@ -1,6 +1,6 @@
 """Compact sets of hashed keys, dealt to buckets of the key space and answered back to their blocks.
 
-A block of documents sends each distinct key once, in one blob a bucket; a bucket sees the blobs of all
+A block of documents sends each distinct key once, in one blob for each bucket that it has keys of; a bucket sees the blobs of all
 blocks and answers each with one value a key, in the same order. Texts stay where they are.
 """
 
