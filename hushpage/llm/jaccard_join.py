@@ -21,7 +21,7 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from hushpage.llm.blocks import cut
+from hushpage.llm.blocks import cut, drop_unused
 from hushpage.llm.components import connected_components
 from hushpage.llm.keysets import ANSWERS, BLOBS, answers, bucket_edges, decode_sorted, in_order, key_blobs, text_block_count, text_blocks
 from hushpage.llm.textblocks import as_bytes, gram_hashes, mix, tidy, tidy_pair, word_hashes
@@ -273,6 +273,7 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, id_col: str
     """
     kind = docs.schema[id_col].dataType.simpleString()
     sets = cut(_documents(docs, k, percent, id_col, text_col))
+    drop_unused(docs.sparkSession, sets)  # texts were shuffled for it
     usable = sets.where("tokens IS NOT NULL AND id IS NOT NULL")
     classes = cut(usable.groupBy("h1", "h2", "n").agg(F.min("id").alias("cid"), F.first("tokens").alias("tokens")))
     postings = _postings(classes, percent, kind)  # cheaper to derive again from the classes than to keep
