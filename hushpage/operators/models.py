@@ -6,6 +6,7 @@ A model is given as a list of loaders, tried in order once a worker; the first t
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -30,13 +31,24 @@ def load_first(loaders: list[Loader]) -> Model:
     raise error
 
 
+_loaded: dict[str, Model] = {}
+
+
+def _model(key: str, loaders: list[Loader]) -> Model:
+    """The model of these loaders, loaded once a worker and kept across its tasks."""
+    if key not in _loaded:
+        _loaded[key] = load_first(loaders)
+    return _loaded[key]
+
+
 def _map_images(images: DataFrame, extra: tuple[str, ...], loaders: list[Loader], one: Callable, names: list[str], kinds: list[pa.DataType], ddl: str) -> DataFrame:
     """Runs one(model, image, *extra) for each row with a sound buffer; each gives a list of output rows."""
 
+    key = uuid.uuid4().hex  # names this list of loaders in the workers
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        model = None
         for batch in batches:
-            model = model or load_first(loaders)
+            model = _model(key, loaders)
             owner, rows = [], []
             for i, (data, w, h, *more) in enumerate(zip(*(batch.column(k).to_pylist() for k in range(1, 4 + len(extra))), strict=True)):
                 if data is None or not w or not h or len(data) != w * h * 4:
@@ -67,7 +79,11 @@ def heat_maps(images: DataFrame, loaders: list[Loader]) -> DataFrame:
 
 
 def reading_order(regions: DataFrame) -> DataFrame:
-    """Adds ord: top to bottom, then left to right, in each image."""
+    """Adds ord: top to bottom, then left to right, in each image.
+
+    A rule that takes boxes within ten pixels as one line is not transitive, so its result depends on the sort that applies it; this
+    order does not.
+    """
     return regions.withColumn("ord", F.row_number().over(Window.partitionBy("image_id").orderBy("y", "x", "width", "height")) - 1)
 
 

@@ -101,3 +101,19 @@ def masked_area(images: DataFrame) -> DataFrame:
         return (int(mask.sum()),)
 
     return _map(images, ("snapshot_id", "width", "height", "regions"), one, [("area", "long", pa.int64())])
+
+
+def redaction_quality(images: DataFrame) -> DataFrame:
+    """(snapshot_id, masked, due, both): pixels that were masked (``regions``), those that should be (``truth``), and both; overlaps
+    count once. Needs width and height."""
+
+    def one(width, height, boxes, truth):
+        masks = []
+        for held in (boxes, truth):
+            mask = np.zeros((height, width), dtype=bool)
+            for at in _extents(width, height, held):
+                mask[at] = True
+            masks.append(mask)
+        return int(masks[0].sum()), int(masks[1].sum()), int((masks[0] & masks[1]).sum())
+
+    return _map(images, ("snapshot_id", "width", "height", "regions", "truth"), one, [(n, "long", pa.int64()) for n in ("masked", "due", "both")])

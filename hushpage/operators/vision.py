@@ -93,9 +93,17 @@ def heat_components(maps: DataFrame, threshold: float = 0.3) -> DataFrame:
             for image, w, h, prob in zip(*(batch.column(i).to_pylist() for i in range(4)), strict=True):
                 p = np.asarray(prob, dtype=np.float64).reshape(h, w)
                 label = _label(p >= threshold)
-                for k, name in enumerate(np.unique(label[label >= 0])):
-                    ys, xs = np.nonzero(label == name)
-                    out.append((image, k, int(xs.min()), int(ys.min()), int(xs.max()), int(ys.max()), float(p[ys, xs].sum() / len(ys)), len(ys)))
+                ys, xs = np.nonzero(label >= 0)
+                if not len(ys):
+                    continue
+                order = np.argsort(label[ys, xs], kind="stable")  # pixels by component, each in order of the image
+                ys, xs = ys[order], xs[order]
+                name = label[ys, xs]
+                first = np.flatnonzero(np.concatenate(([True], name[1:] != name[:-1])))
+                pixels = np.diff(np.append(first, len(name)))
+                sides = [f.reduceat(v, first).tolist() for f, v in ((np.minimum, xs), (np.minimum, ys), (np.maximum, xs), (np.maximum, ys))]
+                means = np.add.reduceat(p[ys, xs], first) / pixels
+                out += zip([image] * len(first), range(len(first)), *sides, means.tolist(), pixels.tolist(), strict=True)
             names = ["image_id", "component", "min_x", "min_y", "max_x", "max_y", "mean", "pixels"]
             kinds = [batch.schema.field(0).type, *[pa.int32()] * 5, pa.float64(), pa.int64()]
             yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in out], k) for i, k in enumerate(kinds)], names=names)

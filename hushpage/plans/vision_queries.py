@@ -73,6 +73,18 @@ def redaction_area(spark, sf_dir):
     return redact.masked_area(_regions(spark, sf_dir).withColumns({"width": F.lit(50), "height": F.lit(40)}))
 
 
+def redaction_precision(spark, sf_dir):
+    """How much of what the sure detections mask should be masked, and how much of what all sensitive ones ask for is."""
+    box = F.struct("x", "y", "width", "height")
+    seen = views.detections(spark, sf_dir)
+    sure, due = seen.where("confidence >= 0.7 AND type <> 'ui'"), seen.where(is_sensitive_type(F.col("type")))
+    masked, truth = (d.groupBy("snapshot_id").agg(F.collect_list(box).alias(n)) for d, n in ((sure, "regions"), (due, "truth")))
+    both = masked.join(truth, "snapshot_id", "full").withColumns({"width": F.lit(50), "height": F.lit(40)})
+    out = redact.redaction_quality(both)
+    share = lambda of: F.round(F.try_divide("both", of), 6)
+    return out.select("snapshot_id", "masked", "due", "both", share("masked").alias("precision"), share("due").alias("recall"))
+
+
 def _images(spark, sf_dir):
     data = F.when(F.col("snapshot_id") % 10 == 9, F.unhex(F.lit("00"))).otherwise(F.unhex(F.repeat(F.lit("0A141EFF"), 2000)))
     return _regions(spark, sf_dir).withColumns({"data": data, "width": F.lit(50), "height": F.lit(40)})
@@ -97,7 +109,7 @@ def mask_verified(spark, sf_dir):
     return redact.verify_masks(both)
 
 
-_QUERIES = (det_dims, rec_dims, heat_components, text_regions, ctc_decode, ocr_scores, face_candidates, nms_kept, redaction_area, masked_images, mask_verified, redacted_verified)
+_QUERIES = (det_dims, rec_dims, heat_components, text_regions, ctc_decode, ocr_scores, face_candidates, nms_kept, redaction_area, redaction_precision, masked_images, mask_verified, redacted_verified)
 QUERIES = {f.__name__: f for f in _QUERIES}
 
 _WH = "SELECT p_partkey, (p_size * 40 + 7)::DOUBLE AS w, (p_partkey % 37 * 50 + 11)::DOUBLE AS h FROM part"
@@ -135,7 +147,20 @@ m AS (SELECT snapshot_id, CASE WHEN snapshot_id % 10 <> 9 THEN sha END AS sha256
         CASE WHEN snapshot_id % 10 = 9 THEN 'INVALID_IMAGE' END AS error, n FROM h JOIN i USING (snapshot_id))
 """
 
+def _pixels(where: str) -> str:
+    box = "greatest(0, floor(x))::INT AS x0, greatest(0, floor(y))::INT AS y0, least(50, ceil(x + width))::INT AS x1, least(40, ceil(y + height))::INT AS y1"
+    return f"""SELECT DISTINCT snapshot_id, px, py FROM (SELECT snapshot_id, y0, y1, unnest(range(x0, x1)) AS px FROM (SELECT snapshot_id, width > 0 AND height > 0 AS valid, {box} FROM {DET} AS d WHERE {where}) WHERE valid),
+      range(0, 40) AS t(py) WHERE py >= y0 AND py < y1"""
+
+
 ORACLES = {
+    "redaction_precision": f"""
+        WITH m AS ({_pixels("confidence >= 0.7 AND type <> 'ui'")}), t AS ({_pixels(f"type IN {SENS}")}),
+        c AS (SELECT coalesce(m.snapshot_id, t.snapshot_id) AS snapshot_id, count(m.px) AS masked, count(t.px) AS due, count(*) FILTER (WHERE m.px IS NOT NULL AND t.px IS NOT NULL) AS both_
+              FROM m FULL JOIN t ON m.snapshot_id = t.snapshot_id AND m.px = t.px AND m.py = t.py GROUP BY 1),
+        s AS (SELECT DISTINCT snapshot_id FROM {DET} AS d WHERE (confidence >= 0.7 AND type <> 'ui') OR type IN {SENS})
+        SELECT s.snapshot_id, coalesce(masked, 0) AS masked, coalesce(due, 0) AS due, coalesce(both_, 0) AS both, CASE WHEN masked > 0 THEN round(both_::DOUBLE / masked, 6) END AS precision,
+          CASE WHEN due > 0 THEN round(both_::DOUBLE / due, 6) END AS recall FROM s LEFT JOIN c USING (snapshot_id)""",
     "masked_images": f"{_MASKED} SELECT snapshot_id, sha256, redacted, error FROM m",
     "redacted_verified": f"{_MASKED} SELECT snapshot_id, sha256, redacted, error, CASE WHEN error IS NOT NULL THEN 'SCREENSHOT_VERIFICATION_FAILURE' END AS code FROM m",
     "mask_verified": f"""{_MASKED} SELECT snapshot_id, CASE WHEN error IS NOT NULL THEN 'SCREENSHOT_VERIFICATION_FAILURE' WHEN snapshot_id % 3 = 0 AND n > 0 THEN 'SCREENSHOT_UNMASKED_PIXELS' END AS code FROM m""",
