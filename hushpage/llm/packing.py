@@ -441,7 +441,7 @@ def pack(pieces: DataFrame, capacity: int = 4096, steps: int = 1_000_000) -> Dat
     pieces = cut(pieces.withColumn("salt", salt))
     groups = pieces.groupBy("length", "salt").count()
     counts = {r.length: r.n for r in groups.groupBy("length").agg(F.sum("count").alias("n")).collect()}
-    starts, firsts, each, offset, steps = [], [], [], [], []
+    starts, firsts, each, offset, strides = [], [], [], [], []
     rank: dict[int, int] = dict.fromkeys(counts, 0)
     sequence = 0
     packed = bin_completion(counts, capacity, steps)
@@ -452,14 +452,14 @@ def pack(pieces: DataFrame, capacity: int = 4096, steps: int = 1_000_000) -> Dat
             firsts.append(sequence)
             each.append(n)
             offset.append(place)
-            steps.append(length)
+            strides.append(length)
             rank[length] += bins * n
             place += n * length
         sequence += bins
     order = np.argsort(np.asarray(starts, dtype=np.int64), kind="stable")
     packed = Packing([], packed.bins, packed.bound)  # the groups stay here
     plan = pieces.sparkSession.sparkContext.broadcast(
-        tuple(np.asarray(x, dtype=np.int64)[order] for x in (starts, firsts, each, offset, steps))
+        tuple(np.asarray(x, dtype=np.int64)[order] for x in (starts, firsts, each, offset, strides))
     )
     before = Window.partitionBy("length").orderBy("salt").rowsBetween(Window.unboundedPreceding, -1)
     base = groups.select("length", "salt", F.coalesce(F.sum("count").over(before), F.lit(0)).alias("base"))

@@ -158,3 +158,12 @@ def test_pack_documents(spark):
         assert at <= 4096
     assert len(places) == -(-sum(w[3] for w in want) // 4096)
     assert pack_documents(docs.limit(0), WORD).count() == 0
+
+
+def test_pack_searches_where_best_fit_is_above_the_bound(spark):
+    """Six lengths that best fit puts into three sequences and the search into two."""
+    pieces = spark.createDataFrame([(i, 0, 0, n, 7) for i, n in enumerate([1800, 1400, 1296, 1300, 1200, 1196])], "doc_id long, piece int, start long, length long, ids_crc32 long")
+    got = packing.pack(pieces).collect()
+    assert {r.sequences for r in got} == {len({r.sequence_id for r in got})} and {r.lower_bound for r in got} == {2}
+    alone = spark.createDataFrame([(i, 0, 0, 2100, 7) for i in range(5)] + [(9, 0, 0, 1990, 7)], pieces.schema)
+    assert len({r.sequence_id for r in packing.pack(alone, steps=50).collect()}) == 5
