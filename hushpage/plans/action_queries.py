@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import json
+from functools import reduce
 
 from pyspark.sql import functions as F
 
@@ -173,6 +174,17 @@ def model_outputs(spark, sf_dir):
     return made.select("page_id", requests.model_output_code(F.col("body")).alias("code"))
 
 
+_KINDS = ["observe", "detect", "execute"]
+
+
+def dispatched_messages(spark, sf_dir):
+    """Messages by kind; those of no known kind go nowhere."""
+    kind = F.get(F.array(*map(F.lit, [*_KINDS, "other"]), F.lit(None)), (F.col("event_id") % 5).cast("int"))
+    parts = requests.dispatch(views.table(spark, sf_dir, "events").select("event_id", kind.alias("type")), _KINDS)
+    rows = [part.select(F.lit(name).alias("handler"), "event_id") for name, part in parts.items()]
+    return reduce(lambda a, b: a.union(b), rows)
+
+
 def pii_prf(spark, sf_dir):
     """Form rules judged against the first detection rule's password fields and the page's own types."""
     page = views.elements(spark, sf_dir)
@@ -192,7 +204,7 @@ def stage_counts(spark, sf_dir):
 
 _QUERIES = (
     client_valid, server_valid, contract_disagreements, planned_codes, dry_run, intents, model_intents, click_plans, select_plans, type_plans, vlm_plans,
-    plan_responses, closed_schema, browser_states, model_outputs, pii_prf, task_success, stage_counts,
+    plan_responses, closed_schema, browser_states, model_outputs, dispatched_messages, pii_prf, task_success, stage_counts,
 )
 QUERIES = {f.__name__: f for f in _QUERIES}
 
@@ -321,6 +333,7 @@ _CODES = " ".join(f"WHEN {i} THEN {'NULL' if c is None else chr(39) + c + chr(39
 _OUT = " ".join(f"WHEN {i} THEN {'NULL' if c is None else chr(39) + c + chr(39)}" for i, (_, c) in enumerate(OUTPUTS))
 
 ORACLES = {
+    "dispatched_messages": "SELECT ['observe', 'detect', 'execute'][event_id % 5 + 1] AS handler, event_id FROM events WHERE event_id % 5 < 3",
     "browser_states": """
         SELECT page_id AS snapshot_id, CASE WHEN page_id % 3 <> 0 THEN url ELSE 'about:blank' END AS url, CASE WHEN page_id % 4 <> 0 THEN 'Home' ELSE '' END AS title,
           CASE WHEN page_id % 5 <> 0 THEN 1280 ELSE 0 END::DOUBLE AS width, CASE WHEN page_id % 6 <> 0 THEN 720 ELSE 0 END::DOUBLE AS height, CASE WHEN page_id % 7 <> 0 THEN 2 ELSE 1 END::DOUBLE AS devicePixelRatio,

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from hushpage.operators import detect, guard
 from hushpage.operators.extract import elements_of_scan
 from hushpage.plans.text_queries import sql_email, sql_normalize, sql_phone
-from hushpage.sources.pages import scan_html
+from hushpage.sources.pages import data_url_bytes, scan_html
 from hushpage.sources.views import table
 
 
@@ -39,7 +39,14 @@ def page_privacy(spark, sf_dir):
     return out.select("snapshot_id", "passed", "code", F.coalesce("elements", zero).alias("elements"), F.coalesce("redacted", zero).alias("redacted"))
 
 
-QUERIES = {f.__name__: f for f in (html_elements, page_privacy)}
+def data_urls(spark, sf_dir):
+    """Bytes of data URLs, as screenshots arrive; other addresses and broken ones have none."""
+    name = F.col("p_name").cast("binary")
+    url = F.when(F.col("p_partkey") % 4 == 0, F.col("p_name")).when(F.col("p_partkey") % 4 == 1, F.lit("data:image/png;base64,%%%")).otherwise(F.concat(F.lit("data:image/png;base64,"), F.base64(name)))
+    return table(spark, sf_dir, "part").select("p_partkey", F.sha2(data_url_bytes(url), 256).alias("sha256"))
+
+
+QUERIES = {f.__name__: f for f in (html_elements, page_privacy, data_urls)}
 
 #: The pages have links and headings only, with no tags inside, so a pattern finds them.
 _PLAIN = "replace(replace(replace(replace(t, '&lt;', '<'), '&gt;', '>'), '&quot;', '\"'), '&amp;', '&')"
@@ -51,6 +58,7 @@ FROM (SELECT page_id, i, list_extract(found, i) AS m, regexp_extract(list_extrac
 _NAMED = f"SELECT *, type || '_' || row_number() OVER (PARTITION BY snapshot_id, type ORDER BY ord) AS id FROM ({_FOUND})"
 
 ORACLES = {
+    "data_urls": "SELECT p_partkey, CASE WHEN p_partkey % 4 > 1 THEN sha256(p_name) END AS sha256 FROM part",
     "html_elements": f"""
         SELECT snapshot_id, ord, id, type, CASE WHEN type = 'text' THEN 'heading' END AS role, text, greatest(length(coalesce(text, '')), 1) * 8::DOUBLE AS width FROM ({_NAMED})""",
     "page_privacy": f"""

@@ -28,12 +28,11 @@ def valid_boxes(spark, sf_dir):
 
 
 def _pairs(spark, sf_dir):
-    b = views.boxes(spark, sf_dir)
-    same = (F.col("a.snapshot_id") == F.col("b.snapshot_id")) & (F.col("a.ord") < F.col("b.ord"))
-    return b.alias("a").join(b.alias("b"), same)
-
-
-
+    """Pairs (a, b) of boxes of a page, a before b: a page's boxes are collected once and paired inside their row."""
+    box = F.struct("snapshot_id", "ord", "type", *BOX, "confidence")
+    held = views.boxes(spark, sf_dir).groupBy("snapshot_id").agg(F.collect_list(box).alias("boxes"))
+    first = held.select("boxes", F.explode("boxes").alias("a"))
+    return first.select("a", F.explode(F.filter("boxes", lambda x: x["ord"] > F.col("a.ord"))).alias("b"))
 
 
 def _pair_keys():
