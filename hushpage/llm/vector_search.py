@@ -2,7 +2,7 @@
 
 Every vector is approximated by the cell of a grid, one byte a dimension, that all blocks share. Blocks of cells meet blocks of
 queries; cells bound the scores from both sides, and a block passes on only those vectors that can still be among a query's
-best of the block. Over all blocks the k-th best lower bound cuts them once more. Exact vectors are then read for what
+best of the block. Equal vectors take part with their least ids only, so copies make no pairs. Over all blocks the k-th best lower bound cuts them once more. Exact vectors are then read for what
 is left, by a join on ids, and compared in the order of their upper bounds until the k-th best score is certain.
 """
 
@@ -91,7 +91,10 @@ def candidates(rows: DataFrame, k: int, tile_vectors: int, tile_queries: int) ->
     deal = lambda n: F.pmod(F.xxhash64("id", "key"), F.lit(n)).cast("int")
     every = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
     keyed = rows.select("id", F.xxhash64("v").alias("key"), "v")
-    held = keyed.mapInArrow(encode, "id long, key long, cells binary").select("id", "key", "cells", deal(n_c).alias("c"), every(n_q).alias("q"))
+    held = keyed.mapInArrow(encode, "id long, key long, cells binary")
+    # Of equal vectors, whose scores are equal, only those of the k + 1 least ids can be among a query's best, one of them its own.
+    held = held.withColumn("r", F.dense_rank().over(Window.partitionBy("key").orderBy("id"))).where(F.col("r") <= k + 1)
+    held = held.select("id", "key", "cells", deal(n_c).alias("c"), every(n_q).alias("q"))
     asked = rows.where("q").groupBy("id").agg(F.min("v").alias("v")).withColumn("key", F.lit(0).cast("long"))
     asked = asked.select("id", "v", deal(n_q).alias("q"), every(n_c).alias("c"))
 

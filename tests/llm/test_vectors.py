@@ -56,3 +56,11 @@ def test_unlike_lengths_repeated_rows_and_long_vectors(spark):
     df = spark.createDataFrame([(i, v, "x", 1) for i, v in rows], "vec_id long, vector array<long>, cells string, key int")
     got = sorted(map(tuple, exact_top_k(df, F.col("vec_id") % 20 == 0, k=20, tile_vectors=16, tile_queries=2).collect()))
     assert got == brute(rows, 20)
+
+
+def test_copies_of_a_vector_make_no_pairs(spark):
+    rows = [(i, [3, 1, 4]) for i in range(600)] + [(i, [3, 1, 4]) for i in (0, 0, 20, 40)] + [(1000 + i, [i % 7, 1, 2]) for i in range(60)]
+    df = spark.createDataFrame(rows, "vec_id long, vector array<long>")
+    is_query = F.col("vec_id") % 20 == 0
+    assert candidates(usable(df, is_query, "vec_id", "vector"), 5, 64, 16).count() < 33 * 60
+    assert sorted(map(tuple, exact_top_k(df, is_query, k=5, tile_vectors=64, tile_queries=16).collect())) == brute(rows, 5)
