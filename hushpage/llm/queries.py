@@ -12,6 +12,7 @@ from hushpage.llm.language_model import language_model_scores
 from hushpage.llm.mixing import id_or_text, mix_sources, quality_weight, word_count
 from hushpage.llm.packing import pack_documents
 from hushpage.llm.preferences import answer_swaps, format_preferences
+from hushpage.llm.sentence_pieces import encode_texts
 from hushpage.llm.substrings import remove_repeats
 from hushpage.llm.token_counts import token_counts
 from hushpage.llm.toxicity import id_remainder, toxicity_scores
@@ -71,6 +72,12 @@ def op10_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fingerprint_with_next(table(spark, sf_dir, "documents"))
 
 
+def op11_sentence_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
+    coded = encode_texts(table(spark, sf_dir, "documents"), public_tokenizers.path("piece_bpe_32k.model"), decode=True)
+    ids = F.array_join(F.col("ids").cast("array<string>"), " ")
+    return coded.select("doc_id", F.size("ids").cast("long").alias("n_tokens"), F.sha2(ids, 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"), "agrees")
+
+
 ROLE_SQL, TEXT_SQL = (
     f"replace(replace({field}, '<|im_start|>', '< |im_start| >'), '<|im_end|>', '< |im_end| >')"
     for field in ("regexp_replace(t.role, '[\\r\\n]+', ' ', 'g')", "t.text")
@@ -172,6 +179,7 @@ QUERIES = {
     "op8_substring_dedup": op8_substring_dedup,
     "op9_toxicity": op9_toxicity,
     "op10_fingerprints": op10_fingerprints,
+    "op11_sentence_pieces": op11_sentence_pieces,
 }
 
 ORACLES = {"op2_preference_format": OP2_SQL, "op3_mix_sources": OP3_SQL, "op5_exact_top_k": OP5_SQL}
