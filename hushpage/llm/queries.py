@@ -7,6 +7,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from hushpage.llm.fingerprints import fingerprint_with_next
+from hushpage.llm.importance import importance_resample
 from hushpage.llm.jaccard_join import near_duplicates
 from hushpage.llm.language_model import language_model_scores
 from hushpage.llm.mixing import id_or_text, mix_sources, quality_weight, word_count
@@ -78,6 +79,10 @@ def op11_sentence_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
     return coded.select("doc_id", F.size("ids").cast("long").alias("n_tokens"), F.sha2(ids, 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"), "agrees")
 
 
+def op12_importance_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return importance_resample(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 ROLE_SQL, TEXT_SQL = (
     f"replace(replace({field}, '<|im_start|>', '< |im_start| >'), '<|im_end|>', '< |im_end| >')"
     for field in ("regexp_replace(t.role, '[\\r\\n]+', ' ', 'g')", "t.text")
@@ -168,6 +173,45 @@ r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, ve
 SELECT query_id, rank, vec_id, score FROM r WHERE rank <= 20
 """
 
+#: crc32 goes over the hexadecimal bytes of each different word, with a table that the SQL makes of its polynomial.
+OP12_SQL = r"""
+WITH poly AS (
+  SELECT list_transform(range(256), lambda n: list_reduce([n, 0, 0, 0, 0, 0, 0, 0, 0],
+                        lambda c, i: CASE WHEN c % 2 = 1 THEN xor(3988292384::BIGINT, c // 2) ELSE c // 2 END)) AS t),
+own AS (
+  SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                                    '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS words FROM documents),
+other AS (
+  SELECT regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                            '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS words FROM benchmark),
+a AS (SELECT doc_id, unnest(words) AS word FROM own),
+b AS (SELECT unnest(words) AS word FROM other),
+known AS (SELECT DISTINCT word, hex(encode(word)) AS h FROM (SELECT word FROM a UNION ALL SELECT word FROM b)),
+bucket AS (
+  SELECT word, xor(4294967295::BIGINT, list_reduce(
+           list_prepend(4294967295::BIGINT, list_transform(range(1, length(h), 2), lambda i: ('0x' || substr(h, i, 2))::BIGINT)),
+           lambda c, x: xor(c // 256, t[(xor(c, x) % 256) + 1]))) % 10000 AS bucket
+  FROM known, poly),
+s AS (SELECT bucket, count(*) AS s FROM a JOIN bucket USING (word) GROUP BY bucket),
+t AS (SELECT bucket, count(*) AS t FROM b JOIN bucket USING (word) GROUP BY bucket),
+gain AS (
+  SELECT bucket, floor(1000 * ln((coalesce(t, 0) + 1)::DOUBLE * ((SELECT count(*) FROM a) + 10000)::DOUBLE
+                                 / ((coalesce(s, 0) + 1)::DOUBLE * ((SELECT count(*) FROM b) + 10000)::DOUBLE)))::BIGINT AS gain
+  FROM s FULL JOIN t USING (bucket)),
+w AS (
+  SELECT doc_id, count(*) AS n, floor(sum(gain)::DOUBLE / count(*))::BIGINT AS weight
+  FROM a JOIN bucket USING (word) JOIN gain USING (bucket) GROUP BY doc_id),
+d AS (
+  SELECT doc_id, coalesce(n, 0)::BIGINT AS n_features, coalesce(weight, 0)::BIGINT AS weight,
+         ('0x' || substr(sha256('2024:' || doc_id), 1, 8))::BIGINT AS h
+  FROM own LEFT JOIN w USING (doc_id)),
+e AS (SELECT *, weight + floor(-1000 * ln(-ln((h + 0.5::DOUBLE) / 4294967296::DOUBLE)))::BIGINT AS score FROM d),
+r AS (SELECT *, row_number() OVER (PARTITION BY n_features >= 20 ORDER BY score DESC, doc_id) AS place FROM e)
+SELECT doc_id, n_features, weight, score,
+       CASE WHEN n_features >= 20 AND place <= (SELECT count(*) FROM e WHERE n_features >= 20) * 10 // 100 THEN place END AS rank
+FROM r
+"""
+
 QUERIES = {
     "op1_language_model": op1_language_model,
     "op2_preference_format": op2_preference_format,
@@ -180,6 +224,7 @@ QUERIES = {
     "op9_toxicity": op9_toxicity,
     "op10_fingerprints": op10_fingerprints,
     "op11_sentence_pieces": op11_sentence_pieces,
+    "op12_importance_resampling": op12_importance_resampling,
 }
 
-ORACLES = {"op2_preference_format": OP2_SQL, "op3_mix_sources": OP3_SQL, "op5_exact_top_k": OP5_SQL}
+ORACLES = {"op2_preference_format": OP2_SQL, "op3_mix_sources": OP3_SQL, "op5_exact_top_k": OP5_SQL, "op12_importance_resampling": OP12_SQL}
