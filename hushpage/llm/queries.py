@@ -7,6 +7,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from hushpage.llm.fingerprints import fingerprint_with_next
+from hushpage.llm.hard_negatives import mine_hard_negatives
 from hushpage.llm.importance import importance_resample
 from hushpage.llm.jaccard_join import near_duplicates
 from hushpage.llm.language_model import language_model_scores
@@ -83,6 +84,12 @@ def op12_importance_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
     return importance_resample(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+def op13_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = table(spark, sf_dir, "embeddings").select("vec_id", "label", scaled_integers(F.col("embedding"), 256.0).alias("vector"))
+    label = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    return mine_hard_negatives(rows, label, F.col("vec_id") % 50 == 0)
+
+
 ROLE_SQL, TEXT_SQL = (
     f"replace(replace({field}, '<|im_start|>', '< |im_start| >'), '<|im_end|>', '< |im_end| >')"
     for field in ("regexp_replace(t.role, '[\\r\\n]+', ' ', 'g')", "t.text")
@@ -212,6 +219,25 @@ SELECT doc_id, n_features, weight, score,
 FROM r
 """
 
+OP13_SQL = """
+WITH v AS (
+  SELECT vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label,
+         list_transform(embedding, lambda x: floor(256 * x::DOUBLE)) AS e FROM embeddings
+  WHERE vec_id IS NOT NULL AND label IS NOT NULL AND embedding IS NOT NULL
+    AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+s AS (
+  SELECT q.vec_id AS anchor_id, c.vec_id, q.label = c.label AS same, list_dot_product(q.e, c.e)::BIGINT AS score
+  FROM v q JOIN v c ON q.vec_id % 50 = 0 AND c.vec_id <> q.vec_id),
+p AS (
+  SELECT anchor_id, vec_id AS positive_id, score AS positive_score FROM s WHERE same
+  QUALIFY row_number() OVER (PARTITION BY anchor_id ORDER BY score DESC, vec_id) <= 5),
+n AS (
+  SELECT p.*, s.vec_id AS negative_id, s.score AS negative_score,
+         row_number() OVER (PARTITION BY p.anchor_id, positive_id ORDER BY s.score DESC, s.vec_id)::INT AS rank
+  FROM p JOIN s ON s.anchor_id = p.anchor_id AND NOT s.same AND 50 * positive_score <= 100 * s.score AND 100 * s.score <= 95 * positive_score)
+SELECT anchor_id, positive_id, rank, negative_id, positive_score, negative_score FROM n WHERE rank <= 3
+"""
+
 QUERIES = {
     "op1_language_model": op1_language_model,
     "op2_preference_format": op2_preference_format,
@@ -225,6 +251,7 @@ QUERIES = {
     "op10_fingerprints": op10_fingerprints,
     "op11_sentence_pieces": op11_sentence_pieces,
     "op12_importance_resampling": op12_importance_resampling,
+    "op13_hard_negatives": op13_hard_negatives,
 }
 
-ORACLES = {"op2_preference_format": OP2_SQL, "op3_mix_sources": OP3_SQL, "op5_exact_top_k": OP5_SQL, "op12_importance_resampling": OP12_SQL}
+ORACLES = {"op2_preference_format": OP2_SQL, "op3_mix_sources": OP3_SQL, "op5_exact_top_k": OP5_SQL, "op12_importance_resampling": OP12_SQL, "op13_hard_negatives": OP13_SQL}

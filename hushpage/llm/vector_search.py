@@ -61,10 +61,11 @@ def best_exact(query: np.ndarray, ids: np.ndarray, upper: np.ndarray, vectors: n
     return best, scores, at
 
 
-def usable(vectors: DataFrame, is_query: Column, id_col: str, vec_col: str) -> DataFrame:
-    """(id, v, q): rows with an id and a vector of integers without nulls."""
+def usable(vectors: DataFrame, is_query: Column, id_col: str, vec_col: str, label_col: str | None = None) -> DataFrame:
+    """(id, v, q), or (id, v, q, label): rows with an id and a vector of integers without nulls."""
     rows = vectors.where(F.col(id_col).isNotNull() & F.col(vec_col).isNotNull() & ~F.exists(vec_col, lambda x: x.isNull()))
-    return rows.select(F.col(id_col).cast("long").alias("id"), F.col(vec_col).cast("array<long>").alias("v"), is_query.alias("q"))
+    label = [F.col(label_col).alias("label")] if label_col else []
+    return rows.select(F.col(id_col).cast("long").alias("id"), F.col(vec_col).cast("array<long>").alias("v"), is_query.alias("q"), *label)
 
 
 def candidates(rows: DataFrame, k: int, tile_vectors: int, tile_queries: int) -> DataFrame:
