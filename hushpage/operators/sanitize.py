@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from dataclasses import dataclass
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -71,3 +73,36 @@ def sanitize_elements(elements: DataFrame, detections: DataFrame, options: Sanit
         F.col("clean_value").alias("value"), "input_type", "x", "y", "width", "height", "visible", "enabled",
         F.col("is_sensitive").alias("sensitive"),
     )
+
+
+#: What a sanitiser gives.
+CLEAN = (
+    "ord int, id string, type string, tag_name string, role string, text string, aria_label string, placeholder string, value string, input_type string, "
+    "x double, y double, width double, height double, visible boolean, enabled boolean, sensitive boolean"
+)
+
+
+def each_page(cleaner: Callable[[pd.DataFrame, pd.DataFrame, SanitizeOptions], pd.DataFrame]) -> Callable[[DataFrame, DataFrame, SanitizeOptions], DataFrame]:
+    """A sanitiser from a function of one page's elements and detections, a row each, to its sanitised elements.
+
+    ``failed`` names the class of what the function raised: such a page has one row with nothing else. Other pages are not touched by that.
+    """
+
+    def run(elements: DataFrame, detections: DataFrame, options: SanitizeOptions) -> DataFrame:
+        names = [f.split()[0] for f in CLEAN.split(", ")]
+        key = elements.schema["snapshot_id"].dataType.simpleString()
+
+        def one(page: tuple, rows: pd.DataFrame, seen: pd.DataFrame) -> pd.DataFrame:
+            try:
+                if rows.empty:
+                    return pd.DataFrame({c: [] for c in ("snapshot_id", *names, "failed")}, dtype=object)
+                out = cleaner(rows, seen, options).reindex(columns=names).astype(object)
+                out = out.where(out.notna(), None)
+                return out.assign(snapshot_id=page[0], failed=None)[["snapshot_id", *names, "failed"]]
+            except Exception as error:  # this page's failure; the others go on
+                return pd.DataFrame([{"snapshot_id": page[0], "failed": type(error).__name__}], columns=["snapshot_id", *names, "failed"]).astype(object)
+
+        both = elements.groupBy("snapshot_id").cogroup(detections.groupBy("snapshot_id"))
+        return both.applyInPandas(one, f"snapshot_id {key}, {CLEAN}, failed string")
+
+    return run

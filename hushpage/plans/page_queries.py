@@ -148,10 +148,8 @@ def _buffers(spark, sf_dir):
 
 def _half_masked(images):
     """A redactor that forgot every tenth page."""
-    done = redact.redact_images(images).join(images.select("snapshot_id", F.col("data").alias("before"), "width", "height", "regions"), "snapshot_id")
-    forgot = done.withColumn("masked", F.when(F.col("snapshot_id") % 10 == 7, F.col("before")).otherwise(F.col("data")))
-    checks = redact.verify_masks(forgot.drop("data").withColumnRenamed("before", "data"))
-    return forgot.select("snapshot_id", F.col("masked").alias("data"), "redacted", "error").join(checks, "snapshot_id")
+    done = redact.redact_images(images).join(images.select("snapshot_id", F.col("data").alias("before")), "snapshot_id")
+    return done.withColumn("data", F.when(F.col("snapshot_id") % 10 == 7, F.col("before")).otherwise(F.col("data"))).drop("before")
 
 
 def _sanitized(spark, sf_dir, **options):
@@ -165,6 +163,37 @@ def guard_verdicts(spark, sf_dir):
     return guard.verdicts(_pages(spark, sf_dir), done.violations)
 
 
+def _broken_redactor(images):
+    """A redactor that raises on some images, leaves pages out and gives pages twice."""
+
+    def painter(pixels, extents):
+        if pixels[0, 0, 0] == 3:
+            raise RuntimeError("broken")
+        return redact.black_out(pixels, extents)
+
+    done = redact.each_page(painter)(images).where("snapshot_id % 10 <> 5")
+    return done.withColumn("times", F.explode(F.sequence(F.lit(1), F.when(F.col("snapshot_id") % 10 == 7, 2).otherwise(1)))).drop("times")
+
+
+def _broken_cleaner(rows, seen, options):
+    """A sanitiser that raises on some pages, loses an element and gives an element twice."""
+    page, rows = rows["snapshot_id"].iloc[0], rows.sort_values("ord")
+    if page % 11 == 2:
+        raise KeyError("broken")
+    rows = rows.iloc[1:] if page % 11 == 4 else rows.iloc[[0, *range(len(rows))]] if page % 11 == 6 else rows
+    return rows.assign(text=options.token, value=options.token, sensitive=True)
+
+
+def guard_failures(spark, sf_dir):
+    """Parts of the guard that fail while the job runs: just the pages that they fail on are blocked."""
+    pages = views.table(spark, sf_dir, "pages").select(F.col("page_id").alias("snapshot_id"), "url", F.lit("").alias("title"), F.lit(True).alias("has_elements"))
+    dot = F.concat(F.lpad(F.hex(F.col("snapshot_id") % 10), 2, "0"), F.lit("141EFF"))  # the first pixel tells a page's last digit
+    screens = pages.select("snapshot_id", F.unhex(F.concat(dot, F.repeat(F.lit("0A141EFF"), 1199))).alias("data"), F.lit(40).alias("width"), F.lit(30).alias("height"))
+    found = views.detections(spark, sf_dir).where("width > 0").withColumn("sources", F.array("source"))
+    done = guard.sanitize(pages, screens, views.elements(spark, sf_dir), found, mask=_broken_redactor, clean_up=sanitize.each_page(_broken_cleaner))
+    return guard.verdicts(pages, done.violations)
+
+
 def passing_contexts(spark, sf_dir):
     """What may leave: pages without a violation of any phase, over screenshots as masked and elements as sanitised."""
     out = _sanitized(spark, sf_dir).contexts
@@ -185,7 +214,7 @@ def redaction_counts(spark, sf_dir):
 
 _QUERIES = (
     valid_boxes, box_overlaps, box_unions, pixel_extents, compatible_pairs, fused, fused_keep_generic, fused_clamped, id_matches, spatial_matches,
-    sanitized_elements, sanitized_stripped, input_violations, value_leaks, secret_leaks, guard_verdicts, passing_contexts, privacy_statistics, redaction_counts,
+    sanitized_elements, sanitized_stripped, input_violations, value_leaks, secret_leaks, guard_verdicts, guard_failures, passing_contexts, privacy_statistics, redaction_counts,
 )
 QUERIES = {f.__name__: f for f in _QUERIES}
 
@@ -348,6 +377,12 @@ ORACLES = {
     "guard_verdicts": f"""
         SELECT p.page_id AS snapshot_id, v.code IS NULL AS passed, v.code FROM pages AS p
         LEFT JOIN (SELECT snapshot_id, arg_min(code, phase * 1000000 + ord) AS code FROM ({_ALL}) GROUP BY snapshot_id) AS v ON v.snapshot_id = p.page_id""",
+    "guard_failures": f"""
+        SELECT snapshot_id, code IS NULL AS passed, code FROM (
+          SELECT p.page_id AS snapshot_id, CASE WHEN coalesce(regexp_matches(url, '(password|pwd|secret|api_key|token)=[^&]+', 'i'), FALSE) THEN 'LEAKED_METADATA'
+            WHEN p.page_id % 10 = 3 THEN 'REDACTION_EXECUTION_FAILURE' WHEN p.page_id % 11 = 2 AND n > 0 THEN 'DOM_SANITIZATION_EXECUTION_FAILURE'
+            WHEN p.page_id % 10 IN (5, 7) THEN 'SCREENSHOT_VERIFICATION_FAILURE' WHEN p.page_id % 11 IN (4, 6) AND n > 0 THEN 'DOM_VERIFICATION_FAILURE' END AS code
+          FROM pages AS p LEFT JOIN (SELECT snapshot_id, count(*) AS n FROM {EL} GROUP BY 1) AS e ON e.snapshot_id = p.page_id)""",
     "passing_contexts": f"""
         SELECT p.snapshot_id, p.url, p.title, coalesce(e.n, 0)::INT AS elements, coalesce(c.sensitive_detections, 0)::INT AS regions, coalesce(total_detections, 0) AS total_detections,
           coalesce(sensitive_detections, 0) AS sensitive_detections, coalesce(redacted_regions, 0) AS redacted_regions
