@@ -11,7 +11,8 @@ from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from hushpage.llm import queries
-from hushpage.llm.sentence_pieces import SPACE, Coder, decode_ids, encode_texts, parts_of
+from hushpage.llm.sentence_pieces import SPACE, Coder, WordIds, decode_ids, encode_texts, parts_of
+from hushpage.llm.token_counts import LengthTable
 
 PATH = public_tokenizers.path("piece_bpe_32k.model")
 LIBRARY = sentencepiece.SentencePieceProcessor(model_file=PATH)
@@ -26,8 +27,9 @@ def ids_of(packed):
 @settings(max_examples=500, deadline=None)
 @given(st.lists(TEXT, max_size=4))
 def test_ids_and_texts_equal_the_library(texts):
-    for coder in (CODER, SMALL):
-        packed, same = coder.encode([*texts, None], True)
+    assert CODER.vocabulary.merge_all(texts) == [b"".join(i.to_bytes(4, "little") for i in CODER.vocabulary.merge(t)) for t in texts]
+    for coder, check in ((CODER, "texts"), (CODER, "words"), (SMALL, "texts"), (SMALL, "words")):
+        packed, same = coder.encode([*texts, None], check)
         assert [ids_of(p) for p in packed] == [LIBRARY.encode(t) + [2] for t in texts] + [[2]] and all(same)
         decoded, same = coder.decode(packed, True)
         assert decoded == [LIBRARY.decode(LIBRARY.encode(t) + [2]) for t in texts] + [""] and all(same)
@@ -51,8 +53,8 @@ def test_long_words_and_a_small_cache():
     r = random.Random(5)
     texts = ["x" * 30_000, "ab" * 9_000 + " " + " " * 5_000, "".join(r.choices("etaoin shrdlu\n", k=50_000))]
     coder = Coder(PATH)
-    coder.words.most = 20
-    packed, same = coder.encode(texts, True)
+    coder.words = WordIds(coder.vocabulary, bits=5)  # forgets again and again
+    packed, same = coder.encode(texts, "words")
     assert all(same) and [ids_of(p) for p in packed] == [LIBRARY.encode(t) + [2] for t in texts]
 
 
@@ -61,7 +63,7 @@ def test_documents(spark):
     docs = spark.createDataFrame([(i, t, 7, "z") for i, t in rows], "doc_id long, text string, ids int, decoded string")
     got = encode_texts(docs, PATH, decode=True).collect()
     assert sorted((str(r.doc_id), r.ids, r.decoded, r.agrees) for r in got) == sorted((str(i), LIBRARY.encode(t or "") + [2], LIBRARY.decode(LIBRARY.encode(t or "")), True) for i, t in rows)
-    back = decode_ids(encode_texts(docs, PATH, check=False), PATH).collect()
+    back = decode_ids(encode_texts(docs, PATH, check=None), PATH).collect()
     assert sorted((str(r.doc_id), r.text) for r in back) == sorted((str(r.doc_id), r.decoded) for r in got)
     assert encode_texts(docs.limit(0), PATH).collect() == [] and decode_ids(docs.limit(0).select("doc_id", F.array("ids").alias("ids")), PATH).collect() == []
 
@@ -80,3 +82,10 @@ def test_the_query_over_whole_texts(spark):
         ids = LIBRARY.encode(d.text or "") + [2]
         want = (len(ids), hashlib.sha256(" ".join(map(str, ids)).encode()).hexdigest(), hashlib.sha256(LIBRARY.decode(ids).encode()).hexdigest(), True)
         assert (got[d.doc_id].n_tokens, got[d.doc_id].ids_sha256, got[d.doc_id].decoded_sha256, got[d.doc_id].agrees) == want
+
+
+def test_a_wrong_word_is_noticed():
+    coder = Coder(PATH)
+    coder.vocabulary.pairs = LengthTable(2)  # nothing merges
+    for check in ("words", "texts"):
+        assert coder.encode(["a the b", "\n", "the", None], check)[1] == [False, True, False, True]
