@@ -6,15 +6,20 @@ detections never carry text.
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterable
+from dataclasses import dataclass
 from functools import reduce
 from typing import Protocol
 
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
+from pyspark.sql.types import StructType
 
 from hushpage.functions import classify
 from hushpage.functions.text import is_email, is_phone
+from hushpage.operators.hold import hold as keep
 
 COLUMNS = ["snapshot_id", "ord", "id", "type", "x", "y", "width", "height", "confidence", "sources", "text"]
 
@@ -78,6 +83,79 @@ def run_detectors(elements: DataFrame, detectors: list[Callable[[DataFrame], Dat
     return reduce(DataFrame.unionByName, parts)
 
 
+#: What a row's detector is given of each element, where the table has it.
+SEEN = ("snapshot_id", "ord", "id", "type", "tag_name", "role", "text", "aria_label", "placeholder", "input_type", "autocomplete", "name", "x", "y", "width", "height", "visible", "enabled", "sensitive")
+
+
+@dataclass(frozen=True)
+class RowDetector:
+    """A detector from a Python function of one element (a dict of SEEN; values are never in it) to dicts of type, confidence, sources and
+    whatever else differs from the element: id, box, text.
+
+    What the function raises on a row is that row's error; its other rows, and other detectors, go on.
+    """
+
+    name: str
+    one: Callable[[dict], Iterable[dict] | None]
+
+    def __call__(self, elements: DataFrame) -> DataFrame:
+        """Detections (COLUMNS) and errors: a row with ``error``, the class of what was raised, has no type."""
+        given = [c for c in SEEN if c in elements.columns]
+        rows = elements.select(*given)
+        kinds = {f.name: f.dataType.simpleString() for f in rows.schema} | {"confidence": "double", "sources": "array<string>", "error": "string"} | {"type": "string", "id": "string", "text": "string"}
+        schema = ", ".join(f"`{c}` {kinds.get(c, 'double')}" for c in (*COLUMNS, "error"))
+        arrow = to_arrow_schema(StructType.fromDDL(schema))
+        one = self.one
+
+        def found(element: dict) -> list[dict]:
+            base = {c: element.get(c) for c in ("snapshot_id", "ord", "id", "x", "y", "width", "height")}
+            try:
+                out = [base | d for d in one(dict(element)) or ()]
+                pa.Table.from_pylist(out, schema=arrow)  # what does not fit is this row's error, too
+                if any(d.get("type") is None for d in out):
+                    raise ValueError("a detection without a type")
+                return out
+            except Exception as error:  # this row's failure; the others go on
+                return [{"snapshot_id": element["snapshot_id"], "ord": element["ord"], "error": type(error).__name__}]
+
+        def run(batches: Iterable[pa.RecordBatch]) -> Iterable[pa.RecordBatch]:
+            for batch in batches:
+                out = [d for element in batch.to_pylist() for d in found(element)]
+                yield from pa.Table.from_pylist(out, schema=arrow).to_batches()
+
+        return rows.mapInArrow(run, schema)
+
+
+@dataclass(frozen=True)
+class DetectorRun:
+    """detections: COLUMNS and group_no. errors: (snapshot_id, ord, group_no, error), without a page where a detector failed as a whole."""
+
+    detections: DataFrame
+    errors: DataFrame
+
+
+def run_isolated(elements: DataFrame, detectors: list[Callable[[DataFrame], DataFrame]], hold: Callable[[DataFrame], DataFrame] = keep) -> DetectorRun:
+    """All detectors' rows in order of the list, and what failed.
+
+    A RowDetector loses only rows that it fails on. Another one that fails while its plan is built is one error. ``hold`` keeps the rows, so that
+    detectors run once for both results.
+    """
+    key = ", ".join(f"{c} {elements.schema[c].dataType.simpleString()}" for c in ("snapshot_id", "ord"))
+    parts, failed = [], []
+    for i, detector in enumerate(detectors):
+        try:
+            rows = detector(elements)
+            error = F.col("error") if "error" in rows.columns else F.lit(None).cast("string").alias("error")
+            parts.append(rows.select(*COLUMNS, error).withColumn("group_no", F.lit(i)))
+        except Exception as error:  # isolation is the contract: other detectors must still run
+            failed.append((None, None, i, type(error).__name__))
+    whole = elements.sparkSession.createDataFrame(failed, f"{key}, group_no int, error string")
+    if not parts:
+        return DetectorRun(dom_detections(elements.limit(0)).withColumn("group_no", F.lit(0)), whole)
+    rows = hold(reduce(DataFrame.unionByName, parts))
+    return DetectorRun(rows.where("error IS NULL").drop("error"), rows.where("error IS NOT NULL").select("snapshot_id", "ord", "group_no", "error").union(whole))
+
+
 def deduplicate(detections: DataFrame) -> DataFrame:
     """One row for each exact box of a page: the kind of highest priority, earliest first on ties.
 

@@ -26,13 +26,14 @@ def candidate_id(kind: Column, dom_id: Column, name: Column, n: Column) -> Colum
 
 
 def _probe(rows: pd.DataFrame) -> pd.DataFrame:
-    """A page's candidates in order; one that is taken gets the first free number from 2 on."""
-    rows, used, out = rows.sort_values("ord"), set(), []
+    """A page's candidates in order; one that is taken gets the first free number from 2 on. Numbers below the last one given are taken."""
+    rows, used, last, out = rows.sort_values("ord"), set(), {}, []
     for candidate in rows["candidate"]:
-        name, n = candidate, 1
+        name, n = candidate, last.get(candidate, 1)
         while name in used:
             n += 1
             name = f"{candidate}_{n}"
+        last[candidate] = n
         used.add(name)
         out.append(name)
     return rows.assign(id=out)[["snapshot_id", "ord", "id"]]

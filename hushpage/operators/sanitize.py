@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from hushpage.functions.classify import is_password_element, is_sensitive_type
 from hushpage.functions.geometry import Box, covers, is_valid_box
 from hushpage.functions.text import js_trim
+from hushpage.operators.spatial import BOX, overlapping
 
 KEY = ["snapshot_id", "ord"]
 
@@ -41,8 +42,8 @@ def spatial_matches(elements: DataFrame, detections: DataFrame) -> DataFrame:
     container = (F.col("type") == "container") | F.lower("tag_name").isin("form", "nav") | (F.col("role") == "form")
     held = elements.where(~F.coalesce(container, F.lit(False)) & is_valid_box(Box.of()))
     seen = detections.where(is_sensitive_type(F.col("type")) & is_valid_box(Box.of()))
-    meets = (F.col("e.snapshot_id") == F.col("d.snapshot_id")) & covers(Box.of("d."), Box.of("e."))
-    return held.alias("e").join(seen.alias("d"), meets, "left_semi").select(*KEY)
+    pairs = overlapping(held.select(*KEY, *BOX), seen.select("snapshot_id", *BOX))  # nothing coincides without sharing some area
+    return pairs.where(covers(Box.of("b."), Box.of("a."))).select(*[F.col(f"a.{c}") for c in KEY]).distinct()
 
 
 def mark_sensitive(elements: DataFrame, detections: DataFrame) -> DataFrame:

@@ -43,6 +43,8 @@ def planned_codes(spark, sf_dir):
 
 def dry_run(spark, sf_dir):
     page = views.elements(spark, sf_dir).withColumn("options", F.array(F.lit("IN"), F.lit(" Norway ")))
+    at = F.col("snapshot_id") + F.col("ord")
+    page = page.withColumns({"readonly": at % 5 == 0, "contenteditable": F.when(at % 3 == 0, F.lit("True")).when(at % 3 == 1, F.lit("inherit"))})
     return simulate_actions(views.actions(spark, sf_dir), page)
 
 
@@ -251,20 +253,21 @@ SELECT *, coalesce(CASE WHEN kind = 'click' THEN {_only("('type', 'target')")} A
 FROM ({PARSED})
 """
 DRY = f"""
-WITH p AS ({PARSED}), el AS (SELECT * FROM {EL}),
+WITH p AS ({PARSED}), el AS (SELECT *, (snapshot_id + ord) % 5 = 0 AS fixed, (snapshot_id + ord) % 3 = 0 AS free FROM {EL}),
 named AS (SELECT snapshot_id, id, arg_min(el, ord) AS t FROM el GROUP BY snapshot_id, id),
 pointed AS (SELECT p.action_id, arg_max(el, el.ord) AS t FROM p JOIN el ON el.snapshot_id = p.snapshot_id AND p.element_id IS NULL
   AND p.at_x >= el.x AND p.at_x < el.x + el.width AND p.at_y >= el.y AND p.at_y < el.y + el.height GROUP BY p.action_id),
 j AS (SELECT p.*, coalesce(named.t, pointed.t) AS t FROM p LEFT JOIN named ON named.snapshot_id = p.snapshot_id AND named.id = p.element_id LEFT JOIN pointed ON pointed.action_id = p.action_id),
-c AS (SELECT action_id, client, kind, CASE WHEN NOT client THEN 'INVALID_ACTION'
+c AS (SELECT action_id, client, kind, direction, amount, CASE WHEN NOT client THEN 'INVALID_ACTION'
   WHEN kind = 'click' THEN CASE WHEN element_id IS NULL AND (at_x < 0 OR at_x > 1280 OR at_y < 0 OR at_y > 720) THEN 'TARGET_NOT_INTERACTABLE' WHEN t IS NULL THEN 'TARGET_NOT_FOUND'
     WHEN NOT t.enabled OR (element_id IS NOT NULL AND NOT t.visible) THEN 'TARGET_NOT_INTERACTABLE' END
   WHEN kind = 'type' THEN CASE WHEN t IS NULL AND element_id IS NULL THEN 'TARGET_NOT_INTERACTABLE' WHEN t IS NULL THEN 'TARGET_NOT_FOUND'
-    WHEN NOT (lower(t.tag_name) = 'textarea' OR (lower(t.tag_name) = 'input' AND lower(coalesce(nullif(t.input_type, ''), 'text')) NOT IN ('button', 'submit', 'reset', 'hidden', 'image', 'checkbox', 'radio', 'file')))
+    WHEN t.fixed OR NOT (t.free OR lower(t.tag_name) = 'textarea' OR (lower(t.tag_name) = 'input' AND lower(coalesce(nullif(t.input_type, ''), 'text')) NOT IN ('button', 'submit', 'reset', 'hidden', 'image', 'checkbox', 'radio', 'file')))
       OR NOT t.enabled OR NOT t.visible THEN 'TARGET_NOT_INTERACTABLE' END
   WHEN kind = 'select' THEN CASE WHEN t IS NULL THEN 'TARGET_NOT_FOUND' WHEN lower(t.tag_name) <> 'select' OR NOT t.enabled OR NOT (value = 'IN' OR trim(value) IN ('IN', 'Norway') OR value = ' Norway ') THEN 'TARGET_NOT_INTERACTABLE' END
   END AS error_code FROM j)
-SELECT action_id, CASE WHEN error_code IS NULL THEN 'success' ELSE 'failure' END AS status, CASE WHEN client THEN kind ELSE 'unknown' END AS action_type, error_code FROM c
+SELECT action_id, CASE WHEN error_code IS NULL THEN 'success' ELSE 'failure' END AS status, CASE WHEN client THEN kind ELSE 'unknown' END AS action_type, error_code,
+  CASE WHEN error_code IS NULL AND kind = 'scroll' THEN CASE WHEN direction = 'down' THEN amount ELSE -amount END END AS delta FROM c
 """
 _VERB = "regexp_matches(l, 'click|find|press|tap')"
 

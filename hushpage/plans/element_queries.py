@@ -7,10 +7,10 @@ from pyspark.sql import functions as F
 from hushpage.functions import classify as C
 from hushpage.functions import elements as E
 from hushpage.functions.geometry import snapped
-from hushpage.functions.text import is_restricted_url
 from hushpage.operators import detect
 from hushpage.operators.ids import element_ids as assign_ids
 from hushpage.operators.ids import resolve_elements
+from hushpage.operators.observe import observe_tabs
 from hushpage.plans.text_queries import URLS, page_urls, sql_email, sql_normalize, sql_phone, sql_restricted, sql_trim
 from hushpage.sources import views
 
@@ -67,13 +67,14 @@ def resolved_ids(spark, sf_dir):
 
 
 def observed_tabs(spark, sf_dir):
-    """First failing check of observing a page: address, capture, state; success otherwise."""
-    rows = page_urls(spark, sf_dir)
-    code = (
-        F.when(F.col("page_id") % 17 == 0, "NO_ACTIVE_TAB").when(is_restricted_url(F.col("url")), "RESTRICTED_URL")
-        .when(F.col("page_id") % 13 == 0, "CAPTURE_FAILED").when(F.col("page_id") % 19 == 0, "DOM_EXTRACTION_FAILED")
+    """Observing each page's tab, where steps fail on some pages."""
+    at, n = F.col("page_id"), lambda x: F.lit(float(x))
+    tabs = page_urls(spark, sf_dir).select(
+        "page_id", "url", (at % 23 != 5).alias("available"), F.when(at % 17 != 0, at).alias("tab_id"), F.when(at % 13 != 0, F.lit("data:image/png;base64,")).alias("data_url"),
+        (at % 29 != 3).alias("answered"), F.when(at % 19 != 0, at % 31 != 4).alias("state_given"), n(800).alias("tab_width"), n(600).alias("tab_height"),
+        F.struct(F.when(at % 7 == 1, n(0)).otherwise(n(1280)).alias("width"), F.when(at % 7 != 2, n(720)).alias("height"), F.when(at % 2 == 0, n(2)).alias("devicePixelRatio")).alias("viewport"),
     )
-    return rows.select("page_id", code.isNull().alias("success"), code.alias("code"))
+    return observe_tabs(tabs).select("page_id", "success", "code", "width", "height", "ratio")
 
 
 def password_fields(spark, sf_dir):
@@ -116,6 +117,21 @@ def all_detections(spark, sf_dir):
     return _flat(detect.run_detectors(rows, [detect.dom_detections, _failing, detect.password_detections]))
 
 
+def _flaky(element):
+    """A detector of one element that cannot cope with every tenth page, and finds the word Login elsewhere."""
+    if element["snapshot_id"] % 10 == 3:
+        raise KeyError(element["id"])
+    if "Login" in (element["text"] or ""):
+        yield {"type": "username", "confidence": 0.5, "sources": ["flaky"]}
+
+
+def isolated_detections(spark, sf_dir):
+    """Detectors of which one fails on some rows: it loses these rows only, and each is told."""
+    run = detect.run_isolated(views.elements(spark, sf_dir), [detect.dom_detections, detect.RowDetector("flaky", _flaky), _failing])
+    found = run.detections.select(*KEY, "type", "group_no", F.lit(None).cast("string").alias("error"))
+    return found.unionByName(run.errors.select(*KEY, F.lit(None).cast("string").alias("type"), "group_no", "error"))
+
+
 def deduped_detections(spark, sf_dir):
     rows = views.detections(spark, sf_dir).withColumns({"x": F.col("x") % 60, "y": F.lit(0.0), "width": F.lit(50.0), "height": F.lit(20.0)})
     merged = detect.deduplicate(rows.withColumn("sources", F.array("source")))
@@ -124,7 +140,7 @@ def deduped_detections(spark, sf_dir):
 
 _QUERIES = (
     element_types, extracted_elements, sensitive_flags, element_texts, visible_enabled, element_ids, resolved_ids,
-    observed_tabs, password_fields, dom_signals, dom_detections, text_detections, pii_detections, all_detections, deduped_detections,
+    observed_tabs, password_fields, dom_signals, dom_detections, text_detections, pii_detections, all_detections, isolated_detections, deduped_detections,
 )
 QUERIES = {f.__name__: f for f in _QUERIES}
 
@@ -244,13 +260,19 @@ ORACLES = {
         SELECT snapshot_id, ask, coalesce((SELECT min(ord) FROM w WHERE w.snapshot_id = a.snapshot_id AND w.id = a.k),
           (SELECT min(ord) FROM w WHERE w.snapshot_id = a.snapshot_id AND w.dom_id = CASE WHEN contains(a.k, '_') THEN substr(a.k, strpos(a.k, '_') + 1) END)) AS ord FROM a""",
     "observed_tabs": f"""
-        WITH c AS (SELECT page_id, CASE WHEN page_id % 17 = 0 THEN 'NO_ACTIVE_TAB' WHEN {sql_restricted("url")} THEN 'RESTRICTED_URL'
-          WHEN page_id % 13 = 0 THEN 'CAPTURE_FAILED' WHEN page_id % 19 = 0 THEN 'DOM_EXTRACTION_FAILED' END AS code FROM ({URLS}))
-        SELECT page_id, code IS NULL AS success, code FROM c""",
+        WITH c AS (SELECT page_id, CASE WHEN page_id % 23 = 5 THEN 'UNKNOWN_ERROR' WHEN page_id % 17 = 0 THEN 'NO_ACTIVE_TAB' WHEN {sql_restricted("url")} THEN 'RESTRICTED_URL'
+          WHEN page_id % 13 = 0 THEN 'CAPTURE_FAILED' WHEN page_id % 29 = 3 THEN 'CONTENT_SCRIPT_UNAVAILABLE' WHEN page_id % 19 = 0 OR page_id % 31 = 4 THEN 'DOM_EXTRACTION_FAILED' END AS code FROM ({URLS}))
+        SELECT page_id, code IS NULL AS success, code, CASE WHEN code IS NULL THEN CASE WHEN page_id % 7 = 1 THEN 800 ELSE 1280 END::DOUBLE END AS width,
+          CASE WHEN code IS NULL THEN CASE WHEN page_id % 7 = 2 THEN 600 ELSE 720 END::DOUBLE END AS height, CASE WHEN code IS NULL THEN CASE WHEN page_id % 2 = 0 THEN 2 ELSE 1 END::DOUBLE END AS ratio FROM c""",
     "password_fields": f"SELECT snapshot_id, ord FROM {EL} WHERE {IS_PASSWORD}",
     "dom_signals": f"SELECT snapshot_id, ord, s_password AS password, s_email AS email, s_phone AS phone, s_name AS name FROM ({SIGNALS})",
     "dom_detections": DOM_DETECTIONS,
     "text_detections": TEXT_DETECTIONS,
+    "isolated_detections": f"""
+        SELECT snapshot_id, ord, type, 0::INT AS group_no, NULL AS error FROM ({DOM_DETECTIONS})
+        UNION ALL SELECT snapshot_id, ord, 'username', 1, NULL FROM {EL} WHERE snapshot_id % 10 <> 3 AND contains(text, 'Login')
+        UNION ALL SELECT snapshot_id, ord, NULL, 1, 'KeyError' FROM {EL} WHERE snapshot_id % 10 = 3
+        UNION ALL SELECT NULL, NULL, NULL, 2, 'ValueError'""",
     "pii_detections": f"SELECT *, 0::INT AS group_no FROM ({PASSWORD_DETECTIONS}) UNION ALL SELECT *, 1::INT AS group_no FROM ({TEXT_DETECTIONS})",
     "all_detections": f"SELECT *, 0::INT AS group_no FROM ({DOM_DETECTIONS}) UNION ALL SELECT *, 2::INT AS group_no FROM ({PASSWORD_DETECTIONS})",
     "deduped_detections": f"""

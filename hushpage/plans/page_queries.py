@@ -8,6 +8,7 @@ from hushpage.functions import geometry as G
 from hushpage.functions.classify import SENSITIVE_TYPES, compatible
 from hushpage.operators import guard, redact, sanitize
 from hushpage.operators.fuse import FuseOptions, fuse_detections
+from hushpage.operators.spatial import overlapping
 from hushpage.plans.element_queries import IS_PASSWORD, low
 from hushpage.sources import views
 
@@ -35,13 +36,19 @@ def _pairs(spark, sf_dir):
     return first.select("a", F.explode(F.filter("boxes", lambda x: x["ord"] > F.col("a.ord"))).alias("b"))
 
 
+def _overlapping(spark, sf_dir):
+    """As _pairs, of boxes that share some area, by the grid of each page."""
+    rows = views.boxes(spark, sf_dir).select("snapshot_id", "ord", *BOX)
+    return overlapping(rows, rows, F.col("a.ord") < F.col("b.ord"))
+
+
 def _pair_keys():
     return [F.col("a.snapshot_id"), F.col("a.ord").alias("a"), F.col("b.ord").alias("b")]
 
 
 def box_overlaps(spark, sf_dir):
     a, b = G.Box.of("a."), G.Box.of("b.")
-    rows = _pairs(spark, sf_dir).select(
+    rows = _overlapping(spark, sf_dir).select(
         *_pair_keys(), G.iou(a, b).alias("iou"), G.max_overlap(a, b).alias("overlap"), G.covers(a, b).alias("covers"), G.share_inside(a, b).alias("inside")
     )
     return rows.where("iou > 0")

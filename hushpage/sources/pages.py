@@ -3,12 +3,13 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
-from html.parser import HTMLParser
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from hushpage.sources.html_scan import scan
+
 BOX = "struct<x: double, y: double, width: double, height: double>"
 #: Inference would read geometry as integers and drop absent fields, so the schema is given.
 SNAPSHOT_SCHEMA = f"""
@@ -21,7 +22,11 @@ documentWidth double, documentHeight double
 
 def read_snapshots(spark: SparkSession, path: str) -> DataFrame:
     """JSON snapshots, one file a page, as element rows in order; ``source`` is the file."""
-    pages = spark.read.schema(SNAPSHOT_SCHEMA).json(path, multiLine=True).withColumn("source", F.col("_metadata.file_name"))
+    return element_rows(spark.read.schema(SNAPSHOT_SCHEMA).json(path, multiLine=True).withColumn("source", F.col("_metadata.file_name")))
+
+
+def element_rows(pages: DataFrame) -> DataFrame:
+    """Element rows of pages in SNAPSHOT_SCHEMA with their ``source``."""
     rows = pages.select("source", "documentWidth", "documentHeight", F.posexplode("elements").alias("ord", "e"))
     return rows.select(
         "source", "ord", "documentWidth", "documentHeight",
@@ -51,66 +56,30 @@ def data_url_bytes(url: Column) -> Column:
     return F.when(url.startswith("data:"), F.try_to_binary(F.split_part(url, F.lit(","), F.lit(2)), F.lit("base64")))
 
 
-#: What the page scan selects.
-TAGS = ("button", "input", "textarea", "select", "img", "h1", "h2", "h3", "h4", "h5", "h6")
-ROLES = ("button", "link", "textbox", "searchbox", "checkbox", "radio", "combobox", "listbox", "img", "heading")
-_VOID = {"input", "img", "br", "hr", "meta", "link", "area", "base", "col", "embed", "source", "track", "wbr"}
 _FIELDS = ("tag_name", "role", "raw_type", "dom_id", "raw_name", "autocomplete", "raw_aria", "raw_placeholder", "alt", "content")
 
 
-class _Scan(HTMLParser):
-    """Candidate elements of a page with their attributes and text content."""
-
-    def __init__(self):
-        super().__init__(convert_charrefs=True)
-        self.found, self.open = [], []
-        self.fieldsets = []  # [disabled, has had a legend, inside its first legend] of each open one
-
-    def handle_starttag(self, tag, attrs):
-        a = dict(attrs)
-        if tag == "fieldset":
-            self.fieldsets.append(["disabled" in a, False, False])
-        elif tag == "legend" and self.fieldsets and not self.fieldsets[-1][1]:
-            self.fieldsets[-1][1:] = [True, True]
-        if tag in TAGS or (tag == "a" and "href" in a) or (a.get("role") or "").lower() in ROLES:
-            row = [tag.upper(), a.get("role"), a.get("type"), a.get("id"), a.get("name"), a.get("autocomplete"), a.get("aria-label"), a.get("placeholder"), a.get("alt"), "", "href" in a, "hidden" in a, "disabled" in a, a.get("aria-disabled"), *(self.fieldsets[-1][::2] if self.fieldsets else (None, None))]
-            self.found.append(row)
-            if tag not in _VOID:
-                self.open.append((tag, row))
-
-    def handle_endtag(self, tag):
-        if tag == "fieldset" and self.fieldsets:
-            self.fieldsets.pop()
-        elif tag == "legend" and self.fieldsets:
-            self.fieldsets[-1][2] = False
-        for i in range(len(self.open) - 1, -1, -1):
-            if self.open[i][0] == tag:
-                del self.open[i:]
-                break
-
-    def handle_data(self, data):
-        for _, row in self.open:
-            row[9] += data
-
-
 def scan_html(pages: DataFrame, id_col: str = "page_id", html_col: str = "html") -> DataFrame:
-    """Candidate elements of raw HTML, in document order. Without layout there are no boxes; null pages have none."""
-    names = [*_FIELDS, "has_href", "hidden", "disabled", "aria_disabled", "fieldset_disabled", "in_first_legend"]
-    kinds = [pa.string()] * 10 + [pa.bool_()] * 3 + [pa.string()] + [pa.bool_()] * 2
+    """Candidate elements of raw HTML, in document order. Without layout there are no boxes; null pages have none.
+
+    ``hidden`` is the element's own attribute; ``display``, ``visibility`` and ``opacity`` are those that come of its ancestors, too.
+    ``paint`` is its place in paint order, null where no pointer can hit it.
+    """
+    names = [*_FIELDS, "has_href", "hidden", "disabled", "aria_disabled", "fieldset_disabled", "in_first_legend", "display", "visibility", "opacity", "readonly", "contenteditable", "paint"]
+    kinds = [pa.string()] * 10 + [pa.bool_()] * 3 + [pa.string()] + [pa.bool_()] * 2 + [pa.string(), pa.string(), pa.float64(), pa.bool_(), pa.string(), pa.int32()]
+    types = {pa.bool_(): "boolean", pa.string(): "string", pa.float64(): "double", pa.int32(): "int"}
 
     def parse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             owner, order, rows = [], [], []
             for i, html in enumerate(batch.column(1).to_pylist()):
-                scan = _Scan()
-                scan.feed(html or "")
-                scan.close()
-                owner += [i] * len(scan.found)
-                order += range(len(scan.found))
-                rows += scan.found
+                found = scan(html)
+                owner += [i] * len(found)
+                order += range(len(found))
+                rows += found
             columns = [pa.array([r[k] for r in rows], kinds[k]) for k in range(len(names))]
             yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(owner, pa.int64())), pa.array(order, pa.int32()), *columns], names=["snapshot_id", "ord", *names])
 
     kind = pages.schema[id_col].dataType.simpleString()
-    fields = ", ".join(f"{n} {'boolean' if k == pa.bool_() else 'string'}" for n, k in zip(names, kinds, strict=True))
+    fields = ", ".join(f"{n} {types[k]}" for n, k in zip(names, kinds, strict=True))
     return pages.select(id_col, html_col).mapInArrow(parse, f"snapshot_id {kind}, ord int, {fields}")

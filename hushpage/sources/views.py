@@ -43,8 +43,8 @@ _ELEMENTS = {
     "dom_id": pick(["user_email", "login-password", None, " shipping box! ", "author", "q", "continue", "key_1", "x_2", "full_name", "submit__go", "", "pwd"], 7, 2),
     "raw_name": pick(["email", None, "first_name", "csrf_token", "phone", "company_name", "card-number", "", "surname", "tel_no", "x"], 2, 3),
     "autocomplete": pick([None, "current-password", "email", "tel-national", "given-name", "off", "", "name", "cc-number"], 11, 1),
-    "raw_aria": pick([None, " Search products ", "Password", "Your phone", "log in", "", "User name", "Legal name", "Sign up", "Continue"], 3, 4),
-    "raw_placeholder": pick([None, "Email address", "Full name", "Search", "Enter password", "", "mobile number", "Username", "Surname"], 13, 2),
+    "raw_aria": pick([None, " Look for goods ", "Password", "Your phone", "log in", "", "User name", "Legal name", "Sign up", "Continue"], 3, 4),
+    "raw_placeholder": pick([None, "Email address", "Full name", "Search", "Your password here", "", "mobile number", "Username", "Surname"], 13, 2),
     "content": pick(["Login", "  Sign\t up\n now ", "Continue", None, "", "Contact mia@mail.example.org", "+91 98765 43210", "Search", "Pay 4111111111111111", "Submit order"], 7, 5),
     "alt": pick([None, "Portrait  of  Mia", "", "logo"], 3, 1),
     "raw_value": pick([None, "hunter2", "mia@mail.example.org", "Jane Doe", "[REDACTED]", ""], 5, 2),
