@@ -1,7 +1,7 @@
 """The batch transforms on streams of pages.
 
 Row-wise rules run unchanged on ``readStream``; what works page by page runs in ``foreachBatch``, where a page
-arrives whole. Nothing here keeps state between batches.
+arrives whole. Nothing here keeps state between batches; pages whose parts come apart go through streaming.gate.
 """
 
 from __future__ import annotations
@@ -36,12 +36,16 @@ def write_by_batch(stream: DataFrame, work: Callable[[DataFrame], DataFrame], ou
     return stream.writeStream.foreachBatch(each).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
-def sanitize_batch(elements: DataFrame) -> DataFrame:
-    """Detects on the batch's own pages and returns sanitised elements of pages that leak nothing."""
-    seen = detect.dom_detections(elements)
-    clean = sanitize.sanitize_elements(elements, seen)
-    found = guard.value_leaks(elements, clean).union(guard.secret_leaks(clean, seen))
-    return guard.passing(clean, found)
+def sanitize_batch(elements: DataFrame, pages: DataFrame | None = None, screens: DataFrame | None = None) -> DataFrame:
+    """Sanitised elements of those of the batch's pages that pass all phases of the guard, over detections of the batch's own.
+
+    pages (snapshot_id, url, title, has_elements) and screens (snapshot_id, data, width, height) come from where the stream has
+    them; a page without its row or its screenshot does not pass, so without them nothing does.
+    """
+    if pages is None or screens is None:
+        return sanitize.sanitize_elements(elements, detect.dom_detections(elements)).limit(0)
+    done = guard.sanitize(pages, screens, elements, detect.dom_detections(elements))
+    return done.clean.join(done.contexts.select("snapshot_id"), "snapshot_id", "left_semi")
 
 
 def fuse_batch(detections: DataFrame, options: FuseOptions = FuseOptions()) -> DataFrame:

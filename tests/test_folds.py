@@ -125,10 +125,14 @@ def test_stream_equals_batch(spark, tmp_path):
     page = views.elements(spark, SF).where("snapshot_id < 40")
     page.repartition(4, "snapshot_id").write.parquet(str(tmp_path / "in"))
     stream = streaming.read_element_stream(spark, str(tmp_path / "in"), page.schema, 1)
-    query = streaming.write_by_batch(stream, streaming.sanitize_batch, str(tmp_path / "out"), str(tmp_path / "cp"))
-    query.awaitTermination(120)
+    pages = spark.range(40).select(F.col("id").alias("snapshot_id"), F.lit("https://x.example").alias("url"), F.lit("t").alias("title"), F.lit(True).alias("has_elements"))
+    screens = pages.where("snapshot_id % 4 <> 1").select("snapshot_id", F.unhex(F.repeat(F.lit("FFFFFFFF"), 6)).alias("data"), F.lit(3).alias("width"), F.lit(2).alias("height"))
+    gate = lambda batch: streaming.sanitize_batch(batch, pages, screens)
+    query = streaming.write_by_batch(stream, gate, str(tmp_path / "out"), str(tmp_path / "cp"))
+    query.awaitTermination(240)
     got = spark.read.parquet(str(tmp_path / "out")).drop("batch")
-    assert sorted(map(str, got.collect())) == sorted(map(str, streaming.sanitize_batch(page).select(got.columns).collect()))
+    assert got.count() > 0 and got.where("snapshot_id % 4 = 1").count() == 0 and streaming.sanitize_batch(page).count() == 0
+    assert sorted(map(str, got.collect())) == sorted(map(str, gate(page).select(got.columns).collect()))
     seen = streaming.detect_stream(stream).writeStream.format("memory").queryName("seen").trigger(availableNow=True).start()
     seen.awaitTermination(120)
     assert spark.table("seen").count() == detect.dom_detections(page).count()
