@@ -1,9 +1,11 @@
 """Exact top-k by inner product with vector-approximation files.
 
-Every vector is approximated by the cell of a grid, one byte a dimension, that all blocks share. Blocks of cells meet blocks of
-queries; cells bound the scores from both sides, and a block passes on only those vectors that can still be among a query's
-best of the block. Equal vectors take part with their least ids only, so copies make no pairs. Over all blocks the k-th best lower bound cuts them once more. Exact vectors are then read for what
-is left, by a join on ids, and compared in the order of their upper bounds until the k-th best score is certain.
+Every vector is approximated by its cells, one byte a dimension, between quantiles of that dimension; a row that lies beyond the sample that
+these come from travels as it is, so that outliers blur no cell. Blocks of cells meet blocks of queries; cells bound the scores from
+both sides, and a block passes on only those vectors that can still be among a query's best, of the block and of the sample. Equal
+vectors take part with their least ids only, so copies make no pairs. Over all blocks the k-th best lower bound cuts them once more. Exact
+vectors are then read for what is left, by a join on ids, in the order of their upper bounds, some at a time, until the k-th best score
+is certain.
 """
 
 from __future__ import annotations
@@ -13,26 +15,49 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-LEVELS = 256
+from hushpage.llm.blocks import cut, partitions
+from hushpage.llm.textblocks import tidy_pair
 
+CELLS = 256
 
-class Grid:
-    """Equal cells between the least and the greatest component of each dimension."""
-
-    def __init__(self, low: np.ndarray, high: np.ndarray):
-        self.low = low.astype(np.float64)
-        self.step = np.maximum(high.astype(np.float64) - self.low, 1.0) / (LEVELS - 1)
-
-    def cells(self, vectors: np.ndarray) -> np.ndarray:
-        return np.clip(np.floor((vectors - self.low) / self.step), 0, LEVELS - 1).astype(np.uint8)
 
-    def bounds(self, queries: np.ndarray, cells: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Lower and upper bounds of every score, wide enough for the rounding of these sums."""
-        middle = (queries * self.step).astype(np.float32) @ cells.T.astype(np.float32)
-        middle = middle + (queries @ (self.low + self.step / 2))[:, None]
-        half = np.abs(queries) @ (self.step / 2)
-        half = half + 1.2e-7 * (len(self.low) + 64) * (1 + np.abs(queries) @ (np.abs(self.low) + LEVELS * self.step))
-        return middle - half[:, None], middle + half[:, None]
+class Grid:
+    """Cells of each dimension: equal shares of a sample, between its least and its greatest component."""
+
+    def __init__(self, sample: np.ndarray):
+        self.edges = np.quantile(sample, np.linspace(0, 1, CELLS + 1), axis=0, method="inverted_cdf").T.astype(np.float64)
+        self.middle = ((self.edges[:, 1:] + self.edges[:, :-1]) / 2).astype(np.float32)
+        apart = np.maximum(self.edges[:, 1:] - self.middle, self.middle - self.edges[:, :-1])
+        self.half = np.nextafter((apart * (1 + 1e-6)).astype(np.float32), np.float32(np.inf))
+
+    def encode(self, vectors: np.ndarray) -> list[bytes]:
+        """A byte a dimension; the vector itself in 64-bit numbers where it leaves the sample's range."""
+        wide = ((vectors < self.edges[:, 0]) | (vectors > self.edges[:, -1])).any(axis=1)
+        cells = np.empty(vectors.shape, dtype=np.uint8)
+        for d in range(vectors.shape[1]):
+            cells[:, d] = np.searchsorted(self.edges[d, 1:-1], vectors[:, d], side="right")
+        return [v.astype("<f8").tobytes() if w else c.tobytes() for v, c, w in zip(vectors, cells, wide.tolist(), strict=True)]
+
+    def decode(self, codes: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        """(middles, greatest differences from them) of vectors."""
+        dim = len(self.edges)
+        wide = np.asarray([len(c) > dim for c in codes], dtype=bool)
+        middle, half = np.empty((len(codes), dim), dtype=np.float32), np.zeros((len(codes), dim), dtype=np.float32)
+        cells = np.frombuffer(b"".join([c for c in codes if len(c) == dim]), dtype=np.uint8).reshape(-1, dim)
+        at = cells + CELLS * np.arange(dim)
+        middle[~wide], half[~wide] = self.middle.ravel()[at], self.half.ravel()[at]
+        if wide.any():
+            middle[wide] = np.frombuffer(b"".join([c for c in codes if len(c) > dim]), dtype="<f8").reshape(-1, dim)
+        return middle, half
+
+    @staticmethod
+    def bounds(queries: np.ndarray, middle: np.ndarray, half: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Lower and upper bounds of every score, wide enough for what 32-bit sums lose."""
+        q = queries.astype(np.float32)
+        score, spread = (q @ middle.T).astype(np.float64), (np.abs(q) @ half.T).astype(np.float64)
+        long = np.linalg.norm(queries, axis=1)[:, None] * (np.linalg.norm(middle.astype(np.float64), axis=1) + np.linalg.norm(half.astype(np.float64), axis=1))
+        spread += 1.2e-7 * (middle.shape[1] + 64) * (1 + long)
+        return score - spread, score + spread
 
 
 def matrix(column: pa.ChunkedArray, dim: int) -> np.ndarray:
@@ -45,20 +70,11 @@ def matrix(column: pa.ChunkedArray, dim: int) -> np.ndarray:
     return out
 
 
-def best_exact(query: np.ndarray, ids: np.ndarray, upper: np.ndarray, vectors: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, int]:
-    """The k best (ids, scores), ties to smaller ids, and how many exact vectors it took."""
-    order = np.argsort(-upper, kind="stable")
-    best, scores = np.zeros(0, dtype=np.int64), np.zeros(0, dtype=np.float64)
-    at, step = 0, max(k, 32)
-    while at < len(order):
-        if len(scores) == k and upper[order[at]] < scores[-1]:
-            break
-        read = order[at : at + step]
-        at += len(read)
-        best, scores = np.concatenate((best, ids[read])), np.concatenate((scores, vectors[read] @ query))
-        top = np.lexsort((best, -scores))[:k]
-        best, scores = best[top], scores[top]
-    return best, scores, at
+def kth_of_each(scores: np.ndarray, k: int) -> np.ndarray:
+    """The k-th highest of each row; minus infinity where there are fewer."""
+    if scores.shape[1] < k:
+        return np.full(len(scores), -np.inf)
+    return np.partition(scores, scores.shape[1] - k, axis=1)[:, scores.shape[1] - k]
 
 
 def usable(vectors: DataFrame, is_query: Column, id_col: str, vec_col: str, label_col: str | None = None) -> DataFrame:
@@ -68,61 +84,71 @@ def usable(vectors: DataFrame, is_query: Column, id_col: str, vec_col: str, labe
     return rows.select(F.col(id_col).cast("long").alias("id"), F.col(vec_col).cast("array<long>").alias("v"), is_query.alias("q"), *label)
 
 
-def candidates(rows: DataFrame, k: int, tile_vectors: int, tile_queries: int) -> DataFrame:
-    """(query_id, id, key, upper): for each query the vectors whose bounds leave them a place among the k best.
+def candidates(rows: DataFrame, k: int, tile_values: int, sample: int) -> DataFrame:
+    """(query_id, id, key, upper, place): for each query the vectors whose bounds leave them a place among the k best, in order of their upper
+    bounds.
 
     Vectors travel as cells, a byte a dimension, and once for each block of queries; queries, a stated set, once for each block of
-    vectors. ``key`` is a hash of the vector, which tells apart rows that share an id.
+    vectors. ``key`` is a hash of the vector, which tells apart rows that share an id. A block has so many vectors, or queries, that they have
+    ``tile_values`` components.
     """
-    size = rows.agg(F.count(F.lit(1)), F.count_if("q"), F.max(F.size("v"))).first()
-    n_c, n_q, dim = max(1, -(-size[0] // tile_vectors)), max(1, -(-size[1] // tile_queries)), max(size[2] or 1, 1)
-    # The grid's edges: two numbers a dimension.
-    edges = rows.select(F.posexplode("v").alias("d", "x")).groupBy("d").agg(F.min("x").alias("low"), F.max("x").alias("high")).collect()
-    low, high = np.zeros(dim), np.zeros(dim)
-    for e in edges:
-        low[e.d], high[e.d] = min(e.low, 0), max(e.high, 0)  # shorter vectors are padded with zeros
-    grid = Grid(low, high)
+    n, n_queries, dim = rows.agg(F.count(F.lit(1)), F.count_if("q"), F.max(F.size("v"))).first()
+    dim = max(dim or 1, 1)
+    tile = max(1, tile_values // dim)
+    n_c, n_q = max(-(-n // tile), min(partitions(rows.sparkSession), -(-n // 1_024)), 1), max(-(-n_queries // tile), 1)
+    seen = rows.select("id", "v", F.xxhash64("id", "v").alias("h")).orderBy("h").limit(sample).select("id", "v").toArrow()
+    held_ids, held_vectors = seen["id"].to_numpy(), matrix(seen["v"], dim) if len(seen) else np.zeros((1, dim))
+    grid = Grid(held_vectors)
 
     def encode(batches):
         for batch in batches:
-            table = pa.Table.from_batches([batch])
-            codes = grid.cells(matrix(table["v"], dim))
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array([c.tobytes() for c in codes], pa.binary())], names=["id", "key", "cells"])
+            codes = grid.encode(matrix(pa.chunked_array([batch.column(2)]), dim))
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(codes, pa.binary())], names=["id", "key", "cells"])
 
-    deal = lambda n: F.pmod(F.xxhash64("id", "key"), F.lit(n)).cast("int")
+    def ask(batches):
+        for batch in batches:
+            for at in range(0, batch.num_rows, 256):
+                part = batch.slice(at, 256)
+                wanted = matrix(pa.chunked_array([part.column(1)]), dim)
+                scores = wanted @ held_vectors[: len(held_ids)].T
+                scores[part.column(0).to_numpy()[:, None] == held_ids] = -np.inf
+                columns = [pa.array([w.tobytes() for w in wanted], pa.binary()), pa.array(kth_of_each(scores, k))]
+                yield pa.RecordBatch.from_arrays([part.column(0), *columns], names=["id", "v", "sure"])
+
+    deal = lambda n, *by: F.pmod(F.xxhash64(*by), F.lit(n)).cast("int")
     every = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
     keyed = rows.select("id", F.xxhash64("v").alias("key"), "v")
-    held = keyed.mapInArrow(encode, "id long, key long, cells binary")
+    held = keyed.mapInArrow(encode, "id long, key long, cells binary").groupBy("id", "key").agg(F.min("cells").alias("cells"))
     # Of equal vectors, whose scores are equal, only those of the k + 1 least ids can be among a query's best, one of them its own.
     held = held.withColumn("r", F.dense_rank().over(Window.partitionBy("key").orderBy("id"))).where(F.col("r") <= k + 1)
-    held = held.select("id", "key", "cells", deal(n_c).alias("c"), every(n_q).alias("q"))
-    asked = rows.where("q").groupBy("id").agg(F.min("v").alias("v")).withColumn("key", F.lit(0).cast("long"))
-    asked = asked.select("id", "v", deal(n_q).alias("q"), every(n_c).alias("c"))
+    held = held.select("id", "key", "cells", deal(n_c, "id", "key").alias("c"), every(n_q).alias("q"))
+    asked = rows.where("q").groupBy("id").agg(F.min("v").alias("v")).mapInArrow(ask, "id long, v binary, sure double")
+    asked = asked.select("id", "v", "sure", deal(n_q, "id").alias("q"), every(n_c).alias("c"))
 
-    def tile(block: pa.Table, queries: pa.Table) -> pa.Table:
-        parts: list[tuple[np.ndarray, ...]] = []
+    def meet(block: pa.Table, queries: pa.Table) -> pa.Table:
+        parts = [tuple(np.zeros(0, t) for t in (np.int64, np.int64, np.int64, float, float))]
         if block.num_rows and queries.num_rows:
             ids, keys = block["id"].to_numpy(), block["key"].to_numpy()
-            cells = np.frombuffer(b"".join(block["cells"].to_pylist()), dtype=np.uint8).reshape(-1, dim)
-            names, wanted = queries["id"].to_numpy(), matrix(queries["v"], dim)
-            for at in range(0, len(names), 128):
-                lower, upper = grid.bounds(wanted[at : at + 128], cells)
-                own = names[at : at + 128, None] == ids[None, :]
+            middle, half = grid.decode(block["cells"].to_pylist())
+            names, least = queries["id"].to_numpy(), queries["sure"].to_numpy()
+            wanted = np.frombuffer(b"".join(queries["v"].to_pylist()), dtype=np.float64).reshape(-1, dim)
+            step = max(1, min(128, (1 << 20) // len(ids)))
+            for at in range(0, len(names), step):
+                lower, upper = grid.bounds(wanted[at : at + step], middle, half)
+                own = names[at : at + step, None] == ids[None, :]
                 lower[own] = -np.inf
-                if lower.shape[1] > k:
-                    sure = np.partition(lower, lower.shape[1] - k, axis=1)[:, lower.shape[1] - k]
-                else:
-                    sure = np.full(len(lower), -np.inf)
+                sure = np.maximum(kth_of_each(lower, k), least[at : at + step])
                 q, c = np.nonzero((upper >= sure[:, None]) & ~own)
                 parts.append((names[at + q], ids[c], keys[c], lower[q, c], upper[q, c]))
-        columns = [np.concatenate(x) for x in zip(*parts, strict=True)] if parts else [np.zeros(0, t) for t in (np.int64, np.int64, np.int64, float, float)]
-        return pa.table({n: pa.array(c) for n, c in zip(("query_id", "id", "key", "lower", "upper"), columns, strict=True)})
+        return pa.table({n: np.concatenate(x) for n, x in zip(("query_id", "id", "key", "lower", "upper"), zip(*parts, strict=True), strict=True)})
 
-    near = held.groupBy("c", "q").cogroup(asked.groupBy("c", "q")).applyInArrow(tile, "query_id long, id long, key long, lower double, upper double")
-    best = Window.partitionBy("query_id").orderBy(F.desc("lower"))
-    sure = near.withColumn("r", F.row_number().over(best)).where(F.col("r") <= k).groupBy("query_id").agg(F.min("lower").alias("sure"), F.count(F.lit(1)).alias("n"))
-    kept = near.join(sure, "query_id").where((F.col("n") < k) | (F.col("upper") >= F.col("sure")))
-    return kept.select("query_id", "id", "key", "upper")
+    near = held.groupBy("c", "q").cogroup(asked.groupBy("c", "q")).applyInArrow(tidy_pair(meet), "query_id long, id long, key long, lower double, upper double")
+    by_lower = Window.partitionBy("query_id").orderBy(F.desc("lower"))
+    whole = Window.partitionBy("query_id")
+    kept = near.withColumn("r", F.row_number().over(by_lower)).withColumn("sure", F.max(F.when(F.col("r") == k, F.col("lower"))).over(whole))
+    kept = kept.where(F.col("sure").isNull() | (F.col("upper") >= F.col("sure")))
+    by_upper = Window.partitionBy("query_id").orderBy(F.desc("upper"), "id", "key")
+    return kept.select("query_id", "id", "key", "upper", F.row_number().over(by_upper).alias("place"))
 
 
 def exact_top_k(
@@ -131,30 +157,50 @@ def exact_top_k(
     k: int,
     id_col: str = "vec_id",
     vec_col: str = "vector",
-    tile_vectors: int = 8_192,
-    tile_queries: int = 2_048,
+    tile_values: int = 1 << 21,
+    sample: int = 4_096,
+    first: int = 64,
 ) -> DataFrame:
     """(query_id, rank, vec_id, score): the k highest inner products of each query with all rows of other ids.
 
     ``vec_col`` holds integers; scores are exact up to 2**53. Rows whose id or vector is null, or whose vector
     holds a null, take no part. Vectors of unlike length count as padded with zeros. A query has one
     vector an id (the least, if rows differ); repeated vectors are candidates each. Ties go to the smaller id. Fewer
-    than k other rows give all of them; an empty table gives no rows. Only the named columns are read.
+    than k other rows give all of them; an empty table gives no rows. Only the named columns are read. ``sample`` rows with the least hashes
+    lay the cells and say what every result must reach; they never change it. Exact vectors are read for ``first`` candidates of each query,
+    then for eight times as many, then for all that are left, always only for those that can still be among the best.
     """
     rows = usable(vectors, is_query, id_col, vec_col)
-    wanted = candidates(rows, k, tile_vectors, tile_queries)
-    exact = rows.select("id", F.xxhash64("v").alias("key"), "v").groupBy("id", "key").agg(F.min("v").alias("v"))  # equal rows once: each is a candidate
+    near = cut(candidates(rows, k, tile_values, sample))
+    # Rows that are equal are candidates each.
+    exact = rows.select("id", F.xxhash64("v").alias("key"), "v").groupBy("id", "key").agg(F.min("v").alias("v"), F.count(F.lit(1)).alias("times"))
     asked = rows.where("q").groupBy("id").agg(F.min("v").alias("query")).withColumnRenamed("id", "query_id")
-    both = wanted.join(exact, ["id", "key"]).join(asked, "query_id")
-
-    def settle(found: pa.Table) -> pa.Table:
-        dim = max(max(found["v"].combine_chunks().value_lengths().to_pylist()), max(found["query"].combine_chunks().value_lengths().to_pylist()), 1)
-        query = matrix(found["query"].slice(0, 1), dim)[0]
-        ids, scores, _ = best_exact(query, found["id"].to_numpy(), found["upper"].to_numpy(), matrix(found["v"], dim), k)
-        n = len(ids)
-        return pa.table({"query_id": pa.array([found["query_id"][0].as_py()] * n, pa.int64()), "rank": pa.array(range(1, n + 1), pa.int32()), "vec_id": pa.array(ids), "score": pa.array(scores.astype(np.int64))})
 
-    return both.groupBy("query_id").applyInArrow(settle, "query_id long, rank int, vec_id long, score long")
+    def multiply(batches):
+        for batch in batches:
+            columns = [pa.chunked_array([batch.column(i)]) for i in (2, 3)]
+            dim = max([1, *(int(max(c.combine_chunks().value_lengths().to_pylist(), default=0)) for c in columns)])
+            scores = np.einsum("ij,ij->i", *(matrix(c, dim) for c in columns)).astype(np.int64)
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(scores)], names=["query_id", "id", "score"])
+
+    def read(part: DataFrame) -> DataFrame:
+        found = part.dropDuplicates(["query_id", "id", "key"]).join(exact, ["id", "key"])
+        both = found.withColumn("n", F.explode(F.sequence(F.lit(1), F.least("times", F.lit(k))))).join(asked, "query_id")
+        return both.select("query_id", "id", "v", "query").mapInArrow(multiply, "query_id long, id long, score long")
+
+    best = Window.partitionBy("query_id").orderBy(F.desc("score"), "id")
+    top = lambda found: found.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k)
+    done, at = top(read(near.where(F.col("place") <= max(first, k)))), max(first, k)
+    for most in (8 * at, None):
+        left = near.where(F.col("place") > at)
+        if left.isEmpty():
+            break
+        done = cut(done.select("query_id", "id", "score"))
+        least = done.groupBy("query_id").agg(F.count(F.lit(1)).alias("n"), F.min("score").alias("least"))
+        left = left.join(least, "query_id", "left").where(F.col("least").isNull() | (F.col("n") < k) | (F.col("upper") >= F.col("least")))
+        more = read((left if most is None else left.where(F.col("place") <= most)).select("query_id", "id", "key"))
+        done, at = top(done.unionAll(more)), most
+    return done.select("query_id", F.col("rank").cast("int").alias("rank"), F.col("id").alias("vec_id"), "score")
 
 
 def scaled_integers(embedding: Column, scale: float) -> Column:
