@@ -49,28 +49,29 @@ def intersection(a: Box, b: Box) -> Column:
     return F.when((w > 0) & (h > 0), w * h).otherwise(F.lit(0.0))
 
 
-def iou(a: Box, b: Box) -> Column:
-    """Intersection over union; 0 for boxes without area."""
-    shared = intersection(a, b)
+def iou(a: Box, b: Box, shared: Column | None = None) -> Column:
+    """Intersection over union; 0 for boxes without area. ``shared``: the intersection, where it is a column already; so in all that follow."""
+    shared = intersection(a, b) if shared is None else shared
     union = area(a) + area(b) - shared
     return F.when(union > 0, shared / union).otherwise(F.lit(0.0))
 
 
-def max_overlap(a: Box, b: Box) -> Column:
+def max_overlap(a: Box, b: Box, shared: Column | None = None) -> Column:
     """Intersection over the smaller area."""
     least = F.least(area(a), area(b))
-    return F.when(least > 0, intersection(a, b) / least).otherwise(F.lit(0.0))
+    return F.when(least > 0, (intersection(a, b) if shared is None else shared) / least).otherwise(F.lit(0.0))
 
 
-def share_inside(target: Box, container: Box) -> Column:
+def share_inside(target: Box, container: Box, shared: Column | None = None) -> Column:
     """Share of the target's area inside the container."""
-    return F.when(area(target) > 0, intersection(target, container) / area(target)).otherwise(F.lit(0.0))
+    shared = intersection(target, container) if shared is None else shared
+    return F.when(area(target) > 0, shared / area(target)).otherwise(F.lit(0.0))
 
 
-def covers(detection: Box, element: Box, least_iou=0.2, of_detection=0.5, of_element=0.25) -> Column:
+def covers(detection: Box, element: Box, least_iou=0.2, of_detection=0.5, of_element=0.25, shared: Column | None = None) -> Column:
     """Whether a detection and an element coincide: by IoU, or by covering enough of both."""
-    both = (share_inside(detection, element) >= of_detection) & (share_inside(element, detection) >= of_element)
-    return (iou(detection, element) >= least_iou) | both
+    both = (share_inside(detection, element, shared) >= of_detection) & (share_inside(element, detection, shared) >= of_element)
+    return (iou(detection, element, shared) >= least_iou) | both
 
 
 def rounded(b: Box, image_width: float | None = None, image_height: float | None = None) -> Box:

@@ -7,22 +7,20 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from hushpage.functions.elements import IDENTIFIER_STEMS, contains_any
-from hushpage.functions.text import js_trim, safe_identifier
+from hushpage.functions.text import safe_identifier
 
 
 def _usable(raw: Column) -> Column:
-    trimmed = F.nullif(js_trim(raw), F.lit(""))
-    return F.when(~contains_any(trimmed, IDENTIFIER_STEMS), F.nullif(safe_identifier(trimmed), F.lit("")))
+    return F.when(~contains_any(raw, IDENTIFIER_STEMS), F.nullif(safe_identifier(raw), F.lit("")))
 
 
 def candidate_id(kind: Column, dom_id: Column, name: Column, n: Column) -> Column:
-    """{type}_{id}, else {type}_name_{name}, else {type}_{n}; credential-like ids and names are passed over."""
-    by_id, by_name = _usable(dom_id), _usable(name)
-    return (
-        F.when(by_id.isNotNull(), F.concat(kind, F.lit("_"), by_id))
-        .when(by_name.isNotNull(), F.concat(kind, F.lit("_name_"), by_name))
-        .otherwise(F.concat(kind, F.lit("_"), n.cast("string")))
-    )
+    """{type}_{id}, else {type}_name_{name}, else {type}_{n}; credential-like ids and names are passed over.
+
+    Joined text is null where a part is, so each part stands here once: the generated code of this and what it is joined to must stay
+    below 64 KB.
+    """
+    return F.coalesce(F.concat(kind, F.lit("_"), _usable(dom_id)), F.concat(kind, F.lit("_name_"), _usable(name)), F.concat(kind, F.lit("_"), n.cast("string")))
 
 
 def _probe(rows: pd.DataFrame) -> pd.DataFrame:

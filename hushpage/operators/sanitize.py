@@ -43,7 +43,7 @@ def spatial_matches(elements: DataFrame, detections: DataFrame) -> DataFrame:
     held = elements.where(~F.coalesce(container, F.lit(False)) & is_valid_box(Box.of()))
     seen = detections.where(is_sensitive_type(F.col("type")) & is_valid_box(Box.of()))
     pairs = overlapping(held.select(*KEY, *BOX), seen.select("snapshot_id", *BOX))  # nothing coincides without sharing some area
-    return pairs.where(covers(Box.of("b."), Box.of("a."))).select(*[F.col(f"a.{c}") for c in KEY]).distinct()
+    return pairs.where(covers(Box.of("b."), Box.of("a."), shared=F.col("shared"))).select(*[F.col(f"a.{c}") for c in KEY]).distinct()
 
 
 def mark_sensitive(elements: DataFrame, detections: DataFrame) -> DataFrame:

@@ -45,18 +45,30 @@ def _in_cells(boxes: DataFrame, grid: DataFrame, name: str) -> DataFrame:
 
 
 def overlapping(a: DataFrame, b: DataFrame, also: Column | None = None, few: int = FEW) -> DataFrame:
-    """(a, b): structs of rows of a page whose boxes share some area. Both sides have snapshot_id and a box; invalid boxes meet nothing.
+    """(a, b, shared): structs of rows of a page whose boxes share some area, and that area. Both sides have snapshot_id and a box; invalid boxes meet nothing.
 
-    ``also`` is a further condition on the columns a and b, such as an order that keeps one of two pairs.
+    ``also`` is a further condition on the columns a and b, such as an order that keeps one of two pairs. ``few``: boxes up to which a page pairs
+    them directly, in its row. A first job counts the boxes of the largest page, so that pages of either kind cost nothing where there are none.
     """
+    same = a is b
     a, b = (side.where(F.col("snapshot_id").isNotNull() & is_valid_box(Box.of())) for side in (a, b))
-    grid = grid_of_pages(a.select("snapshot_id", *BOX).unionAll(b.select("snapshot_id", *BOX)))
-    meets = intersection(Box.of("a."), Box.of("b.")) > 0
-    meets = meets if also is None else meets & also
-    small = grid.where(F.col("boxes") <= few).select("snapshot_id")
-    packed = [side.join(small, "snapshot_id", "left_semi").select("snapshot_id", F.struct(*[F.col(c) for c in side.columns]).alias(name)) for side, name in ((a, "a"), (b, "b"))]
-    direct = packed[0].join(packed[1], "snapshot_id").where(meets).select("a", "b")
+    both = a if same else a.select("snapshot_id", *BOX).unionAll(b.select("snapshot_id", *BOX))
+    grid = grid_of_pages(both)
+    most = both.groupBy("snapshot_id").count().agg(F.max("count")).first()[0] or 0
+    area = intersection(Box.of("a."), Box.of("b."))
+    meet = lambda pairs: (pairs if also is None else pairs.where(also)).select("a", "b", area.alias("shared")).where("shared > 0")
+    if most <= few:
+        return meet(_in_rows(a, None if same else b))
     large = grid.where(F.col("boxes") > few)
     left, right = _in_cells(a, large, "a"), _in_cells(b, large, "b").select("snapshot_id", "cx", "cy", "b")
     corner = (_cell(F.greatest(F.col("a.x"), F.col("b.x")), "left", "cell_width") == F.col("cx")) & (_cell(F.greatest(F.col("a.y"), F.col("b.y")), "top", "cell_height") == F.col("cy"))
-    return direct.unionAll(left.join(right, ["snapshot_id", "cx", "cy"]).where(meets & corner).select("a", "b"))
+    gridded = meet(left.join(right, ["snapshot_id", "cx", "cy"]).where(corner))
+    small = grid.where(F.col("boxes") <= few).select("snapshot_id")
+    return meet(_in_rows(*(side.join(small, "snapshot_id", "left_semi") for side in (a, b)))).unionAll(gridded)
+
+
+def _in_rows(a: DataFrame, b: DataFrame | None) -> DataFrame:
+    """(a, b): all pairs of rows of each page, which is one row for the time being. Without ``b`` both are of one side."""
+    held = lambda side, name: side.groupBy("snapshot_id").agg(F.collect_list(F.struct(*[F.col(c) for c in side.columns])).alias(name))
+    pages = held(a, "all_a").withColumn("all_b", F.col("all_a")) if b is None else held(a, "all_a").join(held(b, "all_b"), "snapshot_id")
+    return pages.select("all_b", F.explode("all_a").alias("a")).select("a", F.explode("all_b").alias("b"))

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from hushpage.operators import detect, guard, redact
 from hushpage.operators.extract import elements_of_scan
+from hushpage.operators.hold import hold
 from hushpage.plans.text_queries import sql_email, sql_normalize, sql_phone
 from hushpage.sources.pages import data_url_bytes, scan_html
 from hushpage.sources.png import decode_screenshots, encode_screenshots
@@ -28,7 +29,7 @@ def page_privacy(spark, sf_dir):
     with a credential blocks it.
     """
     pages = table(spark, sf_dir, "pages").select(F.col("page_id").alias("snapshot_id"), "url", F.lit("").alias("title"), F.lit(True).alias("has_elements"))
-    elements = _elements(spark, sf_dir)
+    elements = hold(_elements(spark, sf_dir))  # read by four detectors and by the guard; HTML is parsed once
     texts = elements.where("text IS NOT NULL").withColumn("confidence", F.lit(None).cast("double"))
     found = detect.detect_pii(texts, elements).unionByName(detect.dom_detections(elements).withColumn("group_no", F.lit(2)))
     found = detect.deduplicate(found).withColumn("text", F.lit(None).cast("string"))

@@ -47,11 +47,9 @@ def _pair_keys():
 
 
 def box_overlaps(spark, sf_dir):
-    a, b = G.Box.of("a."), G.Box.of("b.")
-    rows = _overlapping(spark, sf_dir).select(
-        *_pair_keys(), G.iou(a, b).alias("iou"), G.max_overlap(a, b).alias("overlap"), G.covers(a, b).alias("covers"), G.share_inside(a, b).alias("inside")
-    )
-    return rows.where("iou > 0")
+    a, b, shared = G.Box.of("a."), G.Box.of("b."), F.col("shared")  # the shared area is worked out once, which keeps the generated code small
+    measures = {"iou": G.iou(a, b, shared), "overlap": G.max_overlap(a, b, shared), "covers": G.covers(a, b, shared=shared), "inside": G.share_inside(a, b, shared)}
+    return _overlapping(spark, sf_dir).select(*_pair_keys(), *[m.alias(name) for name, m in measures.items()])
 
 
 def box_unions(spark, sf_dir):
