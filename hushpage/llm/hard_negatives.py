@@ -147,7 +147,7 @@ def mine_hard_negatives(
     rows of other ids and its label; for each, the ``negatives`` highest rows of other labels follow whose score lies between both percentages of
     the positive's. Ties go to smaller ids. Where rows share an id, an anchor has the least (label, vector), each row is a
     candidate, and equal (positive_id, positive_score) of an anchor are one pair. A pair without such rows, and an empty table, give none.
-    Pivots come from ``sample`` rows with the least hashes; they change what is passed over, never the result.
+    Pivots come from about ``sample`` rows drawn at random; they change what is passed over, never the result.
     """
     rows = usable(vectors.withColumn("__label", label.cast("long")), F.coalesce(is_anchor, F.lit(False)), id_col, vec_col, "__label").where("label IS NOT NULL")
     square = F.aggregate("v", F.lit(0).cast("long"), lambda total, x: total + x * x)
@@ -156,7 +156,7 @@ def mine_hard_negatives(
     dim, most, edge = max(dim or 0, 1), float(most or 0), edge or 0
     kind = "<i2" if edge < 1 << 15 else "<i4" if edge < 1 << 31 else "<i8"
     exact = np.float32 if most < 1 << 24 else np.float64  # no partial sum is greater than the greatest square
-    seen = rows.select("v", F.xxhash64("id", "v").alias("h")).orderBy("h").limit(sample).select("v").toArrow()
+    seen = rows.select("v").sample(min(1.0, sample / max(n, 1)), seed=1).limit(2 * sample).toArrow()  # some rows more or less, never a copy's all
     table = PivotTable(far_apart(matrix(seen["v"], dim), pivots) if len(seen) else np.zeros((1, dim)), most)
 
     def pack(anchor: bool):

@@ -96,7 +96,8 @@ def candidates(rows: DataFrame, k: int, tile_values: int, sample: int) -> DataFr
     dim = max(dim or 1, 1)
     tile = max(1, tile_values // dim)
     n_c, n_q = max(-(-n // tile), min(partitions(rows.sparkSession), -(-n // 1_024)), 1), max(-(-n_queries // tile), 1)
-    seen = rows.select("id", "v", F.xxhash64("id", "v").alias("h")).orderBy("h").limit(sample).select("id", "v").toArrow()
+    sample = min(sample, max(tile_values // (2 * dim), 1))
+    seen = rows.select("id", "v").sample(min(1.0, sample / max(n, 1)), seed=1).limit(2 * sample).toArrow()  # some rows more or less, never a copy's all
     held_ids, held_vectors = seen["id"].to_numpy(), matrix(seen["v"], dim) if len(seen) else np.zeros((1, dim))
     grid = Grid(held_vectors)
 
@@ -158,7 +159,7 @@ def exact_top_k(
     id_col: str = "vec_id",
     vec_col: str = "vector",
     tile_values: int = 1 << 21,
-    sample: int = 4_096,
+    sample: int = 16_384,
     first: int = 64,
 ) -> DataFrame:
     """(query_id, rank, vec_id, score): the k highest inner products of each query with all rows of other ids.
@@ -166,7 +167,7 @@ def exact_top_k(
     ``vec_col`` holds integers; scores are exact up to 2**53. Rows whose id or vector is null, or whose vector
     holds a null, take no part. Vectors of unlike length count as padded with zeros. A query has one
     vector an id (the least, if rows differ); repeated vectors are candidates each. Ties go to the smaller id. Fewer
-    than k other rows give all of them; an empty table gives no rows. Only the named columns are read. ``sample`` rows with the least hashes
+    than k other rows give all of them; an empty table gives no rows. Only the named columns are read. About ``sample`` rows, drawn at random,
     lay the cells and say what every result must reach; they never change it. Exact vectors are read for ``first`` candidates of each query,
     then for eight times as many, then for all that are left, always only for those that can still be among the best.
     """
