@@ -99,6 +99,9 @@ class RowDetector:
     one: Callable[[dict], Iterable[dict] | None]
 
     def __call__(self, elements: DataFrame) -> DataFrame:
+        return self.detect(elements)
+
+    def detect(self, elements: DataFrame) -> DataFrame:
         """Detections (COLUMNS) and errors: a row with ``error``, the class of what was raised, has no type."""
         given = [c for c in SEEN if c in elements.columns]
         rows = elements.select(*given)

@@ -8,7 +8,7 @@ from functools import reduce
 from pyspark.sql import functions as F
 
 from hushpage.functions import actions as A
-from hushpage.operators import detect, metrics, planning, requests
+from hushpage.operators import detect, metrics, planning, registry, requests
 from hushpage.operators.actions import simulate_actions
 from hushpage.plans.element_queries import DOM_DETECTIONS, EL, PASSWORD_DETECTIONS, low
 from hushpage.plans.text_queries import SPACE, sql_trim
@@ -64,6 +64,11 @@ def click_plans(spark, sf_dir):
     return _plans(spark, sf_dir).where(F.col("intent").isin("login", "signup", "label"))
 
 
+def registered_plans(spark, sf_dir):
+    """Scrolling as the planner that goes by the name of rules plans it."""
+    return registry.get_planner("rules")(views.tasks(spark, sf_dir), views.elements(spark, sf_dir)).where("intent = 'scroll'")
+
+
 def select_plans(spark, sf_dir):
     return _plans(spark, sf_dir).where("intent = 'select'")
 
@@ -206,7 +211,7 @@ def stage_counts(spark, sf_dir):
 
 _QUERIES = (
     client_valid, server_valid, contract_disagreements, planned_codes, dry_run, intents, model_intents, click_plans, select_plans, type_plans, vlm_plans,
-    plan_responses, closed_schema, browser_states, model_outputs, dispatched_messages, pii_prf, task_success, stage_counts,
+    registered_plans, plan_responses, closed_schema, browser_states, model_outputs, dispatched_messages, pii_prf, task_success, stage_counts,
 )
 QUERIES = {f.__name__: f for f in _QUERIES}
 
@@ -354,6 +359,7 @@ ORACLES = {
     "intents": f"SELECT task_id, intent, arg1, arg2 FROM ({_intents_sql(False)})",
     "model_intents": f"SELECT task_id, intent, arg1, arg2 FROM ({_intents_sql(True)})",
     "click_plans": f"SELECT * FROM ({_RULES}) WHERE intent IN ('login', 'signup', 'label')",
+    "registered_plans": f"SELECT * FROM ({_RULES}) WHERE intent = 'scroll'",
     "select_plans": f"SELECT * FROM ({_RULES}) WHERE intent = 'select'",
     "type_plans": f"SELECT * FROM ({_RULES}) WHERE intent = 'type'",
     "vlm_plans": f"SELECT *, CASE WHEN error IS NULL THEN CASE intent {_CONF} END END AS confidence FROM ({_MODEL})",

@@ -13,6 +13,7 @@ from hushpage.operators.ids import resolve_elements
 from hushpage.operators.observe import observe_tabs
 from hushpage.plans.text_queries import URLS, page_urls, sql_email, sql_normalize, sql_phone, sql_restricted, sql_trim
 from hushpage.sources import views
+from hushpage.sources.pages import SNAPSHOT_SCHEMA, element_rows
 
 KEY = ["snapshot_id", "ord"]
 R = f"({views.RAW_ELEMENTS}) AS r"
@@ -41,6 +42,17 @@ def extracted_elements(spark, sf_dir):
     )
 
 
+def json_snapshots(spark, sf_dir):
+    """Pages as JSON snapshots and read again: optional fields may be absent, order is kept."""
+    e = views.elements(spark, sf_dir)
+    names = {"id": "id", "type": "type", "tagName": "tag_name", "role": "role", "text": "text", "ariaLabel": "aria_label", "value": "value", "inputType": "input_type", "name": "name", "visible": "visible", "enabled": "enabled", "sensitive": "sensitive"}
+    element = F.struct("ord", *[F.col(c).alias(k) for k, c in names.items()], F.struct(*BOX).alias("bbox"))
+    pages = e.groupBy("snapshot_id").agg(F.array_sort(F.collect_list(element)).alias("elements"))
+    texts = pages.select(F.col("snapshot_id").alias("source"), F.to_json(F.struct("elements")).alias("body"))
+    read = texts.select("source", F.from_json("body", SNAPSHOT_SCHEMA).alias("page")).select("source", "page.*")
+    return element_rows(read).select(F.col("source").alias("snapshot_id"), "ord", "id", "tag_name", "text", "value", "has_value", *BOX, "visible", "sensitive")
+
+
 def sensitive_flags(spark, sf_dir):
     flag = E.is_sensitive_element(F.col("raw_type"), F.col("raw_name"), F.col("autocomplete"), F.col("dom_id"))
     return views.raw_elements(spark, sf_dir).select(*KEY, flag.alias("sensitive"))
@@ -139,7 +151,7 @@ def deduped_detections(spark, sf_dir):
 
 
 _QUERIES = (
-    element_types, extracted_elements, sensitive_flags, element_texts, visible_enabled, element_ids, resolved_ids,
+    element_types, extracted_elements, json_snapshots, sensitive_flags, element_texts, visible_enabled, element_ids, resolved_ids,
     observed_tabs, password_fields, dom_signals, dom_detections, text_detections, pii_detections, all_detections, isolated_detections, deduped_detections,
 )
 QUERIES = {f.__name__: f for f in _QUERIES}
@@ -259,6 +271,7 @@ ORACLES = {
         a AS (SELECT snapshot_id, ord AS ask, CASE WHEN ord % 2 = 0 THEN id ELSE 'x_' || dom_id END AS k FROM w)
         SELECT snapshot_id, ask, coalesce((SELECT min(ord) FROM w WHERE w.snapshot_id = a.snapshot_id AND w.id = a.k),
           (SELECT min(ord) FROM w WHERE w.snapshot_id = a.snapshot_id AND w.dom_id = CASE WHEN contains(a.k, '_') THEN substr(a.k, strpos(a.k, '_') + 1) END)) AS ord FROM a""",
+    "json_snapshots": f"SELECT snapshot_id, ord, id, tag_name, text, value, value IS NOT NULL AS has_value, x, y, width, height, visible, sensitive FROM {EL}",
     "observed_tabs": f"""
         WITH c AS (SELECT page_id, CASE WHEN page_id % 23 = 5 THEN 'UNKNOWN_ERROR' WHEN page_id % 17 = 0 THEN 'NO_ACTIVE_TAB' WHEN {sql_restricted("url")} THEN 'RESTRICTED_URL'
           WHEN page_id % 13 = 0 THEN 'CAPTURE_FAILED' WHEN page_id % 29 = 3 THEN 'CONTENT_SCRIPT_UNAVAILABLE' WHEN page_id % 19 = 0 OR page_id % 31 = 4 THEN 'DOM_EXTRACTION_FAILED' END AS code FROM ({URLS}))

@@ -10,6 +10,7 @@ from hushpage.operators.hold import hold
 from hushpage.plans.text_queries import sql_email, sql_normalize, sql_phone
 from hushpage.sources.pages import data_url_bytes, scan_html
 from hushpage.sources.png import decode_screenshots, encode_screenshots
+from hushpage.sources import views
 from hushpage.sources.views import table
 
 
@@ -48,21 +49,11 @@ def data_urls(spark, sf_dir):
     return table(spark, sf_dir, "part").select("p_partkey", F.sha2(data_url_bytes(url), 256).alias("sha256"))
 
 
-def _pictures(spark, sf_dir):
-    """A small picture a part, captured as a data URL, with two regions of which one crosses its edge."""
-    at, x = F.col("p_partkey"), lambda i: i.cast("long")
-    rows = table(spark, sf_dir, "part").select(at.alias("snapshot_id"), (4 + at % 5).cast("int").alias("width"), (3 + at % 4).cast("int").alias("height"))
-    place = F.sequence(F.lit(0), F.col("width") * F.col("height") * 4 - 1)
-    value = F.transform(place, lambda i: F.when(i % 4 == 3, F.lit(255)).otherwise((F.col("snapshot_id") * 7 + x(i) * 31 + x(i) * x(i) * 3) % 256))
-    data = F.unhex(F.array_join(F.transform(value, lambda v: F.lpad(F.hex(v), 2, "0")), ""))
-    box = lambda *b: F.struct(*[F.lit(float(v)).alias(k) for k, v in zip(("x", "y", "width", "height"), b, strict=True)])
-    return rows.select("snapshot_id", data.alias("data"), "width", "height"), F.array(box(1, 1, 2, 1), box(3.5, 1.5, 9, 9))
-
-
 def masked_screenshots(spark, sf_dir):
     """Captured pictures from data URLs to pixels, masked, and back: sizes, and the pixels of the data URL that comes out."""
-    pictures, regions = _pictures(spark, sf_dir)
-    shots = decode_screenshots(encode_screenshots(pictures)).withColumn("regions", regions)
+    box = lambda *b: F.struct(*[F.lit(float(v)).alias(k) for k, v in zip(("x", "y", "width", "height"), b, strict=True)])
+    regions = F.array(box(1, 1, 2, 1), box(3.5, 1.5, 9, 9))  # one crosses the picture's edge
+    shots = decode_screenshots(encode_screenshots(views.pictures(spark, sf_dir))).withColumn("regions", regions)
     masked = redact.redact_and_verify(shots).where("code IS NULL").join(shots.select("snapshot_id", "width", "height"), "snapshot_id")
     back = decode_screenshots(encode_screenshots(masked))
     return back.select("snapshot_id", "width", "height", F.sha2(F.hex("data"), 256).alias("sha256"))
@@ -82,11 +73,7 @@ _NAMED = f"SELECT *, type || '_' || row_number() OVER (PARTITION BY snapshot_id,
 ORACLES = {
     "data_urls": "SELECT p_partkey, CASE WHEN p_partkey % 4 > 1 THEN sha256(p_name) END AS sha256 FROM part",
     "masked_screenshots": """
-        WITH p AS (SELECT p_partkey AS snapshot_id, (4 + p_partkey % 5)::INT AS width, (3 + p_partkey % 4)::INT AS height FROM part),
-        v AS (SELECT *, unnest(range(width * height * 4)) AS i FROM p),
-        c AS (SELECT *, (i // 4) % width AS x, i // 4 // width AS y FROM v),
-        m AS (SELECT snapshot_id, width, height, i, CASE WHEN i % 4 = 3 THEN 255 WHEN (x BETWEEN 1 AND 2 AND y = 1) OR (x >= 3 AND y >= 1) THEN 0
-                ELSE (snapshot_id * 7 + i * 31 + i * i * 3) % 256 END AS b FROM c)
+        WITH m AS (SELECT snapshot_id, width, height, i, CASE WHEN c < 3 AND ((x BETWEEN 1 AND 2 AND y = 1) OR (x >= 3 AND y >= 1)) THEN 0 ELSE v END AS b FROM (""" + views.PIXELS + """))
         SELECT snapshot_id, width, height, sha256(string_agg(printf('%02X', b), '' ORDER BY i)) AS sha256 FROM m GROUP BY ALL""",
     "html_elements": f"""
         SELECT snapshot_id, ord, id, type, CASE WHEN type = 'text' THEN 'heading' END AS role, text, greatest(length(coalesce(text, '')), 1) * 8::DOUBLE AS width FROM ({_NAMED})""",

@@ -113,7 +113,7 @@ def sanitized_stripped(spark, sf_dir):
 def _pages(spark, sf_dir):
     at = F.col("page_id")
     secret = F.when(at % 9 == 2, F.concat("url", F.lit("?secret=1"))).otherwise(F.col("url"))
-    return views.table(spark, sf_dir, "pages").select(at.alias("snapshot_id"), secret.alias("url"), F.when(at % 14 == 5, "pwd=1").otherwise("Home").alias("title"), (at % 21 != 4).alias("has_elements"))
+    return views.table(spark, sf_dir, "pages").select(at.alias("snapshot_id"), secret.alias("url"), F.when(at % 14 == 5, "pwd=1").otherwise("Home").alias("title"), (at % 21 != 4).alias("has_elements"), (at % 25 != 7).alias("has_detections"))
 
 
 def _screens(spark, sf_dir):
@@ -192,8 +192,9 @@ def _broken_cleaner(rows, seen, options):
 def guard_failures(spark, sf_dir):
     """Parts of the guard that fail while the job runs: just the pages that they fail on are blocked."""
     pages = views.table(spark, sf_dir, "pages").select(F.col("page_id").alias("snapshot_id"), "url", F.lit("").alias("title"), F.lit(True).alias("has_elements"))
+    pages = pages.unionAll(pages.where("snapshot_id % 13 = 6"))  # some are given twice
     dot = F.concat(F.lpad(F.hex(F.col("snapshot_id") % 10), 2, "0"), F.lit("141EFF"))  # the first pixel tells a page's last digit
-    screens = pages.select("snapshot_id", F.unhex(F.concat(dot, F.repeat(F.lit("0A141EFF"), 1199))).alias("data"), F.lit(40).alias("width"), F.lit(30).alias("height"))
+    screens = pages.distinct().select("snapshot_id", F.unhex(F.concat(dot, F.repeat(F.lit("0A141EFF"), 1199))).alias("data"), F.lit(40).alias("width"), F.lit(30).alias("height"))
     found = views.detections(spark, sf_dir).where("width > 0").withColumn("sources", F.array("source"))
     done = guard.sanitize(pages, screens, views.elements(spark, sf_dir), found, mask=_broken_redactor, clean_up=sanitize.each_page(_broken_cleaner))
     return guard.verdicts(pages, done.violations)
@@ -324,6 +325,7 @@ _INPUT = f"""
 SELECT page_id AS snapshot_id, 0 AS phase, 0::BIGINT AS ord, CASE WHEN page_id % 23 = 1 THEN 'INVALID_SCREENSHOT' WHEN page_id % 15 = 3 THEN 'INVALID_SCREENSHOT_DIMENSIONS' ELSE 'CORRUPTED_SCREENSHOT_BUFFER' END AS code
 FROM pages WHERE page_id % 23 = 1 OR page_id % 15 = 3 OR page_id % 12 = 6
 UNION ALL SELECT page_id, 1, 0, 'INVALID_DOM_SNAPSHOT' FROM pages WHERE page_id % 21 = 4
+UNION ALL SELECT page_id, 2, -1, 'INVALID_DETECTIONS' FROM pages WHERE page_id % 25 = 7
 UNION ALL SELECT snapshot_id, 2, ord, 'INVALID_DETECTION_GEOMETRY' FROM {DET} AS d WHERE NOT ({_VALID.format("d")})
 UNION ALL SELECT snapshot_id, 3, 0, 'LEAKED_METADATA' FROM ({_PAGES})
   WHERE regexp_matches(url, '(password|pwd|secret|api_key|token)=[^&]+', 'i') OR regexp_matches(title, '(password|pwd|secret)=', 'i')
@@ -384,7 +386,7 @@ ORACLES = {
         LEFT JOIN (SELECT snapshot_id, arg_min(code, phase * 1000000 + ord) AS code FROM ({_ALL}) GROUP BY snapshot_id) AS v ON v.snapshot_id = p.page_id""",
     "guard_failures": f"""
         SELECT snapshot_id, code IS NULL AS passed, code FROM (
-          SELECT p.page_id AS snapshot_id, CASE WHEN coalesce(regexp_matches(url, '(password|pwd|secret|api_key|token)=[^&]+', 'i'), FALSE) THEN 'LEAKED_METADATA'
+          SELECT p.page_id AS snapshot_id, CASE WHEN p.page_id % 13 = 6 THEN 'PRIVACY_GUARD_VERIFICATION_FAILURE' WHEN coalesce(regexp_matches(url, '(password|pwd|secret|api_key|token)=[^&]+', 'i'), FALSE) THEN 'LEAKED_METADATA'
             WHEN p.page_id % 10 = 3 THEN 'REDACTION_EXECUTION_FAILURE' WHEN p.page_id % 11 = 2 AND n > 0 THEN 'DOM_SANITIZATION_EXECUTION_FAILURE'
             WHEN p.page_id % 10 IN (5, 7) THEN 'SCREENSHOT_VERIFICATION_FAILURE' WHEN p.page_id % 11 IN (4, 6) AND n > 0 THEN 'DOM_VERIFICATION_FAILURE' END AS code
           FROM pages AS p LEFT JOIN (SELECT snapshot_id, count(*) AS n FROM {EL} GROUP BY 1) AS e ON e.snapshot_id = p.page_id)""",

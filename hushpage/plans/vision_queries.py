@@ -109,7 +109,30 @@ def mask_verified(spark, sf_dir):
     return redact.verify_masks(both)
 
 
-_QUERIES = (det_dims, rec_dims, heat_components, text_regions, ctc_decode, ocr_scores, face_candidates, nms_kept, redaction_area, redaction_precision, masked_images, mask_verified, redacted_verified)
+def _sums(spark, sf_dir, one, digits=0):
+    rows = vision.pixel_sums(views.pictures(spark, sf_dir).withColumnRenamed("snapshot_id", "image_id"), one)
+    return rows.select("image_id", F.array_join("shape", "x").alias("shape"), F.round("total", digits).alias("total"), F.round("weighted", digits).alias("weighted"))
+
+
+def resized_pictures(spark, sf_dir):
+    return _sums(spark, sf_dir, lambda image: vision.resize(image, 3, 2))
+
+
+def picture_planes(spark, sf_dir):
+    """Planes as the detection model takes them."""
+    return _sums(spark, sf_dir, vision.planes, 2)
+
+
+def picture_crops(spark, sf_dir):
+    return _sums(spark, sf_dir, lambda image: vision.crop(image, 0.5, 1.2, 2.0, 1.5))
+
+
+def recognition_inputs(spark, sf_dir):
+    """A crop of each picture as the recognition model takes it, four lines high."""
+    return _sums(spark, sf_dir, lambda image: vision.recognition_input(image, 0.5, 1.2, 2.0, 1.5, target=4), 2)
+
+
+_QUERIES = (resized_pictures, picture_planes, picture_crops, recognition_inputs, det_dims, rec_dims, heat_components, text_regions, ctc_decode, ocr_scores, face_candidates, nms_kept, redaction_area, redaction_precision, masked_images, mask_verified, redacted_verified)
 QUERIES = {f.__name__: f for f in _QUERIES}
 
 _WH = "SELECT p_partkey, (p_size * 40 + 7)::DOUBLE AS w, (p_partkey % 37 * 50 + 11)::DOUBLE AS h FROM part"
@@ -153,7 +176,34 @@ def _pixels(where: str) -> str:
       range(0, 40) AS t(py) WHERE py >= y0 AND py < y1"""
 
 
+
+
+def _sums_sql(values: str, shape: str, digits: int = 0) -> str:
+    """SQL of _sums over values (image_id, pos, v)."""
+    return f"SELECT image_id, {shape} AS shape, round(sum(v::DOUBLE), {digits}) AS total, round(sum(v::DOUBLE * (1 + pos % 97)), {digits}) AS weighted FROM ({values}) GROUP BY ALL"
+
+
+def _resized_sql(pixels: str, across: str, down: str, width: int, height: int, channels: int) -> str:
+    """SQL of resizing pixels (image_id, x, y, c, v) of an image of across by down; pos counts pixels, then channels."""
+    return f"""
+    SELECT o.image_id, o.c, o.ox, o.oy, floor((a.v * (1 - wx) + b.v * wx) * (1 - wy) + (d.v * (1 - wx) + e.v * wx) * wy + 0.5)::BIGINT & 255 AS v
+    FROM (SELECT *, least(w - 1, x0 + 1) AS x1, least(h - 1, y0 + 1) AS y1, ax - x0 AS wx, ay - y0 AS wy FROM (
+            SELECT *, greatest(0, floor(ax))::INT AS x0, greatest(0, floor(ay))::INT AS y0 FROM (
+              SELECT image_id, c, w, h, ox, oy, (ox + 0.5::DOUBLE) * (w / {width}::DOUBLE) - 0.5::DOUBLE AS ax, (oy + 0.5::DOUBLE) * (h / {height}::DOUBLE) - 0.5::DOUBLE AS ay
+              FROM (SELECT DISTINCT image_id, {across} AS w, {down} AS h FROM ({pixels})), range({channels}) AS k(c), range({width}) AS p(ox), range({height}) AS q(oy)))) AS o
+    JOIN ({pixels}) AS a ON a.image_id = o.image_id AND a.c = o.c AND a.x = x0 AND a.y = y0 JOIN ({pixels}) AS b ON b.image_id = o.image_id AND b.c = o.c AND b.x = x1 AND b.y = y0
+    JOIN ({pixels}) AS d ON d.image_id = o.image_id AND d.c = o.c AND d.x = x0 AND d.y = y1 JOIN ({pixels}) AS e ON e.image_id = o.image_id AND e.c = o.c AND e.x = x1 AND e.y = y1"""
+
+
+_PIXELS = f"SELECT snapshot_id AS image_id, width, height, x, y, c, v::DOUBLE AS v FROM ({views.PIXELS})"
+_CROP = f"SELECT image_id, x, y - 1 AS y, c, v FROM ({_PIXELS}) WHERE x <= 2 AND y BETWEEN 1 AND 2"
+_MEANS = ", ".join(f"({m}::DOUBLE)" for m in vision.MEAN), ", ".join(f"({d}::DOUBLE)" for d in vision.DEVIATION)
+
 ORACLES = {
+    "resized_pictures": _sums_sql(f"SELECT image_id, (oy * 3 + ox) * 4 + c AS pos, v FROM ({_resized_sql(_PIXELS, 'width', 'height', 3, 2, 4)})", "'2x3x4'"),
+    "picture_planes": _sums_sql(f"SELECT image_id, width, height, (c * height + y) * width + x AS pos, (v / 255 - [{_MEANS[0]}][c + 1]) / [{_MEANS[1]}][c + 1] AS v FROM ({_PIXELS}) WHERE c < 3", "'3x' || any_value(height) || 'x' || any_value(width)", 2),
+    "picture_crops": _sums_sql(f"SELECT image_id, (y * 3 + x) * 4 + c AS pos, v FROM ({_CROP})", "'2x3x4'"),
+    "recognition_inputs": _sums_sql(f"SELECT image_id, (c * 4 + oy) * 16 + ox AS pos, (v / 255::DOUBLE - 0.5) / 0.5 AS v FROM ({_resized_sql(_CROP, '3', '2', 16, 4, 3)})", "'3x4x16'", 2),
     "redaction_precision": f"""
         WITH m AS ({_pixels("confidence >= 0.7 AND type <> 'ui'")}), t AS ({_pixels(f"type IN {SENS}")}),
         c AS (SELECT coalesce(m.snapshot_id, t.snapshot_id) AS snapshot_id, count(m.px) AS masked, count(t.px) AS due, count(*) FILTER (WHERE m.px IS NOT NULL AND t.px IS NOT NULL) AS both_

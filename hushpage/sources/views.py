@@ -7,6 +7,7 @@ boxes over ``lineitem``: each attribute is picked from a short list by the row's
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -128,6 +129,23 @@ FROM events
 """
 
 
+#: SQL of pictures over ``part``, a row a byte: RGBA of a few pixels each.
+PIXELS = """
+SELECT snapshot_id, width, height, i, i % 4 AS c, (i // 4) % width AS x, i // 4 // width AS y, CASE WHEN i % 4 = 3 THEN 255 ELSE (snapshot_id * 7 + i * 31 + i * i * 3) % 256 END AS v
+FROM (SELECT p_partkey AS snapshot_id, (4 + p_partkey % 5)::INT AS width, (3 + p_partkey % 4)::INT AS height, unnest(range((4 + p_partkey % 5) * (3 + p_partkey % 4) * 4)) AS i FROM part)
+"""
+
+
+def pictures(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(snapshot_id, data, width, height): the pictures of PIXELS as RGBA buffers."""
+    at, x = F.col("p_partkey"), lambda i: i.cast("long")
+    rows = table(spark, sf_dir, "part").select(at.alias("snapshot_id"), (4 + at % 5).cast("int").alias("width"), (3 + at % 4).cast("int").alias("height"))
+    place = F.sequence(F.lit(0), F.col("width") * F.col("height") * 4 - 1)
+    value = F.transform(place, lambda i: F.when(i % 4 == 3, F.lit(255)).otherwise((F.col("snapshot_id") * 7 + x(i) * 31 + x(i) * x(i) * 3) % 256))
+    data = F.unhex(F.array_join(F.transform(value, lambda v: F.lpad(F.hex(v), 2, "0")), ""))
+    return rows.select("snapshot_id", data.alias("data"), "width", "height")
+
+
 def view(spark: SparkSession, sf_dir: str, sql: str, source: str) -> DataFrame:
     """Runs a view's SQL with its source table bound, without touching the session's catalog."""
     for case, array in _AS_ARRAY.items():
