@@ -307,7 +307,7 @@ def test_vector_search(spark):
     vectors = [(i, [r.randrange(-60, 60) for _ in range(8)]) for i in range(300)]
     vectors += [(300 + i, [1] * 8) for i in range(40)] + [(900, None), (901, [None] * 8), (None, [1] * 8), (902, [5, 5])]
     df = spark.createDataFrame([(i, v, "c") for i, v in vectors], "vec_id long, vector array<long>, q string")
-    got = exact_top_k(df, F.col("vec_id") % 20 == 0, k=20, tile_vectors=64, tile_queries=5).collect()
+    got = exact_top_k(df, F.col("vec_id") % 20 == 0, k=20, tile_values=64 * 8).collect()
     good = [(i, v) for i, v in vectors if i is not None and v is not None and None not in v]
     want = []
     for q, v in good:
