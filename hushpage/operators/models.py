@@ -6,11 +6,12 @@ A model is given as a list of loaders, tried in order once a worker; the first t
 
 from __future__ import annotations
 
-import uuid
+import hashlib
 from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark import cloudpickle
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -31,12 +32,21 @@ def load_first(loaders: list[Loader]) -> Model:
     raise error
 
 
+#: Models that a worker keeps; the one that was loaded first goes.
+MOST_LOADED = 4
 _loaded: dict[str, Model] = {}
 
 
+def _key(loaders: list[Loader]) -> str:
+    """Names loaders by what they are, so that every call with the same ones finds the model that it left in a worker."""
+    return hashlib.sha256(cloudpickle.dumps(loaders)).hexdigest()
+
+
 def _model(key: str, loaders: list[Loader]) -> Model:
     """The model of these loaders, loaded once a worker and kept across its tasks."""
     if key not in _loaded:
+        while len(_loaded) >= MOST_LOADED:
+            del _loaded[next(iter(_loaded))]
         _loaded[key] = load_first(loaders)
     return _loaded[key]
 
@@ -44,7 +54,7 @@ def _model(key: str, loaders: list[Loader]) -> Model:
 def _map_images(images: DataFrame, extra: tuple[str, ...], loaders: list[Loader], one: Callable, names: list[str], kinds: list[pa.DataType], ddl: str) -> DataFrame:
     """Runs one(model, image, *extra) for each row with a sound buffer; each gives a list of output rows."""
 
-    key = uuid.uuid4().hex  # names this list of loaders in the workers
+    key = _key(loaders)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

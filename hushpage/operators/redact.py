@@ -10,6 +10,8 @@ from pyspark.sql import DataFrame
 
 _BLACK = np.array([0, 0, 0, 255], dtype=np.uint8)
 #: Images with their regions: snapshot_id, data, width, height, regions (x, y, width, height).
+#: Bytes of pixels that are worked on and sent on together.
+BATCH_BYTES = 1 << 26
 _FIELDS = ("snapshot_id", "data", "width", "height", "regions")
 
 
@@ -31,12 +33,27 @@ def _pixels(data: bytes | None, width: int | None, height: int | None) -> np.nda
     return np.frombuffer(data, dtype=np.uint8).reshape(height, width, 4)
 
 
+def _groups(batch: pa.RecordBatch) -> Iterator[slice]:
+    """Runs of rows whose buffers have at most BATCH_BYTES together, or one row."""
+    first = total = 0
+    for i in range(batch.num_rows):
+        size = sum(len(c[i].as_buffer()) for c in batch.columns if pa.types.is_binary(c.type) and c[i].is_valid)
+        if total and total + size > BATCH_BYTES:
+            yield slice(first, i)
+            first, total = i, 0
+        total += size
+    if batch.num_rows:
+        yield slice(first, batch.num_rows)
+
+
 def _map(images: DataFrame, fields: tuple[str, ...], one: Callable, out: list[tuple[str, str, pa.DataType]]) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            rows = [one(*r) for r in zip(*(batch.column(i).to_pylist() for i in range(1, len(fields))), strict=True)]
-            arrays = [pa.array([r[i] for r in rows], kind) for i, (_, _, kind) in enumerate(out)]
-            yield pa.RecordBatch.from_arrays([batch.column(0), *arrays], names=["snapshot_id", *(n for n, _, _ in out)])
+            for at in _groups(batch):
+                part = batch.slice(at.start, at.stop - at.start)
+                rows = [one(*r) for r in zip(*(part.column(i).to_pylist() for i in range(1, len(fields))), strict=True)]
+                arrays = [pa.array([r[i] for r in rows], kind) for i, (_, _, kind) in enumerate(out)]
+                yield pa.RecordBatch.from_arrays([part.column(0), *arrays], names=["snapshot_id", *(n for n, _, _ in out)])
 
     kind = images.schema["snapshot_id"].dataType.simpleString()
     return images.select(*fields).mapInArrow(run, f"snapshot_id {kind}, " + ", ".join(f"{n} {t}" for n, t, _ in out))

@@ -1,6 +1,7 @@
 """Pixel arithmetic, masks, and the recognition pipelines with toy models."""
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import functions as F
 
 from hushpage.operators import models, redact, vision
@@ -64,6 +65,23 @@ def faces():
     return lambda planes: (boxes, scores)
 
 
+def test_a_worker_keeps_few_models_and_finds_them_again():
+    assert models._key([broken, detector]) == models._key([broken, detector]) != models._key([detector])
+    models._loaded.clear()
+    for i in range(9):
+        assert models._model(str(i), [broken, lambda i=i: i]) == i
+    assert list(models._loaded) == ["5", "6", "7", "8"] and models._model("6", [broken]) == 6
+    models._loaded.clear()
+
+
+def test_buffers_go_in_bounded_groups(monkeypatch):
+    monkeypatch.setattr(redact, "BATCH_BYTES", 100)
+    sizes = [40, 50, 20, 300, None, 10, 90]
+    batch = pa.RecordBatch.from_arrays([pa.array(range(len(sizes))), pa.array([None if n is None else bytes(n) for n in sizes], pa.binary())], names=["i", "data"])
+    assert [(g.start, g.stop) for g in redact._groups(batch)] == [(0, 2), (2, 3), (3, 4), (4, 7)]
+    assert list(redact._groups(batch.slice(0, 0))) == []
+
+
 def test_recognition_with_toy_models(spark):
     got = models.recognise_text(images(spark), [broken, detector], [recogniser], ["", "a", "b", "c", " "]).collect()
     assert sorted(r.image_id for r in got) == [0, 2] and {r.text for r in got} == {"ab c"} and {r.sources[0] for r in got} == {"ocr"}
