@@ -119,7 +119,7 @@ def resized_pictures(spark, sf_dir):
 
 
 def picture_planes(spark, sf_dir):
-    """Planes as the detection model takes them."""
+    """Planes as the detection model takes them, in 32-bit numbers."""
     return _sums(spark, sf_dir, vision.planes, 2)
 
 
@@ -201,9 +201,9 @@ _MEANS = ", ".join(f"({m}::DOUBLE)" for m in vision.MEAN), ", ".join(f"({d}::DOU
 
 ORACLES = {
     "resized_pictures": _sums_sql(f"SELECT image_id, (oy * 3 + ox) * 4 + c AS pos, v FROM ({_resized_sql(_PIXELS, 'width', 'height', 3, 2, 4)})", "'2x3x4'"),
-    "picture_planes": _sums_sql(f"SELECT image_id, width, height, (c * height + y) * width + x AS pos, (v / 255 - [{_MEANS[0]}][c + 1]) / [{_MEANS[1]}][c + 1] AS v FROM ({_PIXELS}) WHERE c < 3", "'3x' || any_value(height) || 'x' || any_value(width)", 2),
+    "picture_planes": _sums_sql(f"SELECT image_id, width, height, (c * height + y) * width + x AS pos, ((v / 255 - [{_MEANS[0]}][c + 1]) / [{_MEANS[1]}][c + 1])::FLOAT AS v FROM ({_PIXELS}) WHERE c < 3", "'3x' || any_value(height) || 'x' || any_value(width)", 2),
     "picture_crops": _sums_sql(f"SELECT image_id, (y * 3 + x) * 4 + c AS pos, v FROM ({_CROP})", "'2x3x4'"),
-    "recognition_inputs": _sums_sql(f"SELECT image_id, (c * 4 + oy) * 16 + ox AS pos, (v / 255::DOUBLE - 0.5) / 0.5 AS v FROM ({_resized_sql(_CROP, '3', '2', 16, 4, 3)})", "'3x4x16'", 2),
+    "recognition_inputs": _sums_sql(f"SELECT image_id, (c * 4 + oy) * 16 + ox AS pos, ((v / 255::DOUBLE - 0.5) / 0.5)::FLOAT AS v FROM ({_resized_sql(_CROP, '3', '2', 16, 4, 3)})", "'3x4x16'", 2),
     "redaction_precision": f"""
         WITH m AS ({_pixels("confidence >= 0.7 AND type <> 'ui'")}), t AS ({_pixels(f"type IN {SENS}")}),
         c AS (SELECT coalesce(m.snapshot_id, t.snapshot_id) AS snapshot_id, count(m.px) AS masked, count(t.px) AS due, count(*) FILTER (WHERE m.px IS NOT NULL AND t.px IS NOT NULL) AS both_
