@@ -59,11 +59,11 @@ def data_url_bytes(url: Column) -> Column:
 _FIELDS = ("tag_name", "role", "raw_type", "dom_id", "raw_name", "autocomplete", "raw_aria", "raw_placeholder", "alt", "content")
 
 
-def scan_html(pages: DataFrame, id_col: str = "page_id", html_col: str = "html") -> DataFrame:
+def scan_html(pages: DataFrame, id_col: str = "page_id", html_col: str = "html", strict: bool = False) -> DataFrame:
     """Candidate elements of raw HTML, in document order. Without layout there are no boxes; null pages have none.
 
     ``hidden`` is the element's own attribute; ``display``, ``visibility`` and ``opacity`` are those that come of its ancestors, too.
-    ``paint`` is its place in paint order, null where no pointer can hit it.
+    ``paint`` is its place in paint order, null where no pointer can hit it. ``strict``: only character references with a semicolon are read.
     """
     names = [*_FIELDS, "has_href", "hidden", "disabled", "aria_disabled", "fieldset_disabled", "in_first_legend", "display", "visibility", "opacity", "readonly", "contenteditable", "paint"]
     kinds = [pa.string()] * 10 + [pa.bool_()] * 3 + [pa.string()] + [pa.bool_()] * 2 + [pa.string(), pa.string(), pa.float64(), pa.bool_(), pa.string(), pa.int32()]
@@ -73,7 +73,7 @@ def scan_html(pages: DataFrame, id_col: str = "page_id", html_col: str = "html")
         for batch in batches:
             owner, order, rows = [], [], []
             for i, html in enumerate(batch.column(1).to_pylist()):
-                found = scan(html)
+                found = scan(html, strict)
                 owner += [i] * len(found)
                 order += range(len(found))
                 rows += found

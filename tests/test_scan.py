@@ -3,6 +3,7 @@
 import json
 import time
 
+import duckdb
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
@@ -13,6 +14,7 @@ from hushpage.operators.ids import element_ids
 from hushpage.operators.observe import observe_tabs
 from hushpage.operators.spatial import overlapping
 from hushpage.operators.vision import _label
+from hushpage.plans import html_queries
 from hushpage.sources.html_scan import scan, style_of
 from hushpage.sources.pages import scan_html
 
@@ -171,3 +173,19 @@ def test_observation_codes(spark):
     got = observe_tabs(spark.createDataFrame(rows, state)).collect()
     assert [r.code for r in got] == [None, "UNKNOWN_ERROR", "NO_ACTIVE_TAB", "RESTRICTED_URL", "CAPTURE_FAILED", "CONTENT_SCRIPT_UNAVAILABLE", "DOM_EXTRACTION_FAILED", "RESTRICTED_URL", "UNKNOWN_ERROR"]
     assert (got[0].width, got[0].height, got[0].ratio) == (7.0, 6.0, 1.0) and got[1].width is None
+
+
+def test_strict_scan_leaves_references_without_a_semicolon(spark):
+    html = "<h1>a &amp;&lt; b &amp</h1><h1>&#65;&#65 &am</h1><a href='?a=1&amp;b=2'>x &lt</a>"
+    assert [r[9] for r in scan(html)] == ["a &< b &", "AA &am", "x <"]
+    assert [r[9] for r in scan(html, strict=True)] == ["a &< b &amp", "A&#65 &am", "x &lt"]
+
+
+def test_html_elements_of_cut_titles_equal_the_sql(spark, tmp_path):
+    rows = [(1, "https://x.example", "<h1>one &amp;&amp</h1><a href=\"/a\">two &lt;&lt</a>"), (2, "https://x.example", "<h1>three &quot;&am</h1>")]
+    spark.createDataFrame(rows, "page_id long, url string, html string").write.parquet(f"{tmp_path}/pages.parquet")
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW pages AS SELECT * FROM read_parquet('{tmp_path}/pages.parquet/*.parquet')")
+    want = con.execute(f"SELECT snapshot_id, ord, text, width FROM ({html_queries.ORACLES['html_elements']}) ORDER BY 1, 2").fetchall()
+    got = html_queries.html_elements(spark, str(tmp_path)).select("snapshot_id", "ord", "text", "width").orderBy("snapshot_id", "ord").collect()
+    assert [tuple(r) for r in got] == want and len(want) == 3
