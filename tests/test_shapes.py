@@ -19,3 +19,8 @@ def test_planning_shuffles_tasks_and_elements_once_each(spark, name):
     finally:
         spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
     assert plan.count("Exchange hashpartitioning") <= 2
+
+
+def test_actions_are_parsed_at_most_three_times_a_row(spark):
+    plan = plan_of(action_queries.contract_disagreements(spark, SF))
+    assert plan.count("parse_json") + plan.count("parseJson") <= 3
