@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame
 _BLACK = np.array([0, 0, 0, 255], dtype=np.uint8)
 #: Images with their regions: snapshot_id, data, width, height, regions (x, y, width, height).
 #: Bytes of pixels that are worked on and sent on together.
-BATCH_BYTES = 1 << 26
+BATCH_BYTES = 1 << 22
 _FIELDS = ("snapshot_id", "data", "width", "height", "regions")
 
 
@@ -46,21 +46,30 @@ def _groups(batch: pa.RecordBatch) -> Iterator[slice]:
         yield slice(first, batch.num_rows)
 
 
-def _map(images: DataFrame, fields: tuple[str, ...], one: Callable, out: list[tuple[str, str, pa.DataType]]) -> DataFrame:
+def _map(images: DataFrame, fields: tuple[str, ...], one: Callable, out: list[tuple[str, str, pa.DataType]], keep: dict[str, str] | None = None) -> DataFrame:
+    """one(*fields) of each row as the columns of ``out``, after the row's snapshot_id and its columns ``keep``, by their new names."""
+    keep = keep or {}
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for at in _groups(batch):
                 part = batch.slice(at.start, at.stop - at.start)
                 rows = [one(*r) for r in zip(*(part.column(i).to_pylist() for i in range(1, len(fields))), strict=True)]
                 arrays = [pa.array([r[i] for r in rows], kind) for i, (_, _, kind) in enumerate(out)]
-                yield pa.RecordBatch.from_arrays([part.column(0), *arrays], names=["snapshot_id", *(n for n, _, _ in out)])
+                kept = [part.column(fields.index(c)) for c in keep]
+                yield pa.RecordBatch.from_arrays([part.column(0), *kept, *arrays], names=["snapshot_id", *keep.values(), *(n for n, _, _ in out)])
+
+    kinds = {c: images.schema[c].dataType.simpleString() for c in ("snapshot_id", *keep)}
+    schema = [f"snapshot_id {kinds['snapshot_id']}", *(f"`{name}` {kinds[c]}" for c, name in keep.items()), *(f"{n} {t}" for n, t, _ in out)]
+    return images.select(*fields).mapInArrow(run, ", ".join(schema))
 
-    kind = images.schema["snapshot_id"].dataType.simpleString()
-    return images.select(*fields).mapInArrow(run, f"snapshot_id {kind}, " + ", ".join(f"{n} {t}" for n, t, _ in out))
 
+def redact_images(images: DataFrame, keep: dict[str, str] | None = None) -> DataFrame:
+    """(snapshot_id, data, redacted, error): a masked copy and how many regions touch it; a bad buffer gives an error.
 
-def redact_images(images: DataFrame) -> DataFrame:
-    """(snapshot_id, data, redacted, error): a masked copy and how many regions touch it; a bad buffer gives an error."""
+    ``keep``: columns data, width, height and regions of the given row that go along, by the names that they get, so that no join on
+    pictures has to bring them back.
+    """
 
     def one(data, width, height, boxes):
         pixels = _pixels(data, width, height)
@@ -72,7 +81,7 @@ def redact_images(images: DataFrame) -> DataFrame:
             n += 1
         return pixels.tobytes(), n, None
 
-    return _map(images, _FIELDS, one, [("data", "binary", pa.binary()), ("redacted", "int", pa.int32()), ("error", "string", pa.string())])
+    return _map(images, _FIELDS, one, [("data", "binary", pa.binary()), ("redacted", "int", pa.int32()), ("error", "string", pa.string())], keep)
 
 
 def verify_masks(images: DataFrame) -> DataFrame:
@@ -110,9 +119,9 @@ def each_page(painter: Callable[[np.ndarray, list[tuple[slice, slice]]], np.ndar
         clean = all((masked[at] == _BLACK).all() for at in extents)
         return masked.tobytes(), len(extents), None, None if clean else "SCREENSHOT_UNMASKED_PIXELS"
 
-    def run(images: DataFrame) -> DataFrame:
+    def run(images: DataFrame, keep: dict[str, str] | None = None) -> DataFrame:
         text = [(n, "string", pa.string()) for n in ("error", "code")]
-        return _map(images, _FIELDS, one, [("data", "binary", pa.binary()), ("redacted", "int", pa.int32()), *text])
+        return _map(images, _FIELDS, one, [("data", "binary", pa.binary()), ("redacted", "int", pa.int32()), *text], keep)
 
     run.verified = True  # the guard need not look at the pixels again
     return run
