@@ -194,8 +194,8 @@ def sanitize(
     if its job fails, every page gets its failure code and none passes. A page that they leave out, or give twice, is blocked. ``hold``
     keeps what several phases read: elements, detections, sanitised elements and violations.
     """
-    elements, detections = hold(elements), hold(detections)
     ids = pages.select("snapshot_id").distinct()
+    elements, detections = (hold(rows.join(ids, "snapshot_id", "left_semi")) for rows in (elements, detections))  # nobody asks about other pages
     seen = ids.join(screens.select("snapshot_id", "data", "width", "height"), "snapshot_id", "left")
     shapes = seen.select("snapshot_id", F.col("data").isNotNull().alias("has_data"), "width", "height", F.length("data").alias("data_length"))
     boxes = detections.where(is_sensitive_type(F.col("type"))).groupBy("snapshot_id").agg(F.collect_list(F.struct("x", "y", "width", "height")).alias("regions"))

@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
+from pyspark.sql.types import StructType
 
 from hushpage.functions.classify import is_password_element, is_sensitive_type
 from hushpage.functions.geometry import Box, covers, is_valid_box
@@ -83,27 +86,69 @@ CLEAN = (
 )
 
 
+#: Pages whose rows a worker holds as one frame.
+PAGES = 512
+
+
 def each_page(cleaner: Callable[[pd.DataFrame, pd.DataFrame, SanitizeOptions], pd.DataFrame]) -> Callable[[DataFrame, DataFrame, SanitizeOptions], DataFrame]:
     """A sanitiser from a function of one page's elements and detections, a row each, to its sanitised elements.
 
     ``failed`` names the class of what the function raised: such a page has one row with nothing else. Other pages are not touched by that.
+    Pages come many to a batch, as a group, or a frame built from nothing, for each costs more than most pages' work.
     """
 
+    names = [f.split()[0] for f in CLEAN.split(", ")]
+
     def run(elements: DataFrame, detections: DataFrame, options: SanitizeOptions) -> DataFrame:
-        names = [f.split()[0] for f in CLEAN.split(", ")]
-        key = elements.schema["snapshot_id"].dataType.simpleString()
-
-        def one(page: tuple, rows: pd.DataFrame, seen: pd.DataFrame) -> pd.DataFrame:
-            try:
-                if rows.empty:
-                    return pd.DataFrame({c: [] for c in ("snapshot_id", *names, "failed")}, dtype=object)
-                out = cleaner(rows, seen, options).reindex(columns=names).astype(object)
-                out = out.where(out.notna(), None)
-                return out.assign(snapshot_id=page[0], failed=None)[["snapshot_id", *names, "failed"]]
-            except Exception as error:  # this page's failure; the others go on
-                return pd.DataFrame([{"snapshot_id": page[0], "failed": type(error).__name__}], columns=["snapshot_id", *names, "failed"]).astype(object)
-
-        both = elements.groupBy("snapshot_id").cogroup(detections.groupBy("snapshot_id"))
-        return both.applyInPandas(one, f"snapshot_id {key}, {CLEAN}, failed string")
+        key = elements.schema["snapshot_id"].dataType
+        schema = f"snapshot_id {key.simpleString()}, {CLEAN}, failed string"
+        arrow = to_arrow_schema(StructType.fromDDL(schema))
+        plain = [f for f in arrow if f.name in ("snapshot_id", *names)]
+
+        def frames_of(arrays: pa.ListArray) -> Iterator[pd.DataFrame]:
+            """A frame for each page, cut from one of all pages of the run; whole numbers and flags have their own type where the page has no null."""
+            flat = arrays.flatten()
+            table = pa.Table.from_arrays(flat.flatten(), names=[f.name for f in flat.type])
+            rows, start = table.to_pandas(), 0
+            mixed = {f.name: f.type.to_pandas_dtype() for f in table.schema if (pa.types.is_boolean(f.type) or pa.types.is_integer(f.type)) and table[f.name].null_count}
+            for n in arrays.value_lengths().fill_null(0).to_pylist():
+                page, start = rows.iloc[start : start + n].reset_index(drop=True), start + n
+                whole = {c: kind for c, kind in mixed.items() if page[c].notna().all()}
+                yield page.astype(whole) if whole else page
+
+        def sent(frame: pd.DataFrame) -> pa.RecordBatch:
+            out = frame.reindex(columns=["snapshot_id", *names])
+            arrays = [pa.array(out[f.name].astype(object), f.type, from_pandas=True, safe=False) for f in plain]
+            return pa.RecordBatch.from_arrays([*arrays, pa.nulls(len(out), pa.string())], schema=arrow)
+
+        def clean(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                for first in range(0, batch.num_rows, PAGES):
+                    part = batch.slice(first, PAGES)
+                    done, failed = [], []
+                    for page, rows, seen in zip(part.column(0).to_pylist(), frames_of(part.column(1)), frames_of(part.column(2)), strict=True):
+                        try:
+                            done.append(cleaner(rows, seen, options).assign(snapshot_id=page))
+                        except Exception as error:  # this page's failure; the others go on
+                            failed.append((page, type(error).__name__))
+                    try:
+                        if done:
+                            yield sent(pd.concat(done, ignore_index=True))
+                    except Exception:  # what does not fit is the failure of a page or two: each by itself
+                        for frame in done:
+                            try:
+                                yield sent(frame)
+                            except Exception as error:
+                                failed.append((frame["snapshot_id"].iloc[0], type(error).__name__))
+                    if failed:
+                        yield pa.RecordBatch.from_pylist([{"snapshot_id": page, "failed": name} for page, name in failed], schema=arrow)
+
+        def held(side: DataFrame, name: str) -> DataFrame:
+            return side.groupBy("snapshot_id").agg(F.collect_list(F.struct(*[F.col(c) for c in side.columns])).alias(name))
+
+        mine, theirs = held(elements, "mine"), held(detections, "theirs").withColumnRenamed("snapshot_id", "of")
+        both = mine.join(theirs, F.col("snapshot_id").eqNullSafe(F.col("of")), "left")
+        none = F.array().cast(theirs.schema["theirs"].dataType)
+        return both.select("snapshot_id", "mine", F.coalesce("theirs", none).alias("theirs")).mapInArrow(clean, schema)
 
     return run
