@@ -59,6 +59,10 @@ def data_url_bytes(url: Column) -> Column:
 _FIELDS = ("tag_name", "role", "raw_type", "dom_id", "raw_name", "autocomplete", "raw_aria", "raw_placeholder", "alt", "content")
 
 
+#: Elements that a worker gathers before it sends them on, or those of one page.
+ROWS = 4_096
+
+
 def scan_html(pages: DataFrame, id_col: str = "page_id", html_col: str = "html", strict: bool = False) -> DataFrame:
     """Candidate elements of raw HTML, in document order. Without layout there are no boxes; null pages have none.
 
@@ -72,13 +76,15 @@ def scan_html(pages: DataFrame, id_col: str = "page_id", html_col: str = "html",
     def parse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             owner, order, rows = [], [], []
-            for i, html in enumerate(batch.column(1).to_pylist()):
-                found = scan(html, strict)
+            for i, html in enumerate(batch.column(1)):
+                found = scan(html.as_py(), strict)
                 owner += [i] * len(found)
                 order += range(len(found))
                 rows += found
-            columns = [pa.array([r[k] for r in rows], kinds[k]) for k in range(len(names))]
-            yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(owner, pa.int64())), pa.array(order, pa.int32()), *columns], names=["snapshot_id", "ord", *names])
+                if len(rows) >= ROWS or i + 1 == batch.num_rows:  # what a worker holds does not grow with the batch
+                    columns = [pa.array([r[k] for r in rows], kinds[k]) for k in range(len(names))]
+                    yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(owner, pa.int64())), pa.array(order, pa.int32()), *columns], names=["snapshot_id", "ord", *names])
+                    owner, order, rows = [], [], []
 
     kind = pages.schema[id_col].dataType.simpleString()
     fields = ", ".join(f"{n} {types[k]}" for n, k in zip(names, kinds, strict=True))
